@@ -244,13 +244,24 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(is_assistant, F.array(F.to_json(text_block), F.to_json(open_tool))).otherwise(F.array(F.to_json(text_block))).alias("content"),
         ).alias("message"),
     ))
-    lines = r.select(
+    # Blocks of different shapes are serialised one by one and unquoted inside the content array.
+    raw = r.select(
         "conv_id", "turn", "tool", path.alias("file_path"), "role",
-        F.when(F.col("tool") == "claude", F.array(_unquote(claude)))
-        .when(F.col("tool") == "opencode", F.array(_unquote(opencode)))
-        .otherwise(
-            F.when(is_assistant, F.array(codex_message, codex_tool)).when(is_user, F.array(codex_message, codex_ui)).otherwise(F.array(codex_message))
-        ).alias("out"),
+        F.when(F.col("tool") == "claude", claude).when(F.col("tool") == "opencode", opencode).otherwise(codex_message).alias("line"),
+        F.when(F.col("tool") == "codex", F.when(is_assistant, codex_tool).when(is_user, codex_ui)).alias("second"),
+    )
+    headed = raw.withColumn("head", F.when(F.col("tool") != "codex", F.regexp_extract("line", r'(?s)^(.*?"content":)\[', 1)).otherwise(F.lit("")))
+    members = headed.withColumn(
+        "members",
+        F.when(
+            F.col("head") != "",
+            F.from_json(F.substring("line", F.length("head") + 1, F.length("line") - F.length("head") - 2), "array<string>"),
+        ),
+    )
+    whole = F.concat("head", F.lit("["), F.array_join("members", ","), F.lit("]}}"))
+    lines = members.select(
+        "conv_id", "turn", "tool", "file_path", "role",
+        F.filter(F.array(F.when(F.col("head") != "", whole).otherwise(F.col("line")), F.col("second")), lambda x: x.isNotNull()).alias("out"),
     )
     body = lines.select(
         "conv_id", "file_path", "tool", (F.col("turn") * 2 + 10).alias("base"), F.posexplode("out").alias("i", "value")
@@ -284,12 +295,69 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.unionByName(body)
 
 
-def _unquote(line: Column) -> Column:
-    """``to_json`` of an array of JSON strings -> array of JSON objects."""
-    head = F.regexp_extract(line, r'(?s)^(.*?"content":)\[', 1)
-    has_array = head != ""
-    rest = F.substring(line, F.length(head) + 1, F.length(line))
-    array_text = F.regexp_extract(rest, r"(?s)^(\[.*\])\}\}$", 1)
-    members = F.from_json(array_text, "array<string>")
-    joined = F.concat(head, F.lit("["), F.array_join(members, ","), F.lit("]"), F.lit("}}"))
-    return F.when(has_array, joined).otherwise(line)
+def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as the transcript pipeline numbers them: file_path, tool, msg_index, role, text, genuine."""
+    from .operators.blocks import line_block, running
+
+    r = _conversation_rows(spark, sf_dir).where((F.col("role") != "system") | (F.col("tool") == "claude"))
+    r = r.where(F.regexp_replace("text", r"^\s+|\s+$", "") != "").withColumn("block", line_block(F.col("turn")))
+    n = running(r, ["conv_id"], "block", ["turn"], sums={"n": F.lit(1)})
+    return n.select(
+        F.format_string("/data/%s/s%d.jsonl", F.col("tool"), F.col("conv_id")).alias("file_path"), "tool",
+        (F.col("n") - 1).cast("long").alias("msg_index"),
+        F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), "text",
+        (F.col("role") != "system").alias("genuine"),
+    )
+
+
+def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions table built straight from ``conversations`` (same values as the transcript pipeline)."""
+    from .functions import text as T
+    from . import constants as K
+
+    r = _conversation_rows(spark, sf_dir)
+    turn, role, tool = F.col("turn"), F.col("role"), F.col("tool")
+    assistant = role == "assistant"
+    kind = F.when(assistant, turn % 3)
+    name = F.format_string("src/f%d.py", turn % 5)
+    command = F.element_at(F.array(*[F.lit(x) for x in ("git status -sb", "ls -la", "npm test", "make build")]), (turn % 4 + 1).cast("int"))
+    seen = F.regexp_replace("text", r"^\s+|\s+$", "") != ""
+    failed = (
+        F.when(tool == "claude", role == "system")
+        .when(tool == "codex", assistant & (kind != 0) & (turn % 5 == 0))
+        .otherwise(assistant & (turn % 5 == 0))
+    )
+    counted = F.when(tool == "claude", F.lit(1)).otherwise((role != "system").cast("int"))
+
+    def first_seen(values: Column) -> Column:
+        pairs = F.array_sort(F.collect_set(F.struct(turn.alias("t"), values.alias("v"))))
+        return F.array_distinct(F.filter(pairs["v"], lambda x: x.isNotNull()))
+
+    g = r.groupBy("conv_id", "tool", "cwd").agg(
+        F.min("at").alias("started_at"), F.max_by("at", "turn").alias("ended_at"),
+        F.sum(counted).alias("message_count"),
+        F.min_by("text", F.when((role == "user") & seen, turn)).alias("first"),
+        F.max_by("text", F.when((role == "user") & seen, turn)).alias("last_user"),
+        F.max_by("text", F.when(assistant & seen, turn)).alias("last_assistant"),
+        F.max(F.when(assistant, turn)).alias("last_turn"),
+        first_seen(F.when(kind == 0, name)).alias("files_touched"),
+        first_seen(F.when((tool != "codex") & (kind == 2), name)).alias("files_read"),
+        first_seen(F.when((kind == 1) | ((tool == "codex") & (kind != 0)), command)).alias("commands"),
+        F.sum(failed.cast("int")).alias("error_count"),
+    )
+
+    def finish(c: Column) -> Column:
+        return F.coalesce(F.substring(T.trim_space(T.strip_injected(c)), 1, K.CLOSING_CHARS), F.lit(""))
+
+    return g.select(
+        F.format_string("/data/%s/s%d.jsonl", tool, F.col("conv_id")).alias("file_path"), "tool", "cwd",
+        F.format_string("s%d", F.col("conv_id")).alias("session_id"),
+        (F.col("conv_id") * 1000).cast("double").alias("mtime_ms"),
+        F.to_date("started_at").alias("created_at"), F.to_date("ended_at").alias("date"), "started_at", "ended_at",
+        F.coalesce(T.clean(F.col("first")), F.lit("")).alias("first_prompt"),
+        F.when(tool == "claude", F.format_string("Talk %d", F.col("conv_id"))).otherwise(F.lit("")).alias("custom_title"),
+        F.col("message_count"), "files_touched", "files_read", "commands",
+        F.coalesce("error_count", F.lit(0)).alias("error_count"), (F.coalesce("error_count", F.lit(0)) > 0).alias("errored"),
+        finish(F.col("last_user")).alias("closing_user"), finish(T.strip_insight_fences(F.col("last_assistant"))).alias("closing_assistant"),
+        F.when(tool == "codex", F.lit("trunk")).when((tool == "claude") & F.col("last_turn").isNotNull(), F.when(F.col("last_turn") % 2 == 0, "main").otherwise("dev")).otherwise(F.lit("")).alias("branch"),
+    )

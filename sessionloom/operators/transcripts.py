@@ -20,12 +20,25 @@ def v() -> Column:
     return F.col("v")
 
 
+def stage(records: DataFrame) -> DataFrame:
+    """The members that most expressions need, read from the record once."""
+    p = F.col("p")
+    first = records.select(
+        "file_path", "tool", "line_no", "v", V.any_text(v(), "$.type").alias("kind"), V.get(v(), "$.message").alias("m"), V.get(v(), "$.payload").alias("p")
+    )
+    return first.select(
+        "*", V.any_text(F.col("m"), "$.role").alias("m_role"), V.array(F.col("m"), "$.content").alias("blocks"),
+        V.text(F.col("m"), "$.content").alias("m_text"),
+        V.any_text(p, "$.type").alias("p_kind"), V.any_text(p, "$.role").alias("p_role"), V.array(p, "$.content").alias("p_blocks"),
+    )
+
+
 def _type() -> Column:
-    return V.any_text(v(), "$.type")
+    return F.col("kind")
 
 
-def _blocks(path: str = "$.message.content") -> Column:
-    return F.coalesce(V.array(v(), path), F.array().cast("array<variant>"))
+def _blocks(column: str = "blocks") -> Column:
+    return F.coalesce(column, F.array().cast("array<variant>"))
 
 
 def _block_type(b: Column) -> Column:
@@ -39,20 +52,20 @@ def _joined(blocks: Column, *types: str) -> Column:
 
 def is_user() -> Column:
     """A user-role line in either envelope."""
-    return F.coalesce((_type() == "user") | ((_type() == "message") & (V.any_text(v(), "$.message.role") == "user")), F.lit(False))
+    return F.coalesce((_type() == "user") | ((_type() == "message") & (F.col("m_role") == "user")), F.lit(False))
 
 
 def user_text() -> Column:
-    has_array = V.array(v(), "$.message.content").isNotNull()
-    raw = F.when(has_array, _joined(_blocks(), "text", "input_text")).otherwise(F.coalesce(V.text(v(), "$.message.content"), F.lit("")))
+    has_array = F.col("blocks").isNotNull()
+    raw = F.when(has_array, _joined(_blocks(), "text", "input_text")).otherwise(F.coalesce(F.col("m_text"), F.lit("")))
     return T.strip_injected(raw)
 
 
 def assistant_text() -> Column:
-    has_array = V.array(v(), "$.message.content").isNotNull()
-    content = F.when(has_array, _joined(_blocks(), "text")).otherwise(F.coalesce(V.text(v(), "$.message.content"), F.lit("")))
-    plain = F.coalesce(V.text(v(), "$.message"), content)
-    mine = (_type() == "assistant") | ((_type() == "message") & (V.any_text(v(), "$.message.role") == "assistant"))
+    has_array = F.col("blocks").isNotNull()
+    content = F.when(has_array, _joined(_blocks(), "text")).otherwise(F.coalesce(F.col("m_text"), F.lit("")))
+    plain = F.coalesce(V.text(F.col("m"), "$"), content)
+    mine = (_type() == "assistant") | ((_type() == "message") & (F.col("m_role") == "assistant"))
     return F.when(_type() == "assistant", plain).when(mine, content).otherwise(F.lit(""))
 
 
@@ -94,13 +107,13 @@ _CALLS = "array<struct<name:string,summary:string>>"
 
 
 def _rollout_call() -> Column:
-    p = V.get(v(), "$.payload")
+    p = F.col("p")
     raw = F.coalesce(V.get(p, "$.arguments"), V.get(p, "$.input"), V.get(p, "$.action"))
     as_text = F.when(V.kind(raw) == "STRING", F.try_variant_get(raw, "$", "string"))
     parsed = F.try_parse_json(as_text)
     plain = T.cut_with_mark(T.collapse(as_text), K.TOOL_SUMMARY_CHARS)
     summary = F.when(V.is_object(parsed), summarize_input(parsed)).when(as_text.isNotNull(), plain).otherwise(summarize_input(raw))
-    name = F.coalesce(V.text(p, "$.name"), V.any_text(p, "$.type"), F.lit("?"))
+    name = F.coalesce(V.text(p, "$.name"), F.col("p_kind"), F.lit("?"))
     return F.array(F.struct(name.alias("name"), F.coalesce(summary, F.lit("")).alias("summary")))
 
 
@@ -110,25 +123,25 @@ def _rollout_call() -> Column:
 def _metadata_columns() -> list[Column]:
     tool, kind = F.col("tool"), _type()
     native = tool.isin("opencode", "cursor", "antigravity")
-    role = V.any_text(v(), "$.payload.role")
+    role = F.col("p_role")
     session_id = F.when(
-        tool == "codex", F.when(kind == "session_meta", V.text(v(), "$.payload.id"))
+        tool == "codex", F.when(kind == "session_meta", V.text(F.col("p"), "$.id"))
     ).otherwise(F.when((tool == "claude") | (kind == "session"), V.text(v(), "$.sessionId")))
     cwd = (
         F.when(tool == "claude", V.text(v(), "$.cwd"))
         .when(native & (kind == "session"), V.text(v(), "$.cwd"))
-        .when((tool == "codex") & (kind == "session_meta"), V.text(v(), "$.payload.cwd"))
+        .when((tool == "codex") & (kind == "session_meta"), V.text(F.col("p"), "$.cwd"))
     )
-    thread_name = V.text(v(), "$.payload.thread_name")
+    thread_name = V.text(F.col("p"), "$.thread_name")
     title = F.when(kind == "custom-title", F.coalesce(V.text(v(), "$.customTitle"), F.lit(""))).when(
-        (kind == "event_msg") & (V.any_text(v(), "$.payload.type") == "thread_name_updated") & (T.trim_space(thread_name) != ""), thread_name
+        (kind == "event_msg") & (F.col("p_kind") == "thread_name_updated") & (T.trim_space(thread_name) != ""), thread_name
     )
     stamp = V.text(v(), "$.timestamp")
     counted = (
         is_user()
         | (kind == "assistant")
-        | ((kind == "message") & (V.any_text(v(), "$.message.role") == "assistant"))
-        | ((kind == "response_item") & (V.any_text(v(), "$.payload.type") == "message") & role.isin("user", "assistant"))
+        | ((kind == "message") & (F.col("m_role") == "assistant"))
+        | ((kind == "response_item") & (F.col("p_kind") == "message") & role.isin("user", "assistant"))
     )
     return [
         F.when(T.trim_space(session_id) != "", session_id).alias("sid"),
@@ -137,7 +150,7 @@ def _metadata_columns() -> list[Column]:
         F.when(stamp.startswith("2"), stamp).alias("stamp"),
         F.coalesce(counted, F.lit(False)).cast("int").alias("counted"),
         F.when(tool == "claude", F.nullif(V.text(v(), "$.gitBranch"), F.lit(""))).alias("last_branch"),
-        F.when((tool == "codex") & (kind == "session_meta"), F.nullif(V.text(v(), "$.payload.git.branch"), F.lit(""))).alias("first_branch"),
+        F.when((tool == "codex") & (kind == "session_meta"), F.nullif(V.text(F.col("p"), "$.git.branch"), F.lit(""))).alias("first_branch"),
     ]
 
 
@@ -171,6 +184,7 @@ def session_metadata(lines: DataFrame) -> DataFrame:
 
 def metadata_fields(records: DataFrame) -> DataFrame:
     """The metadata fields as separate aggregations: a cross-check of ``session_metadata``."""
+    records = stage(records)
     stamps = records.select("file_path", "line_no", V.text(v(), "$.timestamp").alias("s")).where(F.col("s").startswith("2"))
     firsts = top_n(stamps, ["file_path"], [F.col("line_no")], 1).select("file_path", F.substring("s", 1, 10).alias("first_day"))
     lasts = top_n(stamps, ["file_path"], [F.desc("line_no")], 1).select("file_path", F.substring("s", 1, 10).alias("last_day"))
@@ -190,19 +204,10 @@ def child_session_id(file_path: Column, session_id: Column) -> Column:
 # --- messages -------------------------------------------------------------------
 
 
-def _conversation_columns() -> tuple[Column, Column, Column, Column]:
-    """role, text, genuine, calls of a conversational line."""
-    u = is_user()
-    text = F.when(u, user_text()).otherwise(assistant_text())
-    genuine = F.when(u, is_genuine(T.trim_space(user_text()))).otherwise(F.lit(True))
-    calls = F.when(u, F.array().cast(_CALLS)).otherwise(_tool_use_list())
-    return F.when(u, "user").otherwise("assistant"), text, genuine, calls
-
-
 def _rollout_columns() -> dict[str, Column]:
     """Responses, tool calls and UI events of a rollout line."""
-    p = V.get(v(), "$.payload")
-    kind, role = V.any_text(p, "$.type"), V.any_text(p, "$.role")
+    p = F.col("p")
+    kind, role = F.col("p_kind"), F.col("p_role")
     response, event = _type() == "response_item", _type() == "event_msg"
     is_msg = response & (kind == "message") & role.isin("user", "assistant")
     is_call = response & kind.isin(*K.ROLLOUT_TOOL_CALLS)
@@ -215,8 +220,8 @@ def _rollout_columns() -> dict[str, Column]:
         F.transform(F.coalesce(V.array(item, "$.content"), F.array().cast("array<variant>")), lambda b: F.coalesce(V.text(b, "$.text"), F.lit(""))), ""
     )
     ui_text = F.when(item.isNotNull() & V.is_object(item), item_text).otherwise(F.coalesce(V.text(p, "$.message"), F.lit("")))
-    spoken = F.when(role == "user", _joined(_blocks("$.payload.content"), "input_text")).otherwise(
-        _joined(_blocks("$.payload.content"), "output_text")
+    spoken = F.when(role == "user", _joined(_blocks("p_blocks"), "input_text")).otherwise(
+        _joined(_blocks("p_blocks"), "output_text")
     )
     is_event = event & ui_role.isNotNull() & (T.trim_space(ui_text) != "")
     return {
@@ -233,22 +238,26 @@ def _rollout_columns() -> dict[str, Column]:
 def extract_lines(records: DataFrame) -> DataFrame:
     """Plain columns of every record: metadata fields, message parts, facts. One pass over the JSON."""
     rollout = F.col("tool") == "codex"
-    role, text, genuine, calls = _conversation_columns()
     r = _rollout_columns()
     talk = F.coalesce((T.trim_space(F.col("text")) != "") | (F.size("calls") > 0), F.lit(False))
-    wide = records.select(
-        "file_path", "tool", "line_no", *_metadata_columns(),
+    none = F.array().cast(_CALLS)
+    keep = ["file_path", "tool", "line_no", "sid", "cwd", "title", "stamp", "counted", "last_branch", "first_branch", "turn", "native_id", "typed_event", "found"]
+    first = stage(records).withColumn("from_user", is_user())
+    wide = first.select(
+        "file_path", "tool", "line_no", "v", "from_user", *_metadata_columns(),
         F.when(rollout, r["part"]).alias("part"),
-        F.when(rollout, r["role"]).otherwise(role).alias("role"),
-        F.when(rollout, r["text"]).otherwise(text).alias("text"),
-        F.when(rollout, F.lit(True)).otherwise(genuine).alias("genuine"),
-        F.when(rollout, r["calls"]).otherwise(calls).alias("calls"),
+        F.when(rollout, r["role"]).when(F.col("from_user"), "user").otherwise("assistant").alias("role"),
+        F.when(rollout, r["text"]).when(F.col("from_user"), user_text()).otherwise(assistant_text()).alias("text"),
+        F.when(rollout, r["calls"]).when(F.col("from_user"), none).otherwise(_tool_use_list()).alias("calls"),
         F.when(rollout, r["turn"]).alias("turn"),
         F.when(rollout, r["native_id"]).alias("native_id"),
         (rollout & r["typed_event"]).alias("typed_event"),
         _fact_list().alias("found"),
     )
-    return wide.withColumn("part", F.when(rollout, F.col("part")).when(talk, F.lit("message")))
+    return wide.select(
+        *keep, F.when(rollout, F.col("part")).when(talk, F.lit("message")).alias("part"), "role", "text", "calls",
+        F.when(~rollout & F.col("from_user"), is_genuine(T.trim_space(F.col("text")))).otherwise(F.lit(True)).alias("genuine"),
+    )
 
 
 def match_rollout_events(lines: DataFrame) -> DataFrame:
@@ -396,6 +405,7 @@ def summarize_messages(messages: DataFrame) -> DataFrame:
 
 def user_turns(records: DataFrame) -> DataFrame:
     """Human turns per session and instant, bounded text; side chains do not count."""
+    records = stage(records)
     text = T.trim_space(user_text())
     turns = records.where(is_user() & ~V.flag(v(), "$.isSidechain")).select(
         V.text(v(), "$.sessionId").alias("session_id"), F.try_to_timestamp(V.text(v(), "$.timestamp")).alias("at"),
@@ -440,14 +450,14 @@ def _fact_list() -> Column:
 
     failed = F.filter(blocks, lambda b: (_block_type(b) == "tool_result") & V.flag(b, "$.is_error"))
     claude_errors = F.transform(failed, lambda b: fact("error", F.coalesce(F.nullif(text_of(V.get(b, "$.content")), F.lit("")), F.lit("tool error"))))
-    api_error = F.array(fact("error", F.coalesce(F.nullif(text_of(V.get(v(), "$.message.content")), F.lit("")), F.lit("api error"))))
+    api_error = F.array(fact("error", F.coalesce(F.nullif(text_of(V.get(F.col("m"), "$.content")), F.lit("")), F.lit("api error"))))
     claude = F.concat(
         F.when(kind == "assistant", F.transform(uses, claude_use)).otherwise(empty),
         F.when(V.flag(v(), "$.isApiErrorMessage"), api_error).when(kind == "user", claude_errors).otherwise(empty),
     )
     # codex: patch headers, finished commands, error records
-    p = V.get(v(), "$.payload")
-    ptype = V.any_text(p, "$.type")
+    p = F.col("p")
+    ptype = F.col("p_kind")
     patch = F.when((ptype == "custom_tool_call") & (V.any_text(p, "$.name") == "apply_patch"), V.text(p, "$.input"))
     paths = F.coalesce(F.regexp_extract_all(patch, F.lit(K.PATCH_HEADER), 1), F.array().cast("array<string>"))
     command = F.coalesce(V.text(p, "$.command"), F.array_join(V.strings(p, "$.command"), " "))
@@ -483,7 +493,7 @@ def _fact_list() -> Column:
         )
 
     opencode = F.when(
-        (kind == "message") & (V.any_text(v(), "$.message.role") == "assistant"), F.flatten(F.transform(blocks, open_block))
+        (kind == "message") & (F.col("m_role") == "assistant"), F.flatten(F.transform(blocks, open_block))
     ).otherwise(empty)
     thoughts = F.filter(blocks, lambda b: (_block_type(b) == "thinking") & V.text(b, "$.thinking").isNotNull())
     thinking = F.when(
