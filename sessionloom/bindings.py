@@ -361,3 +361,58 @@ def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         finish(F.col("last_user")).alias("closing_user"), finish(T.strip_insight_fences(F.col("last_assistant"))).alias("closing_assistant"),
         F.when(tool == "codex", F.lit("trunk")).when((tool == "claude") & F.col("last_turn").isNotNull(), F.when(F.col("last_turn") % 2 == 0, "main").otherwise("dev")).otherwise(F.lit("")).alias("branch"),
     )
+
+
+# --- commits, work and accounts derived from events ---------------------------
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as commits of one of twelve repositories, each touching two files."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    names = [F.concat(F.lit("f"), (x % 20).cast("string")) for x in (k, k + 7)]
+    return e.select(
+        (F.col("user_id") % 12).alias("repo"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("sha"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.array(*names).alias("files"),
+    )
+
+
+def work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's other events of one half day as a session with the files it touched."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") != "purchase")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    half = F.floor(ms / 43_200_000)
+    return e.groupBy((F.col("user_id") % 12).alias("repo"), F.concat_ws("-", F.col("user_id").cast("string"), half.cast("string")).alias("session_key")).agg(
+        F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.array_sort(F.collect_set(F.concat(F.lit("f"), (k % 20).cast("string")))).alias("files")
+    )
+
+
+def account_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of review metrics per user, counted from the user's events."""
+    from . import constants as K
+
+    e = table(spark, sf_dir, "events")
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    ts = F.col("ts").cast("timestamp")
+
+    def count(cond: Column) -> Column:
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    rest = {
+        "total_errors": F.col("event_type") == "error", "indexed_sessions": F.col("event_type") == "view", "user_avg": k % 9 == 0,
+        "assistant_avg": k % 9 == 1, "nights": F.hour(ts) <= 4, "drive_bys": k % 3 == 0, "abandoned_sessions": k % 40 == 7,
+        "activity": F.lit(True), "weekend": F.dayofweek(ts).isin(1, 7), "active_days": k % 6 == 0, "models_tried": k % 12 == 5,
+    }
+    return e.groupBy(F.col("user_id").alias("account")).agg(
+        *[count(k % 20 == i).alias(name) for i, (name, _, _) in enumerate(K.PHRASES)],
+        *[count(cond).alias(name) for name, cond in rest.items()],
+        (count(k % 4 == 0) * 100).alias("longest_user"),
+        F.sum(F.floor(F.col("value")).cast("long")).alias("cost_usd"),
+        (count(k % 10 != 3) / F.count(F.lit(1))).alias("cache_hit_rate"),
+        F.countDistinct(F.to_date(ts)).alias("distinct_sessions"),
+        (count(F.hour(ts) >= 18) / F.count(F.lit(1))).alias("night_share"),
+        (count(F.col("event_type") == "click") / F.count(F.lit(1))).alias("focus_share"),
+        F.when(F.col("account") % 3 != 0, F.count(F.lit(1)).cast("double")).alias("depth_median"),
+        F.lit(20.0).alias("median_replies"),
+    )

@@ -26,8 +26,9 @@ _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO)
+    """Lower case without diacritics; plain ASCII text skips the translation."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, _FOLD_FROM, _FOLD_TO)).otherwise(low)
 
 
 def fold_literal(text: str) -> str:
@@ -40,6 +41,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def spaced_terms(text: Column) -> Column:
+    """All terms in order, each with a blank on both sides: `` a  b  c `` (one blank when there is none)."""
+    plain = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  ")
+    return F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
+
+
+def count_terms(spaced: Column) -> Column:
+    return F.when(F.trim(spaced) == "", F.lit(0)).otherwise(
+        ((F.length(spaced) - F.length(F.replace(spaced, F.lit("  "), F.lit("")))) / 2 + 1).cast("long")
+    )
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

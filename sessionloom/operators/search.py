@@ -59,18 +59,16 @@ def stem_terms(terms: DataFrame) -> DataFrame:
 # --- scan ranking ------------------------------------------------------------------
 
 
-def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
-    """Occurrences of a phrase in an array of terms."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
+def phrase_count(spaced: Column, phrase: Sequence[str]) -> Column:
+    """Occurrences of a phrase in spaced terms.
 
-    def starts(_: Column, i: Column) -> Column:
-        hit = F.lit(True)
-        for k, term in enumerate(phrase):
-            hit = hit & F.coalesce(F.try_element_at(tokens, (i + k + 1).cast("int")) == term, F.lit(False))
-        return hit
-
-    return F.size(F.filter(tokens, starts))
+    Terms carry their own blanks, so neighbours never share one and counting is a replacement. A phrase that can
+    overlap itself is counted at every position instead.
+    """
+    text = "".join(f" {t} " for t in phrase)
+    if any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase))):
+        return F.regexp_count(spaced, F.lit(f"(?={text})"))
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(text), F.lit("")))) / len(text)).cast("long")
 
 
 def _bm25(tf: Column, length: Column, avg: Column, idf: Column) -> Column:
@@ -87,16 +85,17 @@ def scan_bm25(
     shuffled. Output: keys, rank; only rows with a match.
     """
     keys = list(keys)
-    arrays = corpus.select(*keys, *[T.tokens(F.col(c)).alias(f"__{c}") for c in columns])
-    length = sum((F.size(f"__{c}") for c in columns), F.lit(0))
-    counted = arrays.select(
-        *keys,
+    texts = corpus.select(*keys, *[T.spaced_terms(F.col(c)).alias(f"__{c}") for c in columns])
+    length = sum((T.count_terms(F.col(f"__{c}")) for c in columns), F.lit(0))
+    measured = F.struct(
         length.cast("double").alias("__len"),
         *[
             sum((F.lit(w) * phrase_count(F.col(f"__{c}"), p) for c, w in columns.items()), F.lit(0.0)).alias(f"__f{i}")
             for i, p in enumerate(phrases)
         ],
     )
+    # The generator keeps the match filter above the counting, so the text is folded once per row.
+    counted = texts.select(*keys, F.inline(F.array(measured)))
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__avg"),
         *[F.sum((F.col(f"__f{i}") > 0).cast("int")).cast("double").alias(f"__d{i}") for i in range(len(phrases))],
@@ -119,16 +118,14 @@ def scan_bm25(
 def build_postings(corpus: DataFrame, columns: Sequence[str], keys: Sequence[str], stemmed: bool = True) -> DataFrame:
     """term, keys, col, tf, positions: one row per distinct term of a row's column.
 
-    Frequencies are grouped inside the row before anything is shuffled; stems are computed once per distinct
-    term and joined back, with frequent terms spread.
+    Positions are combined per document before the shuffle; stems are computed once per distinct term and
+    joined back, with frequent terms spread.
     """
     keys = list(keys)
-    arrays = corpus.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("tokens")) for c in columns])).alias("x"))
-    terms = arrays.select(*keys, "x.col", F.col("x.tokens").alias("tokens"), F.explode(F.array_distinct("x.tokens")).alias("term"))
-    positions = F.filter(
-        F.transform("tokens", lambda t, i: F.when(t == F.col("term"), i)), lambda p: p.isNotNull()
-    )
-    raw = terms.select("term", *keys, "col", positions.alias("positions"))
+    columns = list(columns)
+    texts = corpus.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in columns])).alias("x"))
+    terms = texts.select(*keys, "x.col", F.posexplode(T.tokens(F.col("x.text"))).alias("pos", "term"))
+    raw = terms.groupBy("term", *keys, "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     if not stemmed:
         return raw.select("term", *keys, "col", F.size("positions").alias("tf"), "positions")
     stems = stem_terms(raw)
@@ -139,7 +136,7 @@ def build_postings(corpus: DataFrame, columns: Sequence[str], keys: Sequence[str
 
 
 def document_lengths(corpus: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    length = sum((F.size(T.tokens(F.col(c))) for c in columns), F.lit(0))
+    length = sum((T.count_terms(T.spaced_terms(F.col(c))) for c in columns), F.lit(0))
     return corpus.select(*keys, length.cast("long").alias("length"))
 
 
@@ -326,10 +323,10 @@ def scan_search(messages: DataFrame, query: str) -> DataFrame:
 def search_documents(documents: DataFrame, query: str, limit: int = 50, id_column: str = "id") -> DataFrame:
     """Documents that contain every phrase (unstemmed), best first."""
     phrases = parse_query(query)
-    tokens = T.tokens(F.col("content"))
+    spaced = T.spaced_terms(F.col("content"))
     every = F.lit(True)
     for p in phrases:
-        every = every & (phrase_count(tokens, p) > 0)
+        every = every & F.contains(spaced, F.lit("".join(f" {t} " for t in p)))
     ranked = scan_bm25(documents, phrases, {"content": 1.0}, [id_column])
     matching = documents.where(every).select(id_column)
     return ranked.join(matching, id_column, "left_semi").orderBy("rank", id_column).limit(min(max(1, limit), 50))

@@ -12,7 +12,7 @@ from ..operators.blocks import top_n
 from . import session_queries  # noqa: F401  (shared SQL)
 from .registry import cte, query, sql
 
-QUERY = "heron nation shand"
+QUERY = "thble eron thorti"
 PHRASES = S.parse_query(QUERY)
 PAIR = [["of", "the"], ["heon"]]
 TOK = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
@@ -20,9 +20,9 @@ TOK = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
 
 def _f(tokens: str, phrase: list[str]) -> str:
     if len(phrase) == 1:
-        return f"len(list_filter({tokens}, x -> x = '{phrase[0]}'))"
+        return f"len(list_filter({tokens}, lambda x: x = '{phrase[0]}'))"
     checks = " AND ".join(f"{tokens}[i + {k}] = '{t}'" for k, t in enumerate(phrase))
-    return f"len(list_filter(range(1, len({tokens}) + 1), i -> coalesce({checks}, false)))"
+    return f"len(list_filter(range(1, len({tokens}) + 1), lambda i: coalesce({checks}, false)))"
 
 
 def bm25_sql(source: str, keys: str, columns: dict[str, float], phrases: list[list[str]]) -> str:

@@ -13,6 +13,7 @@ from ..functions.dates import ymd
 from ..operators import sessions as S
 from ..operators import transcripts as X
 from ..sources.lines import parse_lines, sniff_format
+from . import usage_queries  # noqa: F401  (shared SQL)
 from .registry import cte, query, sql
 
 NOW = "2024-02-01 00:00:00"
@@ -273,9 +274,9 @@ def _(spark, d):
     return S.filter_sessions(_s(spark, d), tool="claude", project="/srv/work/p1", errored=True, after=date(2024, 1, 2), before=date(2024, 1, 30)).select("file_path")
 
 
-@query("filter_files", sql("SELECT file_path FROM sess WHERE contains(lower(files_touched || ',' || files_read), 'rc/f1') AND contains(lower(files_touched || ',' || files_read), 'f3.py')", "sess"))
+@query("filter_files", sql("SELECT file_path FROM sess WHERE contains(lower(files_touched || ',' || files_read), 'rc/f') AND contains(lower(files_touched || ',' || files_read), '3.py')", "sess"))
 def _(spark, d):
-    return S.filter_sessions(_s(spark, d), files=("RC/F1", "f3.PY")).select("file_path")
+    return S.filter_sessions(_s(spark, d), files=("RC/F", "3.PY")).select("file_path")
 
 
 @query("created_between", sql("SELECT file_path, strftime(created_at, '%Y-%m-%d') AS created_at FROM sess WHERE created_at BETWEEN DATE '2024-01-03' AND DATE '2024-01-06'", "sess"))
