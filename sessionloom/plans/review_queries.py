@@ -13,7 +13,7 @@ from ..operators import content as C
 from ..operators import correlate as W
 from ..operators import review as R
 from . import search_queries  # noqa: F401  (shared SQL)
-from .registry import cte, query, sql
+from .registry import CTES, cte, query, sql
 from .search_queries import _seen
 from .rhythm_queries import CANON
 from .usage_queries import _base_df
@@ -81,9 +81,16 @@ def _(spark, d):
     return C.mine_words(_seen(spark, d))
 
 
-@query("word_of_year", sql("SELECT * FROM (SELECT * FROM words ORDER BY count DESC, sessions DESC, word LIMIT 1) WHERE count >= 25 AND sessions >= 8", "words"))
+cte("doc_seen", "SELECT source AS file_path, doc_id AS msg_index, 'user' AS role, text FROM documents")
+cte("doc_words", CTES["words"][1].replace("FROM seen", "FROM doc_seen"), "doc_seen")
+
+
+@query("word_of_year", sql("SELECT * FROM (SELECT * FROM doc_words ORDER BY count DESC, sessions DESC, word LIMIT 1) WHERE count >= 25 AND sessions >= 8", "doc_words"))
 def _(spark, d):
-    return R.word_of_year(C.word_counts(_seen(spark, d)))
+    # one account: the documents of the corpus, by source
+    docs = B.table(spark, d, "documents")
+    talk = docs.select(F.col("source").alias("file_path"), F.col("doc_id").alias("msg_index"), F.lit("user").alias("role"), "text")
+    return R.word_of_year(C.word_counts(talk))
 
 
 @query(
@@ -336,9 +343,9 @@ def _(spark, d):
     return W.date_window(B.session_index(spark, d), F.lit(date(2024, 1, 5))).select("file_path")
 
 
-@query("touching_file", sql("SELECT file_path FROM sess WHERE contains(files_touched, 'f2.py')", "sess"))
+@query("touching_file", sql("SELECT file_path FROM sess WHERE contains(files_touched, 'f3.py')", "sess"))
 def _(spark, d):
-    return W.touching_file(B.session_index(spark, d), "f2.py").select("file_path")
+    return W.touching_file(B.session_index(spark, d), "f3.py").select("file_path")
 
 
 @query("to_repo_relative", sql("SELECT file_path, CASE cwd WHEN '/srv/work/p2' THEN substr(file_path, 7) ELSE substr(file_path, 2) END AS rel FROM sess WHERE file_path LIKE '/data/%'", "sess"))
