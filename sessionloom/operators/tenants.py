@@ -20,6 +20,19 @@ OWNER = ("user_id", "device_id", "key")
 # --- snapshots --------------------------------------------------------------------
 
 
+def read_snapshots(spark, path: str, user: str, columns: Sequence[str] = ("device_id", "key", "hash", "harness", "kind", "cwd", "date")) -> DataFrame:
+    """One account's snapshots for list queries: the account is a partition, content is never read."""
+    return spark.read.parquet(path).where(F.col("user_id") == user).select("user_id", *columns)
+
+
+def server_projection(sessions: DataFrame) -> DataFrame:
+    """Summary columns of a snapshot, as list queries show them."""
+    return sessions.select(
+        "file_path", F.col("custom_title").alias("title"), F.col("first_prompt").alias("opening"), "date", "created_at", "closing_user", "closing_assistant",
+        "branch", F.col("files_touched").alias("files"), "commands", "errored", "message_count",
+    )
+
+
 def snapshot_key(kind: Column, harness: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws("\u0000", kind, harness, path), 256)
 

@@ -19,10 +19,9 @@ TOK = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def _f(tokens: str, phrase: list[str]) -> str:
-    if len(phrase) == 1:
-        return f"len(list_filter({tokens}, lambda x: x = '{phrase[0]}'))"
-    checks = " AND ".join(f"{tokens}[i + {k}] = '{t}'" for k, t in enumerate(phrase))
-    return f"len(list_filter(range(1, len({tokens}) + 1), lambda i: coalesce({checks}, false)))"
+    joined = f"(' ' || array_to_string({tokens}, '  ') || ' ')"
+    text = "".join(f" {t} " for t in phrase)
+    return f"((length({joined}) - length(replace({joined}, '{text}', ''))) // {len(text)})"
 
 
 def bm25_sql(source: str, keys: str, columns: dict[str, float], phrases: list[list[str]]) -> str:
