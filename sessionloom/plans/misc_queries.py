@@ -59,7 +59,7 @@ def _(spark, d):
     return r.groupBy("project").agg(F.sum("tokens").alias("tokens"))
 
 
-@query("lookup_intents", sql("SELECT CASE WHEN tool = 'claude' THEN 'claude-code' ELSE tool END AS tool, session_id, coalesce(nullif(custom_title, ''), nullif(first_prompt, '')) AS intent FROM sess", "sess"))
+@query("lookup_intents", sql("SELECT CASE WHEN tool = 'claude' THEN 'claude-code' ELSE tool END AS tool, session_id, coalesce(nullif(trim(custom_title), ''), nullif(trim(first_prompt), '')) AS intent FROM sess", "sess"))
 def _(spark, d):
     return facets.lookup_intents(_s(spark, d))
 
@@ -85,11 +85,11 @@ def _(spark, d):
     "number_formats",
     sql(
         """SELECT o_orderkey, CASE WHEN v >= 1000000000 THEN printf('%.1f', v / 1e9::DOUBLE) || 'B' WHEN v >= 1000000 THEN printf('%.1f', v / 1e6::DOUBLE) || 'M' WHEN v >= 1000 THEN printf('%.1f', v / 1e3::DOUBLE) || 'K' ELSE v::VARCHAR END AS tokens,
- CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END || CASE WHEN h < 12 THEN ' AM' ELSE ' PM' END AS hour FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 4096 END) AS v, o_orderkey % 24 AS h FROM orders)"""
+ CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END || CASE WHEN h < 12 THEN ' AM' ELSE ' PM' END AS hour FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) // 2 * 2 * (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 4096 END) + 1 AS v, o_orderkey % 24 AS h FROM orders)"""
     ),
 )
 def _(spark, d):
-    v = F.floor("o_totalprice").cast("long") * F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(4096)
+    v = F.floor(F.floor("o_totalprice") / 2).cast("long") * 2 * F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(4096) + 1
     return B.table(spark, d, "orders").select("o_orderkey", T.format_tokens(v).alias("tokens"), T.hour_label(F.col("o_orderkey") % 24).alias("hour"))
 
 
