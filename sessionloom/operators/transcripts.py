@@ -235,8 +235,12 @@ def _rollout_columns() -> dict[str, Column]:
     }
 
 
-def extract_lines(records: DataFrame) -> DataFrame:
-    """Plain columns of every record: metadata fields, message parts, facts. One pass over the JSON."""
+def extract_lines(records: DataFrame, written: bool = True) -> DataFrame:
+    """Plain columns of every record: metadata fields, message parts, facts. One pass over the JSON.
+
+    The extract is written once because messages and sessions read it several times; ``written=False`` suits a
+    single reader.
+    """
     rollout = F.col("tool") == "codex"
     r = _rollout_columns()
     talk = F.coalesce((T.trim_space(F.col("text")) != "") | (F.size("calls") > 0), F.lit(False))
@@ -254,10 +258,11 @@ def extract_lines(records: DataFrame) -> DataFrame:
         (rollout & r["typed_event"]).alias("typed_event"),
         _fact_list().alias("found"),
     )
-    return wide.select(
+    extract = wide.select(
         *keep, F.when(rollout, F.col("part")).when(talk, F.lit("message")).alias("part"), "role", "text", "calls",
         F.when(~rollout & F.col("from_user"), is_genuine(T.trim_space(F.col("text")))).otherwise(F.lit(True)).alias("genuine"),
     )
+    return cut(extract) if written else extract
 
 
 def match_rollout_events(lines: DataFrame) -> DataFrame:
@@ -356,7 +361,7 @@ def _rollout_rows(lines: DataFrame) -> DataFrame:
 def numbered_rows(lines: DataFrame) -> DataFrame:
     """Message and call-only rows with the dense index of the message each belongs to.
 
-    ``lines`` is read several times: pass the written extract of a large corpus.
+    ``lines`` is read several times: pass the written extract.
     """
     conversational = lines.where("tool <> 'codex' and part = 'message'").select(
         "file_path", "tool", "line_no", "role", "text", "genuine", "calls", (T.trim_space(F.col("text")) != "").alias("is_message")

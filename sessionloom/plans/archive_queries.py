@@ -210,8 +210,8 @@ def _(spark, d):
 @query("compaction_invariant", sql("SELECT count(*) AS messages, CAST(0 AS BIGINT) AS differences FROM msgs", "msgs"))
 def _(spark, d):
     records = parse_lines(cut(_lines(spark, d)))
-    before = cut(X.extract_messages(cut(X.extract_lines(records))))
-    after = X.extract_messages(cut(X.extract_lines(parse_lines(A.compact_records(records).drop("action")))))
+    before = cut(X.extract_messages(X.extract_lines(records)))
+    after = X.extract_messages(X.extract_lines(parse_lines(A.compact_records(records).drop("action"))))
     diff = A.compaction_differences(before, cut(after))
     return before.agg(F.count(F.lit(1)).alias("messages")).join(diff.agg(F.count(F.lit(1)).alias("differences")))
 

@@ -68,8 +68,7 @@ def _lines(spark, d):
 
 
 def _extract(spark, d, written=True):
-    x = X.extract_lines(parse_lines(_lines(spark, d)))
-    return cut(x) if written else x
+    return X.extract_lines(parse_lines(_lines(spark, d)), written)
 
 
 def _flat_sessions(df):

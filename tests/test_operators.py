@@ -361,7 +361,7 @@ def test_closed_stream_loops_agree_with_batch(spark, tmp_path):
     from sessionloom.streaming import jobs as J
 
     rng = random.Random(5)
-    at = sorted(rng.randrange(0, 200) * 300_000 for _ in range(120))
+    at = sorted(86_400_000 + rng.randrange(0, 200) * 300_000 for _ in range(120))  # above the initial watermark
     rows = [("s", a, int(rng.random() < 0.1)) for a in at]
     df = spark.createDataFrame(rows, "session_id string, at_ms long, turn int").dropDuplicates(["at_ms", "turn"])
     df.withColumn("ts", F.timestamp_millis("at_ms")).coalesce(1).write.parquet(str(tmp_path / "in"))
