@@ -367,12 +367,12 @@ def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as commits of one of twelve repositories, each touching two files."""
+    """Purchases as commits, each touching two files; ten users share a repository."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
     names = [F.concat(F.lit("f"), (x % 20).cast("string")) for x in (k, k + 7)]
     return e.select(
-        (F.col("user_id") % 12).alias("repo"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("sha"),
+        F.floor(F.col("user_id") / 10).alias("repo"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("sha"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.array(*names).alias("files"),
     )
 
@@ -383,7 +383,7 @@ def work(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
     half = F.floor(ms / 43_200_000)
-    return e.groupBy((F.col("user_id") % 12).alias("repo"), F.concat_ws("-", F.col("user_id").cast("string"), half.cast("string")).alias("session_key")).agg(
+    return e.groupBy(F.floor(F.col("user_id") / 10).alias("repo"), F.concat_ws("-", F.col("user_id").cast("string"), half.cast("string")).alias("session_key")).agg(
         F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.array_sort(F.collect_set(F.concat(F.lit("f"), (k % 20).cast("string")))).alias("files")
     )
 

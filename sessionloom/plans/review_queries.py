@@ -291,11 +291,11 @@ def _(spark, d):
 # --- correlation -------------------------------------------------------------------
 cte(
     "commits",
-    f"SELECT user_id % 12 AS repo, 'c' || event_id AS sha, epoch_ms(date_trunc('millisecond', ts)) AS at_ms, ['f' || ({_K} % 20), 'f' || (({_K} + 7) % 20)] AS files FROM events WHERE event_type = 'purchase'",
+    f"SELECT user_id // 10 AS repo, 'c' || event_id AS sha, epoch_ms(date_trunc('millisecond', ts)) AS at_ms, ['f' || ({_K} % 20), 'f' || (({_K} + 7) % 20)] AS files FROM events WHERE event_type = 'purchase'",
 )
 cte(
     "work",
-    f"""SELECT user_id % 12 AS repo, user_id || '-' || (ms // 43200000) AS session_key, min(ms) AS start_ms, max(ms) AS end_ms, list(DISTINCT 'f' || (k % 20)) AS files
+    f"""SELECT user_id // 10 AS repo, user_id || '-' || (ms // 43200000) AS session_key, min(ms) AS start_ms, max(ms) AS end_ms, list(DISTINCT 'f' || (k % 20)) AS files
  FROM (SELECT user_id, epoch_ms(date_trunc('millisecond', ts)) AS ms, {_K} AS k FROM events WHERE event_type <> 'purchase') GROUP BY 1, 2""",
 )
 cte(
