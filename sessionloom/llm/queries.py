@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import contamination, fuzzy, language, lines, pieces
+from sessionloom.llm import contamination, fuzzy, language, lines, nearest, pieces, private
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": contamination.op1_decontaminate,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": fuzzy.op4_simhash,
     "op6_pieces": pieces.op6_pieces,
     "op8_language": language.op8_language,
+    "op9_private": private.op9_private,
+    "op10_nearest": nearest.op10_nearest,
 }
 
 ORACLES: dict[str, str] = {
