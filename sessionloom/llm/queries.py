@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import contamination, fuzzy, language, lines, nearest, pieces, private
+from sessionloom.llm import contamination, fuzzy, language, lines, nearest, pieces, private, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": contamination.op1_decontaminate,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": fuzzy.op4_simhash,
     "op6_pieces": pieces.op6_pieces,
     "op8_language": language.op8_language,
