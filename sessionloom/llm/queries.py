@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import contamination, fuzzy, language, lines, nearest, pieces, private, toxicity
+from sessionloom.llm import archives, contamination, fuzzy, language, lines, nearest, pieces, private, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": contamination.op1_decontaminate,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": fuzzy.op4_simhash,
+    "op5_tokenfiles": tokenfiles.op5_tokenfiles,
     "op6_pieces": pieces.op6_pieces,
+    "op7_archives": archives.op7_archives,
     "op8_language": language.op8_language,
     "op9_private": private.op9_private,
     "op10_nearest": nearest.op10_nearest,
@@ -34,4 +36,14 @@ WITH line AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op7_archives": """
+WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), seen AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM page
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM seen""",
 }
