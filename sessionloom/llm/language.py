@@ -105,7 +105,7 @@ class Scorer:
         self.size = len(self.at)
 
     def unseen(self, word: str) -> np.ndarray:
-        for n in range(LONGEST, 0, -1):
+        for n in range(len(self.model.grams), 0, -1):
             known = self.model.grams[n - 1]
             at = [known[g] for g in grams(word, n) if g in known]
             if at:
