@@ -124,18 +124,20 @@ def texts(ids: Column, path: str) -> Column:
     return decoded(ids)
 
 
-def digests(text: Column, path: str) -> Column:
-    """``n_tokens, ids_sha256, decoded_sha256`` of the ids of a text and of the text decoded from them."""
+def digests(text: Column, path: str, whole: bool = False) -> Column:
+    """``n_tokens, ids_sha256, decoded_sha256`` of the ids of a text and of the text decoded from them; with ``whole`` also ``ids``."""
+    fields = StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
 
-    @F.pandas_udf(StructType().add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType()))
+    @F.pandas_udf(fields.add("ids", ArrayType(IntegerType())) if whole else fields)
     def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         decimal = _decimal(own.library.get_piece_size())
         for part in batches:
             rows = []
             for ids in own.encode(part):
-                rows.append((len(ids), hashlib.sha256(" ".join(decimal[ids].tolist()).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                row = (len(ids), hashlib.sha256(" ".join(decimal[ids].tolist()).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                rows.append((*row, ids) if whole else row)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + whole])
 
     return digested(text)
 
@@ -148,5 +150,4 @@ def op6_pieces(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of ids and decoded text."""
     session(spark)
-    path = public_model()
-    return docs.select("doc_id", tokens(F.col("text"), path).alias("ids"), digests(F.col("text"), path).alias("d")).select("doc_id", "ids", "d.*")
+    return docs.select("doc_id", digests(F.col("text"), public_model(), whole=True).alias("d")).select("doc_id", "d.*")
