@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 #: Longest n-gram of the fallback.
 LONGEST = 4
 #: Words of a worker that stay scored; when full, the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 @dataclass
@@ -63,7 +63,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, k) for key, k in rows.items()], columns=["lang", "n", "gram", "k"])
 
 
-def fit(labelled: DataFrame, per_language: int = 1500, entries: int = 60_000) -> Model:
+def fit(labelled: DataFrame, per_language: int = 1500, entries: int = 30_000) -> Model:
     """Count a model from ``doc_id, text, lang``."""
     labelled = labelled.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -15,6 +15,7 @@ all those with the largest id keep their lines. A null id counts as smaller than
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from sessionloom.llm.common import replace_columns, session, table
 
@@ -142,18 +143,12 @@ def _without(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]
             if dropped is None or not len(dropped):
                 rows.append((text or "", len(lines), 0))
                 continue
-            gone = {bytes(d) for d in dropped}
+            gone = {struct.pack("<qq", *map(int, d.split(":"))) for d in dropped}
             kept = [line for line in lines if digest(line, least) not in gone]
             rows.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         yield pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
 
-@F.pandas_udf(BinaryType())
-def _digest(hi: pd.Series, lo: pd.Series) -> pd.Series:
-    pair = np.stack([hi.to_numpy(np.int64), lo.to_numpy(np.int64)], 1).astype("<i8")
-    return pd.Series([row.tobytes() for row in pair])
-
-
 def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFrame:
     """The documents with a column ``_lines``: ``kept`` text, ``n_lines`` and ``n_dropped``."""
     session(docs.sparkSession)
@@ -164,7 +159,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFra
         .join(repeated(docs, least, documents), ["hi", "lo"])
         .where(F.coalesce("doc_id", lowest) < F.col("last"))
         .groupBy(F.col("doc_id").alias("_of"))
-        .agg(F.collect_set(_digest("hi", "lo")).alias("_gone"))
+        .agg(F.collect_set(F.concat_ws(":", F.col("hi").cast("string"), F.col("lo").cast("string"))).alias("_gone"))
     )
     joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
     return joined.withColumn("_lines", _without(F.col("text"), F.col("_gone"), F.lit(least))).drop("_of", "_gone")

@@ -28,7 +28,7 @@ from sessionloom.llm.common import session, table
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Entries of a worker's table, and the longest word that it keeps.
-ENTRIES, LONGEST = 300_000, 64
+ENTRIES, LONGEST = 150_000, 64
 #: The id that ends each text.
 END = 2
 
