@@ -236,12 +236,23 @@ def replace_rows(table: DataFrame, fresh: DataFrame, key: str = "file_path") ->
     return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh.select(*table.columns))
 
 
-def write_session_index(sessions: DataFrame, messages: DataFrame, path: str, keys: int = 64) -> None:
-    """Sessions by creation day and messages by key range; only touched partitions are overwritten."""
+def write_session_index(sessions: DataFrame, messages: DataFrame, path: str, previous: str | None = None, keys: int = 64) -> None:
+    """Write the index, sessions by month of creation and messages by key range, to a new folder.
+
+    With ``previous``, an index written earlier, all its rows of other files stay and those of the given files are
+    replaced. Nothing is overwritten in place: the folder is the current index once the call has returned, and a stop
+    before that leaves the previous one whole.
+    """
     spark = sessions.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    sessions.withColumn("part", F.date_format("created_at", "yyyy-MM")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/sessions")
-    messages.withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(keys))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/messages")
+    for name, fresh, part in (
+        ("sessions", sessions, F.date_format("created_at", "yyyy-MM")), ("messages", messages, F.pmod(F.xxhash64("file_path"), F.lit(keys)).cast("string")),
+    ):
+        whole = fresh
+        if previous is not None:
+            old = spark.read.schema(fresh.schema).parquet(f"{previous}/{name}").select(*fresh.columns)
+            gone = sessions.select("file_path").unionByName(messages.select("file_path")).distinct()
+            whole = old.join(gone, "file_path", "left_anti").unionByName(fresh)
+        whole.withColumn("part", part).write.partitionBy("part").parquet(f"{path}/{name}")
 
 
 def cache_parse(parsed: DataFrame, scanned: DataFrame, fresh: DataFrame, roots: Sequence[str]) -> DataFrame:

@@ -253,18 +253,20 @@ def exchanges(messages: DataFrame) -> DataFrame:
     )
 
 
-ENDS = 128
+#: Characters that a serialised exchange has at least.
+LEAST_EXCHANGE = 36
 
 
 def elide_middle(arcs: DataFrame, messages: DataFrame, budget: int = K.ARC_BUDGET_CHARS) -> DataFrame:
     """Keep the most exchanges whose serialised digest fits, from both ends: adds exchange_count and elided.
 
-    A serialised exchange has at least 36 characters, so at most ``ENDS`` from either end can ever be kept.
+    Only as many exchanges from either end as could fit the budget at their least size are looked at.
     """
+    ends = max(1, -(-budget // LEAST_EXCHANGE))
     one = F.to_json(F.struct(F.col("msg_index").alias("index"), "user", "assistant"))
     sized = arcs.withColumn("size", F.length(one) + 1)
-    head = top_n(sized, ["file_path"], [F.col("turn")], ENDS, rank="place")
-    tail = top_n(sized, ["file_path"], [F.desc("turn")], ENDS, rank="place")
+    head = top_n(sized, ["file_path"], [F.col("turn")], ends, rank="place")
+    tail = top_n(sized, ["file_path"], [F.desc("turn")], ends, rank="place")
     cumulative = Window.partitionBy("file_path").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = head.select("file_path", "place", F.sum("size").over(cumulative).alias("head_size"))
     tails = tail.select("file_path", "place", F.sum("size").over(cumulative).alias("tail_size"))
@@ -272,7 +274,7 @@ def elide_middle(arcs: DataFrame, messages: DataFrame, budget: int = K.ARC_BUDGE
         messages.groupBy("file_path").agg(F.count(F.lit(1)).alias("message_count")), "file_path"
     )
     choices = counts.select(
-        "*", F.explode(F.sequence(F.lit(1), F.least(F.col("exchange_count"), F.lit(2 * ENDS)).cast("int"))).alias("k")
+        "*", F.explode(F.sequence(F.lit(1), F.least(F.col("exchange_count"), F.lit(2 * ends)).cast("int"))).alias("k")
     ).withColumn("nh", F.ceil(F.col("k") / 2).cast("int")).withColumn("nt", F.floor(F.col("k") / 2).cast("int"))
     shell = F.to_json(F.struct(
         F.col("message_count").alias("messageCount"), F.col("exchange_count").alias("exchangeCount"),

@@ -39,18 +39,19 @@ def dedupe_usage(events: DataFrame) -> DataFrame:
 
 
 def usage_identity(events: DataFrame) -> DataFrame:
-    """``id`` = sha256 of tool and dedup key, or of the event's own fingerprint and its occurrence number."""
+    """``id`` = sha256 of tool and dedup key, or of the event's own fingerprint and its occurrence number.
+
+    Occurrences count all events of a fingerprint, those with a dedup key too.
+    """
     texts = F.to_json(F.array("tool", "session_id", "model", iso_ms(F.col("ts"))))
     counters = F.to_json(
         F.struct("input", "output", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite"))
     )
     fingerprint = F.concat(F.substring(texts, F.lit(1), F.length(texts) - 1), F.lit(","), counters, F.lit("]"))
     prepared = events.withColumn("__fp", fingerprint).withColumn("__block", F.floor(F.col("seq") / 65536))
-    keyless = running(
-        prepared.where("dedup_key is null"), ["__fp"], "__block", ["seq"], sums={"__n": F.lit(1)}
-    ).select(*events.columns, F.concat("__fp", F.lit(":"), (F.col("__n") - 1).cast("string")).alias("__id"))
-    keyed = events.where("dedup_key is not null").withColumn("__id", F.concat("tool", F.lit(":"), "dedup_key"))
-    return keyless.unionByName(keyed).select(*events.columns, F.sha2("__id", 256).alias("id"))
+    numbered = running(prepared, ["__fp"], "__block", ["seq"], sums={"__n": F.lit(1)})
+    own = F.concat("__fp", F.lit(":"), (F.col("__n") - 1).cast("string"))
+    return numbered.select(*events.columns, F.sha2(F.coalesce(F.concat("tool", F.lit(":"), "dedup_key"), own), 256).alias("id"))
 
 
 STORED = ("id", "tool", "session_id", "project", "model", "ts", "input", "output", "cache_read", "cache_write")

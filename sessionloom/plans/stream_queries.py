@@ -51,8 +51,8 @@ def _(spark, d):
 @query("stream_late_rows", sql("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY"))
 def _(spark, d):
     e = B.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    newest = e.agg(F.max("ts").alias("newest"))
-    return e.join(F.broadcast(newest)).where(F.col("ts") < F.col("newest") - F.expr("interval 2 days")).select("event_id")  # one row
+    newest = e.agg(F.max("ts").cast("string").alias("newest")).first()["newest"]
+    return J.late_rows(e, newest).select("event_id")
 
 
 @query("stream_counters", sql("SELECT CAST(l_orderkey AS VARCHAR) AS file_path, n AS line_no, CAST(CASE WHEN p IS NULL OR ti < p THEN ti ELSE ti - p END AS BIGINT) AS delta FROM (SELECT *, lag(ti) OVER (PARTITION BY l_orderkey ORDER BY n) AS p FROM counts) WHERE p IS NULL OR ti <> p", "counts"))
@@ -60,7 +60,7 @@ def _(spark, d):
     path = f"{shared_dir(spark)}/sessionloom/counts-{uuid.uuid4().hex}"
     _rollout_counts(utc(spark), d).select(
         F.col("l_orderkey").cast("string").alias("file_path"), F.col("n").cast("long").alias("line_no"), F.col("ti").alias("total")
-    ).coalesce(1).write.parquet(f"{path}/counts.parquet")
+    ).write.parquet(f"{path}/counts.parquet")
     stream = spark.readStream.schema("file_path string, line_no long, total long").parquet(f"{path}/counts.parquet")
     return J.to_table(J.stateful_counters(stream))
 
@@ -75,15 +75,26 @@ def _(spark, d):
     return J.to_table(J.stateful_loops(points))
 
 
-@query("stream_usage_upsert", sql("SELECT tool, count(DISTINCT coalesce(tool || ':' || dedup_key, 'k' || seq)) AS n FROM usage_raw GROUP BY 1", "usage_raw"))
+@query(
+    "stream_usage_upsert",
+    sql(
+        """SELECT id, arg_min(tool, seq) AS tool, arg_min(session_id, seq) AS session_id, arg_min(model, seq) AS model, epoch_ms(arg_min(ts, seq)) AS ms,
+ coalesce(arg_max(project_path, seq) FILTER (coalesce(project_path, '') <> ''), '') AS project, arg_max(input, seq) AS input, arg_max(output, seq) AS output,
+ arg_max(cache_read, seq) AS cache_read, arg_max(cache_write, seq) AS cache_write FROM identified GROUP BY id""",
+        "identified",
+    ),
+)
 def _(spark, d):
+    """In several micro-batches."""
     path = f"{shared_dir(spark)}/sessionloom/usage-{uuid.uuid4().hex}"
     events = usage_identity(B.usage_raw(spark, d)).withColumn("project", F.coalesce("project_path", F.lit("")))
-    events.select("id", "seq", "tool", "session_id", "project", "model", "ts", "input", "output", "cache_read", "cache_write").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("id string, seq long, " + J.STORED_SCHEMA.split(", ", 1)[1]).parquet(f"{path}/in")
-    table = J.VersionedTable(spark, f"{path}/out", J.STORED_SCHEMA)
-    J.stream_usage_upsert(stream, table)
-    return table.read().groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
+    columns = ("id", "seq", "tool", "session_id", "project", "model", "ts", "input", "output", "cache_read", "cache_write")
+    events.select(*columns).repartition(6, "seq").write.parquet(f"{path}/in")
+    schema = "id string, seq long, tool string, session_id string, project string, model string, ts timestamp, input long, output long, cache_read long, cache_write long"
+    J.stream_usage_upsert(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), f"{path}/out")
+    return J.combined_usage(J.batches(spark, f"{path}/out", J.STORED_SCHEMA)).select(
+        "id", "tool", "session_id", "model", F.unix_millis("ts").alias("ms"), "project", "input", "output", "cache_read", "cache_write"
+    )
 
 
 @query("stream_sync", sql("SELECT 'k' || (doc_id % 500) AS key, arg_max(sha256(text), doc_id) AS hash FROM documents GROUP BY 1"))
@@ -91,6 +102,6 @@ def _(spark, d):
     docs = J.landed(utc(spark), d, "documents.parquet").select(
         F.concat(F.lit("k"), (F.col("doc_id") % 500).cast("string")).alias("key"), F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("seq")
     )
-    remote = J.VersionedTable(spark, f"{shared_dir(spark)}/sessionloom/remote-{uuid.uuid4().hex}", "key string, hash string")
-    J.stream_sync(docs, remote)
-    return remote.read()
+    path = f"{shared_dir(spark)}/sessionloom/remote-{uuid.uuid4().hex}"
+    J.stream_sync(docs, path)
+    return J.latest_hashes(J.batches(spark, path, J.SNAPSHOT_SCHEMA)).select("key", "hash")

@@ -204,16 +204,17 @@ def _(spark, d):
     return _usage(spark, d).select(*[c.strip() for c in _USAGE_OUT.split(",")])
 
 
-@query(
-    "usage_identity",
-    sql(
-        """SELECT seq, sha256(CASE WHEN dedup_key IS NOT NULL THEN tool || ':' || dedup_key ELSE
- fp || ':' || (row_number() OVER (PARTITION BY dedup_key IS NULL, fp ORDER BY seq) - 1) END) AS id FROM (
+cte(
+    "identified",
+    """SELECT *, sha256(CASE WHEN dedup_key IS NOT NULL THEN tool || ':' || dedup_key ELSE
+ fp || ':' || (row_number() OVER (PARTITION BY fp ORDER BY seq) - 1) END) AS id FROM (
  SELECT *, '["' || tool || '","' || session_id || '","' || model || '","' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z",{"input":' || input ||
    ',"output":' || output || ',"cacheRead":' || cache_read || ',"cacheWrite":' || cache_write || '}]' AS fp FROM usage_raw)""",
-        "usage_raw",
-    ),
+    "usage_raw",
 )
+
+
+@query("usage_identity", sql("SELECT seq, id FROM identified", "identified"))
 def _(spark, d):
     return usage.usage_identity(B.usage_raw(spark, d)).select("seq", "id")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..context import cut
+from ..context import shared_dir
 from ..functions import variant as V
 from ..operators.blocks import running
 
@@ -116,7 +118,7 @@ def kv_to_messages(kv: DataFrame) -> tuple[DataFrame, DataFrame]:
     header itself. A missing bubble makes the session incomplete; the workspace counts only when it is unique.
     """
     v = F.try_parse_json("value")
-    composers = kv.where(F.col("key").startswith("composerData:")).select(F.substring("key", 14, 1 << 20).alias("session_id"), v.alias("v")).where(V.is_object(F.col("v")))
+    composers = kv.where(F.col("key").startswith("composerData:")).select(F.expr("substring(key, 14)").alias("session_id"), v.alias("v")).where(V.is_object(F.col("v")))
     listed = F.coalesce(*[V.array(F.col("v"), f"$.{n}") for n in ("fullConversationHeadersOnly", "conversationHeaders", "conversation")])
     heads = composers.select("session_id", listed.alias("headers"))
     refs = heads.select("session_id", F.posexplode("headers").alias("pos", "h")).select("session_id", "pos", "h", V.text(F.col("h"), "$.bubbleId").alias("bubble"))
@@ -155,19 +157,24 @@ def kv_to_messages(kv: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, sessions
 
 
-def reachable_messages(edges: DataFrame, blobs: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def reachable_messages(edges: DataFrame, blobs: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reached blobs, incomplete stores) from each store's root, every blob once.
 
-    ``edges``: store, parent, child. ``blobs``: store, id. ``roots``: store, id. One join per level; only the new
-    frontier is expanded and written, and the loop ends when it is empty.
+    ``edges``: store, parent, child. ``blobs``: store, id. ``roots``: store, id. One join per level; each level is
+    written once, beside the earlier ones, and the loop ends when a level is empty, however deep the store.
     """
-    visited = frontier = cut(roots.select("store", "id").distinct())
-    for _ in range(max_depth):
-        step = frontier.join(edges.select("store", F.col("parent").alias("id"), "child"), ["store", "id"]).select("store", F.col("child").alias("id")).distinct()
-        frontier = cut(step.join(visited, ["store", "id"], "left_anti"))
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark)}/sessionloom/levels-{uuid.uuid4().hex}"
+    frontier, level = roots.select("store", "id").distinct(), 0
+    schema = frontier.schema
+    while True:
+        frontier.write.parquet(f"{folder}/level={level}")
+        frontier = spark.read.schema(schema).parquet(f"{folder}/level={level}")
+        visited = spark.read.schema(schema).parquet(folder).select("store", "id")
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
+        step = frontier.join(edges.select("store", F.col("parent").alias("id"), "child"), ["store", "id"]).select("store", F.col("child").alias("id")).distinct()
+        frontier, level = step.join(visited, ["store", "id"], "left_anti"), level + 1
     reached = visited.join(blobs.select("store", "id"), ["store", "id"], "left_semi")
     incomplete = visited.join(blobs.select("store", "id"), ["store", "id"], "left_anti").select("store").distinct()
     return reached, incomplete
@@ -269,7 +276,7 @@ def parse_commits(chunks: DataFrame, column: str = "value") -> DataFrame:
     part = lambda i: F.coalesce(F.try_element_at(header, F.lit(i)), F.lit(""))
     return chunks.where(F.trim(text) != "").select(
         part(1).alias("sha"), part(3).alias("subject"), F.try_to_timestamp(part(2)).alias("authored_at"), lines.alias("files"),
-        F.filter(F.slice(header, 5, 1_000), lambda t: F.trim(t) != "").alias("trailers"), F.trim(part(4)).contains(" ").alias("merge"),
+        F.filter(F.slice(header, F.lit(5), F.size(header)), lambda t: F.trim(t) != "").alias("trailers"), F.trim(part(4)).contains(" ").alias("merge"),
     ).where("sha <> ''")
 
 

@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import constants as K
 from ..context import shared_dir
 from ..operators.tenants import sync_diff
-from ..operators.usage import upsert_usage
 
 
 def landed(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -142,53 +141,77 @@ def stateful_loops(points: DataFrame, gap_ms: int = K.SITTING_GAP_MS) -> DataFra
 # --- upserts ------------------------------------------------------------------------------
 
 
-class VersionedTable:
-    """Parquet versions in numbered folders; a pointer file names the current one. No table format needed."""
+def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One folder for each micro-batch; a repeated batch replaces its own folder and no other."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def _pointer(self) -> DataFrame | None:
-        try:
-            return self.spark.read.text(f"{self.path}/current")
-        except Exception:  # noqa: BLE001  no version yet
-            return None
+def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches; ``start_table`` must have made the table."""
+    return spark.read.schema(f"{schema}, batch_id long").parquet(path)
 
-    def read(self) -> DataFrame:
-        pointer = self._pointer()
-        if pointer is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{pointer.first()[0]}")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        """Idempotent for a repeated batch: the same version is written again before the pointer moves."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.range(0, 1, 1, 1).select(F.lit(f"v{version}").alias("value")).write.mode("overwrite").text(f"{self.path}/current")
+def start_table(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table: batch -1 without rows."""
+    append_batch(spark.createDataFrame([], schema), path, -1)
+
+
+def compact(current: DataFrame, path: str) -> None:
+    """Write what a table holds as the only batch of a new one; readers move to it when it is complete."""
+    append_batch(current, path, -1)
 
 
 STORED_SCHEMA = (
-    "id string, tool string, session_id string, project string, model string, ts timestamp, input long, output long, cache_read long, cache_write long"
+    "id string, first_seq long, seq long, project_seq long, tool string, session_id string, project string, model string, ts timestamp, "
+    "input long, output long, cache_read long, cache_write long"
 )
+_IDENTITY, _COUNTERS = ("tool", "session_id", "model", "ts"), ("input", "output", "cache_read", "cache_write")
+
+
+def combined_usage(rows: DataFrame) -> DataFrame:
+    """One row per id: what the first record names, the last counters, the last project that isn't empty.
+
+    The order is that of ``seq``, so neither the order of batches nor a repeated one changes the result.
+    """
+    return rows.groupBy("id").agg(
+        F.min("first_seq").alias("first_seq"), F.max("seq").alias("seq"),
+        F.max(F.when(F.col("project") != "", F.col("project_seq"))).alias("project_seq"),
+        F.min_by(F.struct(*_IDENTITY), "first_seq").alias("named"), F.max_by(F.struct(*_COUNTERS), "seq").alias("counted"),
+        F.coalesce(F.max_by("project", F.when(F.col("project") != "", F.col("project_seq"))), F.lit("")).alias("project"),
+    ).select("id", "first_seq", "seq", "project_seq", "named.*", "counted.*", "project").select(*[c.split()[0] for c in STORED_SCHEMA.split(", ")])
 
 
-def stream_usage_upsert(events: DataFrame, table: VersionedTable) -> None:
-    """Later counters of a response replace earlier ones. ``events`` carries id, seq and the stored columns."""
+def stream_usage_upsert(events: DataFrame, path: str) -> None:
+    """Later counters of a response replace earlier ones. ``events`` carries id, seq and the stored columns.
+
+    Each batch is combined and appended; ``combined_usage(batches(…))`` is the table.
+    """
+    start_table(events.sparkSession, path, STORED_SCHEMA)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(upsert_usage(table.read(), batch).drop("changed").select(*[c.split()[0] for c in STORED_SCHEMA.split(", ")]), batch_id)
+        whole = batch.withColumn("project", F.coalesce("project", F.lit(""))).withColumn("first_seq", F.col("seq")).withColumn("project_seq", F.col("seq"))
+        append_batch(combined_usage(whole), path, batch_id)
 
     fold(events, write)
 
 
-def stream_sync(snapshots: DataFrame, remote: VersionedTable) -> None:
-    """Checkpointed delta upload: only keys whose hash the remote does not have are written."""
+SNAPSHOT_SCHEMA = "key string, hash string, seq long"
+
+
+def latest_hashes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq"))
+
+
+def stream_sync(snapshots: DataFrame, path: str) -> None:
+    """Checkpointed delta upload: only keys whose hash the remote does not have are appended."""
+    spark = snapshots.sparkSession
+    start_table(spark, path, SNAPSHOT_SCHEMA)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        have = remote.read()
-        latest = batch.groupBy("key").agg(F.max_by("hash", "seq").alias("hash"))
-        todo = sync_diff(latest, have, have).where("action = 'upload'").select("key")
-        fresh = latest.join(todo, "key", "left_semi")
-        remote.write(have.join(fresh.select("key"), "key", "left_anti").unionByName(fresh), batch_id)
+        have = latest_hashes(batches(spark, path, SNAPSHOT_SCHEMA).where(F.col("batch_id") < batch_id))
+        fresh = latest_hashes(batch.select("key", "hash", F.col("seq").cast("long")))
+        todo = sync_diff(fresh, have, have).where("action = 'upload'").select("key")
+        append_batch(fresh.join(todo, "key", "left_semi"), path, batch_id)
 
     fold(snapshots, write)
 

@@ -348,13 +348,85 @@ def test_decision_supersession(spark):
     assert got["plain"] is None and got["foreign"] == got["young"] == "superseded decision does not fit"
 
 
-def test_index_write_replaces_only_touched_partitions(spark, tmp_path):
-    s = spark.createDataFrame([("a", date(2024, 1, 1)), ("b", date(2024, 2, 1))], "file_path string, created_at date")
-    m = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "file_path string, msg_index long, text string")
-    archive.write_session_index(s, m, str(tmp_path / "i"))
-    archive.write_session_index(s.where("file_path = 'a'"), m.where("file_path = 'a'"), str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i/sessions")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "i/messages")).count() == 2
+def test_index_write_keeps_other_files_of_a_partition(spark, tmp_path):
+    s = spark.createDataFrame([("a", date(2024, 1, 1)), ("b", date(2024, 1, 2)), ("c", date(2024, 2, 1))], "file_path string, created_at date")
+    m = spark.createDataFrame([("a", 0, "x"), ("a", 1, "x"), ("b", 0, "y"), ("c", 0, "z")], "file_path string, msg_index long, text string")
+    archive.write_session_index(s, m, str(tmp_path / "1"), keys=1)
+    changed = spark.createDataFrame([("a", 0, "new")], m.schema)
+    archive.write_session_index(s.where("file_path = 'a'"), changed, str(tmp_path / "2"), previous=str(tmp_path / "1"), keys=1)
+    assert sorted(r.file_path for r in spark.read.parquet(str(tmp_path / "2/sessions")).collect()) == ["a", "b", "c"]
+    assert sorted((r.file_path, r.text) for r in spark.read.parquet(str(tmp_path / "2/messages")).collect()) == [("a", "new"), ("b", "y"), ("c", "z")]
+
+
+def _stored(spark, rows):
+    schema = "id string, seq long, tool string, session_id string, project string, model string, ts timestamp, input long, output long, cache_read long, cache_write long"
+    return spark.createDataFrame([(i, q, t, "s", p, "m", None, n, 0, 0, 0) for i, q, t, p, n in rows], schema)
+
+
+def test_repeated_and_reordered_batches_change_nothing(spark, tmp_path):
+    from sessionloom.streaming import jobs as J
+
+    def put(rows, path, batch):
+        whole = _stored(spark, rows).withColumn("first_seq", F.col("seq")).withColumn("project_seq", F.col("seq"))
+        J.append_batch(J.combined_usage(whole), path, batch)
+
+    first, second = [("a", 1, "t", "p", 1), ("b", 2, "t", "", 1)], [("a", 3, "u", "", 9), ("c", 4, "t", "q", 1)]
+    results = []
+    for name, order in (("x", [(0, first), (1, second), (1, second), (0, first)]), ("y", [(0, second), (1, first)])):
+        path = str(tmp_path / name)
+        J.start_table(spark, path, J.STORED_SCHEMA)
+        assert J.combined_usage(J.batches(spark, path, J.STORED_SCHEMA)).count() == 0
+        for batch, rows in order:
+            put(rows, path, batch)
+        results.append({(r.id, r.tool, r.project, r.input) for r in J.combined_usage(J.batches(spark, path, J.STORED_SCHEMA)).collect()})
+    assert results[0] == results[1] == {("a", "t", "p", 9), ("b", "t", "", 1), ("c", "t", "q", 1)}
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from sessionloom.context import shared_dir
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf({"spark.master": master})
+
+    assert shared_dir(Session("local[4]")).startswith("/tmp/")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(Session(master))
+
+
+def test_wide_budget_elides_nothing(spark):
+    arcs = spark.range(0, 1000).select(
+        F.lit("f").alias("file_path"), (F.col("id") + 1).alias("turn"), (2 * F.col("id")).alias("msg_index"), F.lit("u").alias("user"), F.lit("a").alias("assistant")
+    )
+    messages = arcs.select("file_path", "msg_index")
+    assert sessions.elide_middle(arcs, messages, budget=100_000).count() == 1000
+    few = sessions.elide_middle(arcs, messages, budget=2_000)
+    assert 0 < few.count() < 60
+
+
+def test_deep_stores_are_followed_to_the_end(spark):
+    edges = spark.range(0, 12).select(F.lit("s").alias("store"), F.col("id").cast("string").alias("parent"), (F.col("id") + 1).cast("string").alias("child"))
+    blobs = spark.range(0, 12).select(F.lit("s").alias("store"), F.col("id").cast("string").alias("id"))
+    reached, incomplete = native.reachable_messages(edges, blobs, spark.createDataFrame([("s", "0")], "store string, id string"))
+    assert reached.count() == 12 and incomplete.count() == 1
+
+
+def test_twins_with_and_without_key_are_numbered_together(spark):
+    rows = [(1, "k", "t"), (2, None, "t"), (3, None, "t")]
+    events = spark.createDataFrame(rows, "seq long, dedup_key string, tool string").selectExpr(
+        "*", "'s' AS session_id", "'m' AS model", "timestamp '2024-01-01' AS ts", "1L AS input", "2L AS output", "0L AS cache_read", "0L AS cache_write"
+    )
+    found = {r.seq: r.id for r in U.usage_identity(events).collect()}
+    import hashlib
+
+    text = '["t","s","m","2024-01-01T00:00:00.000Z",{"input":1,"output":2,"cacheRead":0,"cacheWrite":0}]'
+    assert found[1] == hashlib.sha256(b"t:k").hexdigest()
+    assert [found[i] for i in (2, 3)] == [hashlib.sha256(f"{text}:{n}".encode()).hexdigest() for n in (1, 2)]
 
 
 def test_closed_stream_loops_agree_with_batch(spark, tmp_path):
