@@ -59,6 +59,31 @@ def stem_terms(terms: DataFrame) -> DataFrame:
 # --- scan ranking ------------------------------------------------------------------
 
 
+def surface_forms(spaced: DataFrame, columns: Sequence[str], stems: Sequence[str]) -> dict[str, list[str]]:
+    """stem -> the corpus' own words that have it. Only words that begin like a stem leave their rows.
+
+    A rule of the stemmer changes at most the last two letters of what it leaves, so the other letters begin the word.
+    """
+    starts = sorted({s[: max(1, len(s) - 2)] for s in stems})
+    if not starts:
+        return {}
+    pattern = F.lit(f" ((?:{'|'.join(map(re.escape, starts))})[^ ]*) ")
+    found = [F.regexp_extract_all(F.col(f"__{c}"), pattern, F.lit(1)) for c in columns]
+    words = spaced.select(F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("term"))
+    forms: dict[str, list[str]] = {s: [] for s in stems}
+    for r in stem_terms(words).where(F.col("stem").isin(*stems)).collect():
+        forms[r["stem"]].append(r["term"])
+    return {s: sorted(terms) for s, terms in forms.items()}
+
+
+def form_count(spaced: Column, phrase: Sequence[str], forms: Mapping[str, Sequence[str]]) -> Column:
+    """Occurrences of a phrase of stems, by the words that have them."""
+    if not all(forms[s] for s in phrase):
+        return F.lit(0).cast("long")
+    text = "".join(f" (?:{'|'.join(map(re.escape, forms[s]))}) " for s in phrase)
+    return F.regexp_count(spaced, F.lit(f"(?={text})")).cast("long")
+
+
 def phrase_count(spaced: Column, phrase: Sequence[str]) -> Column:
     """Occurrences of a phrase in spaced terms.
 
@@ -77,20 +102,28 @@ def _bm25(tf: Column, length: Column, avg: Column, idf: Column) -> Column:
 
 
 def scan_bm25(
-    corpus: DataFrame, phrases: list[list[str]], columns: Mapping[str, float], keys: Sequence[str]
+    corpus: DataFrame, phrases: list[list[str]], columns: Mapping[str, float], keys: Sequence[str], stemmed: bool = False
 ) -> DataFrame:
     """Rank rows by weighted BM25 (negative is better) without an index.
 
     Frequencies are counted inside each row and the statistics are one aggregate, so the corpus is never
-    shuffled. Output: keys, rank; only rows with a match.
+    shuffled. With ``stemmed`` words match by their stems: one more pass finds the words that have them, and only
+    the distinct words are stemmed. Output: keys, rank; only rows with a match. No phrases, no rows.
     """
     keys = list(keys)
+    if not phrases:
+        return corpus.select(*keys, F.lit(0.0).alias("rank")).limit(0)
     texts = corpus.select(*keys, *[T.spaced_terms(F.col(c)).alias(f"__{c}") for c in columns])
+    if stemmed:
+        phrases = [list(p) for p in dict.fromkeys(tuple(p) for p in stem_phrases(phrases))]
+        forms = surface_forms(texts, list(columns), sorted({s for p in phrases for s in p}))
     length = sum((T.count_terms(F.col(f"__{c}")) for c in columns), F.lit(0))
     measured = F.struct(
         length.cast("double").alias("__len"),
         *[
-            sum((F.lit(w) * phrase_count(F.col(f"__{c}"), p) for c, w in columns.items()), F.lit(0.0)).alias(f"__f{i}")
+            sum(
+                (F.lit(w) * (form_count(F.col(f"__{c}"), p, forms) if stemmed else phrase_count(F.col(f"__{c}"), p)) for c, w in columns.items()), F.lit(0.0)
+            ).alias(f"__f{i}")
             for i, p in enumerate(phrases)
         ],
     )
@@ -187,12 +220,12 @@ def session_text(sessions: DataFrame) -> DataFrame:
 
 
 def rank_sessions(sessions: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    return scan_bm25(session_text(sessions), phrases, K.SESSION_COLUMN_WEIGHTS, ["file_path"])
+    return scan_bm25(session_text(sessions), phrases, K.SESSION_COLUMN_WEIGHTS, ["file_path"], stemmed=True)
 
 
 def rank_messages(messages: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """Ranks of single messages; a user's own words count one and a half times."""
-    raw = scan_bm25(messages, phrases, {"text": 1.0}, ["file_path", "msg_index", "role"])
+    raw = scan_bm25(messages, phrases, {"text": 1.0}, ["file_path", "msg_index", "role"], stemmed=True)
     boost = F.when(F.col("role") == "user", F.lit(K.USER_HIT_BOOST)).otherwise(F.lit(1.0))
     return raw.withColumn("rank", F.col("rank") * boost)
 
@@ -212,12 +245,18 @@ def top_hits(message_hits: DataFrame) -> DataFrame:
 
 
 def search_sessions(sessions: DataFrame, messages: DataFrame, query: str, limit: int = K.RANKED_LIMIT, kept: DataFrame | None = None) -> DataFrame:
-    """Ranked sessions for free text. ``kept`` (file_path) restricts the result, never the statistics."""
+    """Ranked sessions for free text. ``kept`` (file_path) restricts the result, never the statistics.
+
+    A query without words gives the recent sessions, newest first, with rank 0; see ``sessions.recent_order``.
+    """
     phrases = parse_query(query)
-    ranked = merge_hits(rank_sessions(sessions, phrases), rank_messages(messages, phrases))
     wanted = sessions.select("file_path", "session_id", "tool", "date", "custom_title", "first_prompt")
     if kept is not None:
         wanted = wanted.join(kept.select("file_path"), "file_path", "left_semi")
+    if not phrases:
+        recent = wanted.select("file_path", F.lit(0.0).alias("rank"), *[c for c in wanted.columns if c != "file_path"])
+        return recent.orderBy(F.desc_nulls_first("date"), "file_path").limit(max(1, limit))
+    ranked = merge_hits(rank_sessions(sessions, phrases), rank_messages(messages, phrases))
     return ranked.join(wanted, "file_path").orderBy("rank", F.desc_nulls_first("date"), "file_path").limit(max(1, limit))
 
 
@@ -225,14 +264,21 @@ def with_snippets(results: DataFrame, messages: DataFrame, hits: DataFrame, phra
     """Best hits of the results with a window of words around the first match. Only result rows are cut."""
     shown = top_hits(hits.join(results.select("file_path"), "file_path", "left_semi"))
     texts = messages.join(shown.select("file_path", "msg_index", "hit", "rank"), ["file_path", "msg_index"])
-    return texts.select("file_path", "msg_index", "role", "hit", snippet(F.col("text"), phrases).alias("snippet"))
+    return texts.select("file_path", "msg_index", "role", "hit", snippet(F.col("text"), phrases, _forms_of(texts, phrases)).alias("snippet"))
+
+
+def _forms_of(messages: DataFrame, phrases: list[list[str]]) -> list[str]:
+    """The words of the messages that have a stem of the query."""
+    stems = sorted({s for p in stem_phrases(phrases) for s in p})
+    forms = surface_forms(messages.select(T.spaced_terms(F.col("text")).alias("__text")), ["text"], stems)
+    return sorted({t for terms in forms.values() for t in terms})
 
 
-def snippet(text: Column, phrases: list[list[str]]) -> Column:
-    """At most 32 words around the first match, with marks where text was cut."""
+def snippet(text: Column, phrases: list[list[str]], forms: Sequence[str] | None = None) -> Column:
+    """At most 32 words around the first match, with marks where text was cut. ``forms``: the words that match, if not the query's own."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    terms = [t for p in phrases for t in p]
-    hit = F.filter(F.transform(words, lambda w, i: F.when(F.arrays_overlap(T.tokens(w), F.array(*[F.lit(t) for t in terms])), i)), lambda i: i.isNotNull())
+    terms = [t for p in phrases for t in p] if forms is None else list(forms)
+    hit = F.filter(F.transform(words, lambda w, i: F.when(F.arrays_overlap(T.tokens(w), F.array(*[F.lit(t) for t in terms]).cast("array<string>")), i)), lambda i: i.isNotNull())
     first = F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(0))
     size = F.lit(K.SNIPPET_TOKENS)
     start = F.greatest(F.least(first - 8, F.size(words) - size), F.lit(0))
@@ -242,7 +288,7 @@ def snippet(text: Column, phrases: list[list[str]]) -> Column:
 
 def session_excerpts(messages: DataFrame, phrases: list[list[str]], limit: int = K.HITS_PER_SESSION) -> DataFrame:
     """Best messages of every session for a query; sentinels are dropped after the cut."""
-    ranked = scan_bm25(messages, phrases, {"text": 1.0}, ["file_path", "msg_index", "role"])
+    ranked = scan_bm25(messages, phrases, {"text": 1.0}, ["file_path", "msg_index", "role"], stemmed=True)
     best = top_n(ranked, ["file_path"], [F.col("rank"), F.col("msg_index")], limit)
     return best.where("msg_index >= 0")
 

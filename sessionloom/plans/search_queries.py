@@ -45,12 +45,67 @@ cte(
     """SELECT file_path, first_prompt || chr(10) || custom_title AS headline, replace(commands, ',', chr(10)) AS commands, replace(files_touched, ',', chr(10)) || chr(10) || replace(files_read, ',', chr(10)) AS paths FROM sess""",
     "sess",
 )
+# Porter's algorithm by regular expressions over the distinct words: the SQL stems by itself.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M0, _M1, _EQ1 = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$"
+_HAS_V, _CVC = f"^({_C})?[aeiouy]", f"^{_C}[aeiouy][^aeiouwxy]$"
+
+
+def _suffixes(rules: dict[str, str | None], condition: str) -> str:
+    """The longest suffix decides; a rule applies where what it leaves meets the condition."""
+    whens = []
+    for suffix in sorted(rules, key=len, reverse=True):
+        stem = f"left(w, length(w) - {len(suffix)})"
+        more = f" AND regexp_matches({stem}, '[st]$')" if suffix == "ion" else ""
+        whens.append(f"WHEN ends_with(w, '{suffix}') THEN CASE WHEN regexp_matches({stem}, '{condition}'){more} THEN {stem} || '{rules[suffix] or ''}' ELSE w END")
+    return f"CASE {' '.join(whens)} ELSE w END"
+
+
+_STEP2 = dict(zip(
+    "ational tional enci anci izer bli alli entli eli ousli ization ation ator alism iveness fulness ousness aliti iviti biliti logi".split(),
+    "ate tion ence ance ize ble al ent e ous ize ate ate al ive ful ous al ive ble log".split(), strict=True,
+))
+_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP4 = dict.fromkeys("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), "")
+_E = "left(w, length(w) - 1)"
+cte("spoken_terms", f"SELECT DISTINCT unnest(t) AS term FROM (SELECT {TOK.format(c='text')} AS t FROM seen UNION ALL SELECT {TOK.format(c='headline')} FROM sess_text UNION ALL SELECT {TOK.format(c='commands')} FROM sess_text UNION ALL SELECT {TOK.format(c='paths')} FROM sess_text)", "seen", "sess_text")
+cte("stem0", "SELECT term, regexp_replace(term, '^y', 'Y') AS w FROM spoken_terms WHERE length(term) > 2 AND regexp_matches(term, '^[a-z]+$')", "spoken_terms")
+cte("stem1a", f"SELECT term, CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN left(w, length(w) - 2) WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN {_E} ELSE w END AS w FROM stem0", "stem0")
+cte(
+    "stem1b",
+    f"""SELECT term, CASE WHEN NOT cut THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
+ WHEN length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND NOT regexp_matches(w, '[aeiouylsz]$') THEN {_E} WHEN regexp_matches(w, '{_CVC}') THEN w || 'e' ELSE w END AS w FROM (
+ SELECT term, CASE WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{_M0}') THEN {_E} ELSE w END WHEN cut THEN left(w, length(w) - n) ELSE w END AS w, cut FROM (
+ SELECT *, NOT ends_with(w, 'eed') AND n > 0 AND regexp_matches(left(w, length(w) - n), '{_HAS_V}') AS cut FROM (SELECT *, CASE WHEN ends_with(w, 'ed') THEN 2 WHEN ends_with(w, 'ing') THEN 3 ELSE 0 END AS n FROM stem1a)))""",
+    "stem1a",
+)
+cte("stem1c", f"SELECT term, CASE WHEN ends_with(w, 'y') AND regexp_matches({_E}, '{_HAS_V}') THEN {_E} || 'i' ELSE w END AS w FROM stem1b", "stem1b")
+cte("stem2", f"SELECT term, {_suffixes(_STEP2, _M0)} AS w FROM stem1c", "stem1c")
+cte("stem3", f"SELECT term, {_suffixes(_STEP3, _M0)} AS w FROM stem2", "stem2")
+cte("stem4", f"SELECT term, {_suffixes(_STEP4, _M1)} AS w FROM stem3", "stem3")
+cte("stem5a", f"SELECT term, CASE WHEN ends_with(w, 'e') AND (regexp_matches({_E}, '{_M1}') OR regexp_matches({_E}, '{_EQ1}') AND NOT regexp_matches({_E}, '{_CVC}')) THEN {_E} ELSE w END AS w FROM stem4", "stem4")
+cte("stem5b", f"SELECT term, CASE WHEN ends_with(w, 'll') AND regexp_matches(w, '{_M1}') THEN {_E} ELSE w END AS w FROM stem5a", "stem5a")
+cte("stems", "SELECT v.term, coalesce(replace(w, 'Y', 'y'), v.term) AS stem FROM spoken_terms v LEFT JOIN stem5b USING (term)", "spoken_terms", "stem5b")
+
+
+def _stemmed(source: str, keys: str, column: str) -> str:
+    """The keys and the column's words as stems, in order."""
+    return f"""SELECT {keys}, string_agg(stem, ' ' ORDER BY pos) AS {column} FROM (SELECT {keys}, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT {keys}, {TOK.format(c=column)} AS t FROM {source})) JOIN stems USING (term) GROUP BY ALL"""
+
+
+cte("seen_stems", f"SELECT k.file_path, k.msg_index, k.role, coalesce(s.text, '') AS text FROM seen k LEFT JOIN ({_stemmed('seen', 'file_path, msg_index', 'text')}) s USING (file_path, msg_index)", "seen", "stems")
+cte(
+    "sess_stems",
+    "SELECT k.file_path, " + ", ".join(f"coalesce({c}_.{c}, '') AS {c}" for c in ("headline", "commands", "paths")) + " FROM sess_text k "
+    + " ".join(f"LEFT JOIN ({_stemmed('sess_text', 'file_path', c)}) {c}_ USING (file_path)" for c in ("headline", "commands", "paths")),
+    "sess_text", "stems",
+)
 SESSION_QUERY = [["talk"], ["git", "status"], ["f2", "py"]] + PHRASES[:1]
 _WEIGHTS = {"headline": 10.0, "commands": 6.0, "paths": 5.0}
-cte("srank", bm25_sql("sess_text", "file_path", _WEIGHTS, SESSION_QUERY), "sess_text")
-cte("mrank0", bm25_sql("seen", "file_path, msg_index, role", {"text": 1.0}, PHRASES), "seen")
+cte("srank", bm25_sql("sess_stems", "file_path", _WEIGHTS, S.stem_phrases(SESSION_QUERY)), "sess_stems")
+cte("mrank0", bm25_sql("seen_stems", "file_path, msg_index, role", {"text": 1.0}, S.stem_phrases(PHRASES)), "seen_stems")
 cte("mrank", "SELECT file_path, msg_index, role, rank * CASE WHEN role = 'user' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS rank FROM mrank0", "mrank0")
-cte("mrank_s0", bm25_sql("seen", "file_path, msg_index, role", {"text": 1.0}, SESSION_QUERY), "seen")
+cte("mrank_s0", bm25_sql("seen_stems", "file_path, msg_index, role", {"text": 1.0}, S.stem_phrases(SESSION_QUERY)), "seen_stems")
 
 
 def _seen(spark, d):
@@ -124,12 +179,13 @@ def _(spark, d):
     return S.postings_bm25(spark, postings, lengths, PAIR, {"text": 1.0}, ["doc_id"]).withColumn("rank", F.round("rank", 6))
 
 
-@query("stemmed_postings_bm25")
+@query("stemmed_postings_bm25", sql("SELECT file_path, msg_index, round(rank, 6) AS rank FROM mrank0", "mrank0"))
 def _(spark, d):
     seen = _seen(spark, d)
     postings = cut(S.build_postings(seen, ["text"], ["file_path", "msg_index"]))
     lengths = S.document_lengths(seen, ["text"], ["file_path", "msg_index"])
-    return S.postings_bm25(spark, postings, lengths, S.stem_phrases(PHRASES), {"text": 1.0}, ["file_path", "msg_index"])
+    found = S.postings_bm25(spark, postings, lengths, S.stem_phrases(PHRASES), {"text": 1.0}, ["file_path", "msg_index"])
+    return found.withColumn("rank", F.round("rank", 6))
 
 
 cte("doc_rank", bm25_sql("documents", "doc_id", {"text": 1.0}, [["the"], ["of", "the"]]))

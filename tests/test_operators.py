@@ -453,3 +453,22 @@ def test_stream_import_of_landed_files(spark, tmp_path):
     seen = []
     J.stream_import(J.landed_lines(spark, str(tmp_path / "in"), 1), lambda batch, n: seen.append((n, batch.count())))
     assert sorted(c for _, c in seen) == [1, 2, 3]
+
+
+def test_ranking_matches_inflected_words(spark):
+    texts = [("f", 0, "user", "running tests again"), ("f", 1, "assistant", "the runner rested"), ("g", 0, "user", "nothing here"), ("g", 1, "user", "she runs a tested test")]
+    m = spark.createDataFrame(texts, "file_path string, msg_index long, role string, text string")
+    found = search.rank_messages(m, search.parse_query("test"))
+    assert {(r.file_path, r.msg_index) for r in found.collect()} == {("f", 0), ("g", 1)}
+    phrase = search.scan_bm25(m, [["run", "tests"]], {"text": 1.0}, ["file_path", "msg_index"], stemmed=True)
+    assert {(r.file_path, r.msg_index) for r in phrase.collect()} == {("f", 0)}
+    assert search.rank_messages(m, search.parse_query("absent")).count() == 0
+    twice = search.scan_bm25(m.where("msg_index = 1"), [["test", "test"]], {"text": 1.0}, ["file_path"], stemmed=True)
+    assert [r.file_path for r in twice.collect()] == ["g"]
+
+
+def test_query_without_words_lists_recent_sessions(spark):
+    rows = [("a", "s", "claude", date(2024, 1, 1), "", "x"), ("b", "t", "codex", date(2024, 3, 1), "", "x"), ("c", "u", "claude", date(2024, 2, 1), "", "x")]
+    s = spark.createDataFrame(rows, "file_path string, session_id string, tool string, date date, custom_title string, first_prompt string")
+    assert [r.file_path for r in search.search_sessions(s, None, ' "" ', limit=2).collect()] == ["b", "c"]
+    assert [r.file_path for r in search.search_sessions(s, None, "", kept=s.where("tool = 'claude'")).collect()] == ["c", "a"]
