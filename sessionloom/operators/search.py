@@ -96,7 +96,7 @@ def phrase_count(spaced: Column, phrase: Sequence[str]) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(text), F.lit("")))) / len(text)).cast("long")
 
 
-def _bm25(tf: Column, length: Column, avg: Column, idf: Column) -> Column:
+def bm25(tf: Column, length: Column, avg: Column, idf: Column) -> Column:
     k1, b = F.lit(K.BM25_K1), F.lit(K.BM25_B)
     return idf * tf * (k1 + 1) / (tf + k1 * (F.lit(1.0) - b + b * length / avg))
 
@@ -137,7 +137,7 @@ def scan_bm25(
     for i in range(len(phrases)):
         df = F.col(f"__d{i}")
         idf = F.greatest(F.log((F.col("__n") - df + 0.5) / (df + 0.5)), F.lit(K.BM25_IDF_FLOOR))
-        score = score - _bm25(F.col(f"__f{i}"), F.col("__len"), F.col("__avg"), idf)
+        score = score - bm25(F.col(f"__f{i}"), F.col("__len"), F.col("__avg"), idf)
     any_hit = F.lit(False)
     for i in range(len(phrases)):
         any_hit = any_hit | (F.col(f"__f{i}") > 0)
@@ -200,7 +200,7 @@ def postings_bm25(
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
     corpus = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("avg"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(K.BM25_IDF_FLOOR))
-    score = _bm25(F.col("tf"), F.col("length"), F.col("avg"), idf)
+    score = bm25(F.col("tf"), F.col("length"), F.col("avg"), idf)
     matched = tf.join(lengths, keys)
     return matched.join(F.broadcast(df), "phrase").join(F.broadcast(corpus)).groupBy(*keys).agg((-F.sum(score)).alias("rank"))
 

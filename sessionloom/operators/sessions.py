@@ -311,11 +311,15 @@ def page_messages(messages: DataFrame, page_size: int, page: int | None = None)
 
 
 def page_text(documents: DataFrame, size: int, id_column: str = "id") -> DataFrame:
-    """Documents cut into pages by character offset, each with the next offset (null at the end)."""
-    offsets = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(size))
-    return documents.select(id_column, F.length("content").alias("total"), "content", F.explode(offsets).alias("offset")).select(
-        id_column, "offset", F.substring("content", F.col("offset") + 1, F.lit(size)).alias("text"), "total",
-        F.when(F.col("offset") + size < F.col("total"), F.col("offset") + size).alias("next_offset"),
+    """Documents cut into pages by character offset, each with the next offset (null at the end).
+
+    Pages are cut in the row, so a document's text is not copied into every page row before the cut.
+    """
+    total = F.length("content")
+    offsets = F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(size))
+    pages = F.transform(offsets, lambda o: F.struct(o.alias("offset"), F.substring("content", o + 1, F.lit(size)).alias("text")))
+    return documents.select(id_column, total.alias("total"), F.inline(pages)).select(
+        id_column, "offset", "text", "total", F.when(F.col("offset") + size < F.col("total"), F.col("offset") + size).alias("next_offset")
     )
 
 

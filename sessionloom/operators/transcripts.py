@@ -558,16 +558,24 @@ def thinking_text(found: DataFrame) -> DataFrame:
     )
 
 
-def fold_subagent_text(messages: DataFrame) -> DataFrame:
-    """User texts of sub-agent transcripts under the path of their parent: file_path, part rows in order.
+def fold_subagent_text(messages: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """One sentinel row (index -1) per session with the user texts of its sub-agents: file_path, msg_index, role, text.
 
-    One sentinel row (index -1) per child message; the parent is found from the child's path alone.
+    The parent is found from the child's path alone; texts follow each other by child path and message. ``records``
+    (file_path, v: parsed lines) adds the text that a table-backed session stores of its children. Texts of one
+    session form one searchable row, as those of its messages do.
     """
     parent = F.concat(F.regexp_extract("file_path", r"^(.*)/subagents/[^/]+\.jsonl$", 1), F.lit(".jsonl"))
     children = messages.where(F.col("file_path").rlike(r"/subagents/[^/]+\.jsonl$") & (F.col("role") == "user"))
-    return children.select(
-        parent.alias("file_path"), F.lit(-1).cast("long").alias("msg_index"), F.lit("user").alias("role"), "text",
-        F.col("file_path").alias("child_path"), F.col("msg_index").alias("child_index"),
+    parts = children.select(parent.alias("parent"), F.col("file_path").alias("child"), "msg_index", "text")
+    if records is not None:
+        stored = V.text(F.col("v"), "$.subagentText")
+        kept = records.where((V.any_text(F.col("v"), "$.type") == "session") & stored.isNotNull())
+        first = kept.groupBy("file_path").agg(F.min_by(stored, "line_no").alias("text")).where("text <> ''")
+        parts = parts.unionByName(first.select(F.col("file_path").alias("parent"), F.lit("").alias("child"), F.lit(0).cast("long").alias("msg_index"), "text"))
+    ordered = F.array_sort(F.collect_list(F.struct("child", "msg_index", "text")))
+    return parts.groupBy(F.col("parent").alias("file_path")).agg(F.array_join(ordered["text"], "\n").alias("text")).select(
+        "file_path", F.lit(-1).cast("long").alias("msg_index"), F.lit("user").alias("role"), "text"
     )
 
 
@@ -613,12 +621,12 @@ def session_rows(lines: DataFrame, messages: DataFrame | None = None, files: Dat
     )
 
 
-def indexed_messages(messages: DataFrame) -> DataFrame:
+def indexed_messages(messages: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Messages that search sees: assistant turns and genuine user turns, plus sub-agent sentinels."""
     visible = messages.where(
         ((F.col("role") == "assistant") | F.col("genuine"))
     ).select("file_path", "msg_index", "role", "text")
-    return visible.unionByName(fold_subagent_text(messages).select("file_path", "msg_index", "role", "text"))
+    return visible.unionByName(fold_subagent_text(messages, records))
 
 
 # --- events of native stores --------------------------------------------------------

@@ -137,12 +137,15 @@ def _(spark, d):
     return _why(spark, d)["excerpts"]
 
 
-@query("read_documents_page", sql("SELECT doc_id, substr(text, 1, 100) AS text FROM documents WHERE lang = 'es'"))
+@query(
+    "read_documents_page",
+    sql("SELECT doc_id, CAST(o AS INTEGER) AS \"offset\", substr(text, o + 1, 1000) AS text, CASE WHEN o + 1000 < length(text) THEN CAST(o + 1000 AS INTEGER) END AS next_offset FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1000)) AS o FROM documents)"),
+)
 def _(spark, d):
     from ..operators.sessions import page_text
 
-    docs = B.table(spark, d, "documents").where("lang = 'es'").select("doc_id", F.col("text").alias("content"))
-    return page_text(docs, 100, "doc_id").where("offset = 0").select("doc_id", "text")
+    docs = B.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return page_text(docs, 1000, "doc_id").select("doc_id", "offset", "text", "next_offset")
 
 
 @query("dense_weeks", sql("SELECT strftime(week, '%Y-%m-%d') AS week FROM weekly", "weekly"))

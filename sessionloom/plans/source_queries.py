@@ -360,12 +360,11 @@ def _(spark, d):
 
 @query("counter_delta", sql("SELECT l_orderkey, n, CAST(di AS BIGINT) AS delta FROM deltas", "deltas"))
 def _(spark, d):
-    from ..operators.blocks import line_block, running
+    from ..operators.blocks import line_block
 
-    c = _rollout_counts(spark, d).withColumn("block", line_block(F.col("n"))).select("l_orderkey", "block", F.col("n").cast("long").alias("n"), "ti", "tout", "tc")
-    s = running(c, ["l_orderkey"], "block", ["n"], lags={"prev": F.struct("ti", "tout", "tc")})
-    fresh = s.where(F.col("prev").isNull() | (F.struct("ti", "tout", "tc") != F.col("prev")))
-    return fresh.select("l_orderkey", "n", F.when(F.col("prev").isNull() | (F.col("ti") < F.col("prev.ti")), F.col("ti")).otherwise(F.col("ti") - F.col("prev.ti")).alias("delta"))
+    totals = F.struct(F.col("ti").alias("input_tokens"), F.col("tout").alias("output_tokens"), F.col("tc").alias("cached_input_tokens"))
+    c = _rollout_counts(spark, d).select(F.col("l_orderkey").alias("file_path"), F.col("n").cast("long").alias("line_no"), line_block(F.col("n")).alias("block"), totals.alias("totals"))
+    return U.counter_deltas(c).select(F.col("file_path").alias("l_orderkey"), F.col("line_no").alias("n"), F.col("delta.input_tokens").alias("delta"))
 
 
 @query("import_export_array", sql("SELECT model, epoch_ms(ts) AS ts_ms, session_id, input, output, cache_read, cache_write FROM usage_raw WHERE tool = 'cursor'", "usage_raw"))

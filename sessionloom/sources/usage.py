@@ -81,6 +81,23 @@ def _counter_key(u: Column) -> Column:
     return F.concat_ws(",", *[_zero(u[n]).cast("string") for n in _TOTALS[:4]])
 
 
+def counter_deltas(counts: DataFrame) -> DataFrame:
+    """Running totals to steps: adds ``prev`` (the totals last seen) and ``delta``; repeated totals drop out.
+
+    ``counts``: file_path, line_no, block, totals (a struct of counters, null where a line names none). A smaller input
+    counter is a reset: the step is then the total itself.
+    """
+    names = [f.name for f in counts.schema["totals"].dataType.fields]
+    seen = running(counts, ["file_path"], "block", ["line_no"], lasts={"seen": F.col("totals")})
+    stepped = running(cut(seen), ["file_path"], "block", ["line_no"], lags={"prev": F.col("seen")})
+    fresh = stepped.where(F.col("totals").isNull() | F.col("prev").isNull() | (F.to_json("totals") != F.to_json("prev")))
+    reset = F.coalesce(_zero(F.col("totals.input_tokens")) < _zero(F.col("prev.input_tokens")), F.lit(False)) & F.col("prev").isNotNull()
+    steps = [
+        F.when(F.col(f"totals.{n}").isNotNull(), F.greatest(F.col(f"totals.{n}") - F.when(reset, F.lit(0)).otherwise(_zero(F.col(f"prev.{n}"))), F.lit(0))).alias(n) for n in names
+    ]
+    return fresh.withColumn("delta", F.when(F.col("totals").isNotNull(), F.struct(*steps)))
+
+
 def usage_codex(records: DataFrame) -> DataFrame:
     """Token counts of rollouts to events.
 
@@ -106,15 +123,8 @@ def usage_codex(records: DataFrame) -> DataFrame:
     ready = cut(filled.where("part <> 'context' and cur_meta is not null and cur_model is not null and stamp is not null"))
     receipts = ready.where("part = 'receipt' and usage is not null")
     counts = ready.where("part = 'count'")
-    seen = running(counts, ["file_path"], "block", ["line_no"], lasts={"seen": F.col("totals")})
-    stepped = running(cut(seen), ["file_path"], "block", ["line_no"], lags={"prev": F.col("seen")})
-    fresh = stepped.where(F.col("totals").isNull() | F.col("prev").isNull() | (F.to_json("totals") != F.to_json("prev")))
-    reset = F.coalesce(_zero(F.col("totals.input_tokens")) < _zero(F.col("prev.input_tokens")), F.lit(False)) & F.col("prev").isNotNull()
-    delta = F.struct(*[
-        F.when(F.col(f"totals.{n}").isNotNull(), F.greatest(F.col(f"totals.{n}") - F.when(reset, F.lit(0)).otherwise(_zero(F.col(f"prev.{n}"))), F.lit(0))).alias(n) for n in _TOTALS
-    ])
-    usage = F.coalesce("last_usage", F.when(F.col("totals").isNotNull(), delta))
-    measured = fresh.withColumn("usage", usage).where("usage is not null").withColumn("total_key", F.when(F.col("totals").isNotNull(), _counter_key(F.col("totals")))).withColumn(
+    usage = F.coalesce("last_usage", "delta")
+    measured = counter_deltas(counts).withColumn("usage", usage).where("usage is not null").withColumn("total_key", F.when(F.col("totals").isNotNull(), _counter_key(F.col("totals")))).withColumn(
         "use_key", _counter_key(F.col("usage"))
     )
     by_total = receipts.where("thread is not null").select("file_path", _counter_key(F.col("thread")).alias("total_key")).distinct()

@@ -318,6 +318,10 @@ def test_subagent_text_and_child_ids(spark):
     m = spark.createDataFrame([("/p/a/subagents/agent-1.jsonl", 0, "user", "look", True), ("/p/a.jsonl", 0, "user", "hi", True)], "file_path string, msg_index long, role string, text string, genuine boolean")
     rows = {(r.file_path, r.msg_index, r.text) for r in X.indexed_messages(m).collect()}
     assert ("/p/a.jsonl", -1, "look") in rows
+    more = m.unionByName(spark.createDataFrame([("/p/a/subagents/agent-1.jsonl", 2, "user", "again", True), ("/p/a/subagents/agent-0.jsonl", 5, "user", "first", False), ("/p/a/subagents/agent-0.jsonl", 6, "assistant", "no", True)], m.schema))
+    stored = L.parse_lines(spark.createDataFrame([("/p/b", 1, '{"type":"session","subagentText":"kept"}')], "file_path string, line_no long, value string"))
+    folded = {(r.file_path, r.msg_index, r.text) for r in X.fold_subagent_text(more, stored).collect()}
+    assert folded == {("/p/a.jsonl", -1, "first\nlook\nagain"), ("/p/b", -1, "kept")}
     sid = spark.range(1).select(X.child_session_id(F.lit("/p/a/subagents/agent-1.jsonl"), F.lit("s"))).first()[0]
     assert sid == "s/subagents/agent-1"
 
@@ -472,3 +476,22 @@ def test_query_without_words_lists_recent_sessions(spark):
     s = spark.createDataFrame(rows, "file_path string, session_id string, tool string, date date, custom_title string, first_prompt string")
     assert [r.file_path for r in search.search_sessions(s, None, ' "" ', limit=2).collect()] == ["b", "c"]
     assert [r.file_path for r in search.search_sessions(s, None, "", kept=s.where("tool = 'claude'")).collect()] == ["c", "a"]
+
+
+def test_why_excerpts_rank_by_stems(spark):
+    from sessionloom.plans import why as W
+
+    said = ["parser parses", "parsing the parser of parsers", "unrelated words here", "more unrelated words", "tests", "other text with other words"]
+    m = spark.createDataFrame([("f", i, "user", t) for i, t in enumerate(said)] + [("g", 0, "user", "parser")], "file_path string, msg_index long, role string, text string")
+    commits = spark.createDataFrame([("k", "fix parser", ["src/parse.py"])], "sha string, subject string, files array<string>")
+    pairs = spark.createDataFrame([("k", "f")], "sha string, session_key string")
+    stems = [[porter.stem(t) for t in text.split()] for text in [*said, "parser"]]
+    wanted, average = {porter.stem(t) for t in ("fix", "parser", "parse", "py")}, sum(map(len, stems)) / len(stems)
+    rank = {}
+    for i, words in enumerate(stems[:-1]):
+        for term in wanted & set(words):
+            df = sum(term in w for w in stems)
+            idf, tf = max(math.log((len(stems) - df + 0.5) / (df + 0.5)), 1e-6), words.count(term)
+            rank[i] = rank.get(i, 0) - idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / average))
+    found = W.excerpts(pairs, commits, m).collect()
+    assert {r.msg_index: round(r["rank"], 9) for r in found} == {i: round(v, 9) for i, v in rank.items()}
