@@ -32,8 +32,8 @@ from sessionloom.context import shared_dir
 from sessionloom.llm.common import session, table
 
 END = 2
-#: Entries of a worker's table, and the longest piece that it keeps.
-ENTRIES, LONGEST = 300_000, 64
+#: Entries of a generation of a worker's table, and the longest piece that it keeps.
+ENTRIES, LONGEST = 150_000, 64
 #: The tokenizer's own pattern, for characters up to U+02AF.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼-¾"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
@@ -51,22 +51,43 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
+    """Pieces are kept in two generations: when the young one is full, it becomes the old one, and what is used again returns."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces. Those that are one word for the tokenizer are encoded in one call, between blanks."""
+        words = [p for p in pieces if PIECE.fullmatch(p) and not OTHERWISE.search(p)]
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        raw, of = np.array(found.ids, "<i4").tobytes(), np.array(found.word_ids, np.int64)
+        starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        if len(starts) != len(words):
+            words, starts = [], []
+        out = {p: raw[4 * a : 4 * b] for p, a, b in zip(words, starts, [*starts[1:], len(of)], strict=True)} if words else {}
+        for p in pieces:
+            if p not in out:
+                out[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<i4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers, without an end id. New pieces are encoded first, all at once."""
         split = [[] if not t else CHUNK.findall(t) if OTHERWISE.search(t) else PIECE.findall(t.lower()) for t in texts]
-        known = self.pieces
-        if len(known) > ENTRIES:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, "<i4").tobytes()
+        if len(self.young) > ENTRIES:
+            self.young, self.old = {}, self.young
+        known, old = self.young, self.old
+        new = []
+        for piece in set().union(*split).difference(known):
+            if piece in old:
+                known[piece] = old[piece]
+            else:
+                new.append(piece)
+        known.update(self.learn(new))
         out = [b"".join([known[p] for p in pieces]) for pieces in split]
         for piece in new:
             if len(piece) > LONGEST:
