@@ -65,14 +65,32 @@ def _(spark, d):
     return J.to_table(J.stateful_counters(stream))
 
 
-@query("stream_loops")
+@query(
+    "stream_loops",
+    sql(
+        """WITH p AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, epoch_us(ts) // 1000 AS ms, event_type = 'signup' AS turn FROM events),
+ q AS (SELECT *, max(CASE WHEN turn THEN ms END) OVER (PARTITION BY session_id ORDER BY ms, turn DESC ROWS UNBOUNDED PRECEDING) AS spoken,
+  max(CASE WHEN NOT turn THEN ms END) OVER (PARTITION BY session_id ORDER BY ms, turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+ r AS (SELECT session_id, ms, sum(CASE WHEN before IS NULL OR ms - before > 1800000 OR spoken > before THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ms, before NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run FROM q WHERE NOT turn)
+ SELECT session_id, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS steps FROM r GROUP BY session_id, run"""
+    ),
+)
 def _(spark, d):
-    e = _events(spark, d).withWatermark("ts", "2 days")
+    """The events in one batch, then a closing row, so that no run stays open."""
+    folder = f"{shared_dir(utc(spark))}/sessionloom/loops-{uuid.uuid4().hex}"
+    e = B.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     points = e.select(
         F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"), "ts", F.unix_millis("ts").alias("at_ms"),
         (F.col("event_type") == "signup").cast("int").alias("turn"),
     )
-    return J.to_table(J.stateful_loops(points))
+    closing = points.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).select(
+        F.lit("end").alias("session_id"), "ts", F.unix_millis("ts").alias("at_ms"), F.lit(1).alias("turn")
+    )
+    for rows in (points, closing):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(points.schema).parquet(f"{folder}/in").withWatermark("ts", "2 days")
+        out = J.to_table(J.stateful_loops(stream), path=f"{folder}/out", checkpoint=f"{folder}/checkpoint")
+    return out
 
 
 @query(

@@ -41,16 +41,19 @@ def fold(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str =
         query.awaitTermination()
 
 
-def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain the stream into a table in the shared folder and read it back."""
+def to_table(stream: DataFrame, mode: str = "append", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Drain the stream into a table in the shared folder and read it back.
+
+    With a path and a checkpoint of an earlier call, only what has arrived since is added.
+    """
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/sessionloom/out-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/sessionloom/out-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
-    fold(stream, write, mode)
-    return spark.read.schema(stream.schema).parquet(path)
+    fold(stream, write, mode, checkpoint)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
 # --- windows -----------------------------------------------------------------------
@@ -105,7 +108,8 @@ def stateful_loops(points: DataFrame, gap_ms: int = K.SITTING_GAP_MS) -> DataFra
     """Runs of work between human turns as they close: session_id, start_ms, end_ms, steps.
 
     ``points``: session_id, ts (watermarked), at_ms, turn (1 for a human turn). State is one open run per
-    session; an event-time timer closes it after the pause.
+    session; an event-time timer closes it after the pause. When a source has ended, one more row (of any session,
+    a turn, later than all others by the watermark's delay and the pause) closes the runs that are still open.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
