@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sessionloom.context import cut, utc
 
 #: Rows per Arrow batch of the text operators: bounds a Python worker's memory where documents are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 #: Members of a bucket compared in one piece; larger buckets are cut into blocks and compared block by block.
 BLOCK = 4096
 

@@ -32,7 +32,7 @@ STRIPPED = " \t\n\x0b\x0c\r"
 #: Digests of a shard, bits of a filter for each of them, and bits set by one.
 SHARD, BITS, PROBES = 1 << 20, 16, 4
 #: Digests that a task gathers before it adds up equal ones.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 KEYS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("last", pa.int64())])
 
 
