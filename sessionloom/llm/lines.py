@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from sessionloom.context import cut
 from sessionloom.llm.common import replace_columns, session, table
 
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -156,7 +157,7 @@ def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFra
     lowest = F.lit(-(1 << 63)).cast("long")
     drops = (
         ids.mapInArrow(_pairs(least), "hi long, lo long, doc_id long")
-        .join(repeated(docs, least, documents), ["hi", "lo"])
+        .join(cut(repeated(docs, least, documents)), ["hi", "lo"])  # as a table it can be broadcast if small, and a line of very many documents be split
         .where(F.coalesce("doc_id", lowest) < F.col("last"))
         .groupBy(F.col("doc_id").alias("_of"))
         .agg(F.collect_set(F.concat_ws(":", F.col("hi").cast("string"), F.col("lo").cast("string"))).alias("_gone"))

@@ -158,6 +158,13 @@ def test_pieces(spark):
         assert (found[i]["n_tokens"], found[i]["ids_sha256"], found[i]["decoded_sha256"]) == (len(ids), digest, hashlib.sha256(library.decode(ids).encode()).hexdigest())
 
 
+def test_pieces_come_back_as_texts(spark):
+    path = pieces.public_model()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    back = docs.select("text", pieces.tokens(F.col("text"), path).alias("ids")).select("text", pieces.texts(F.col("ids"), path).alias("back"))
+    assert back.where("text = back").count() == 50
+
+
 def test_language_held_out(spark):
     labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     held = language.op8_language(spark, SF).where("held_out").join(labels, "doc_id")
