@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from sessionloom.context import cut, utc
 BATCH_ROWS = 400
 #: Members of a bucket compared in one piece; larger buckets are cut into blocks and compared block by block.
 BLOCK = 4096
+#: Fixed value: the seed of the shingle hash.
+SEED = 42
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -46,6 +49,19 @@ def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[c.alias(n) for n, c in columns.items()])
 
 
+def hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hash of each shingle of ``width`` words; fewer words are one shingle, no words none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
+    count = max(1, len(words) - width + 1)
+    stops = ends[-count:].tolist()
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, count)
+
+
 def blocks(keyed: DataFrame, member: str, size: int = BLOCK) -> DataFrame:
     """Deal the rows of ``key`` into pieces of bounded size: ``key, piece, member…``.
 

@@ -17,6 +17,8 @@ fingerprints count once, so a group of near copies is no larger than the number
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero, which links like any other; a row is a
 document, and rows with equal ids are one. A null id is never the id of a component unless no other id is in it.
+
+The pipeline's stage does not use fingerprints but the similarity of five-word shingles (``overlap``).
 """
 
 from __future__ import annotations
@@ -27,17 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from sessionloom.context import cut
-from sessionloom.llm.common import blocks, bounds, components, forest, runs, session, table
+from sessionloom.llm import overlap
+from sessionloom.llm.common import blocks, bounds, components, forest, hashes, runs, session, table
 
-#: The generator polynomial of the Golay code, and the seed of the shingle hash.
+#: Fixed value: the generator polynomial of the Golay code.
 GENERATOR, LENGTH, CHECKS = 0b101011100011, 23, 11
-SEED = 42
 #: First bit and width of the three segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints whose keys are made at once.
@@ -49,13 +50,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     words = (text or "").encode().lower().split()  # for bytes: A-Z, and blanks are 0x20 and 0x09 to 0x0D
     if not words:
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
-    count = max(1, len(words) - width + 1)
-    stops = ends[-count:].tolist()
-    hashed = xxhash.xxh64_intdigest
-    found = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, count)
+    found = hashes(words, width)
+    count = len(found)
     votes = np.unpackbits(found.view(np.uint8).reshape(count, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(votes * 2 > count, bitorder="little").view(np.int64)[0])
 
@@ -193,8 +189,10 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id. Of rows with that id, one stays."""
-    kept = near_duplicates(docs).groupBy("component_id").agg(F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("n"))
-    kept = cut(kept.select(F.col("component_id").alias("_kept"), "n"))
-    out = docs.join(kept.select("_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
+    """Of each component of near copies by five-word shingles, the document with the smallest id stays. Of rows with that id, one stays."""
+    found, roots = overlap.near_copies(docs)
+    of = found.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    kept = cut(of.agg(F.min("doc_id").alias("_kept")).select("_kept"))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = found.join(kept, found["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").count() > kept.count()
+    return out.dropDuplicates(["doc_id"]) if repeated else out
