@@ -189,10 +189,15 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies by five-word shingles, the document with the smallest id stays. Of rows with that id, one stays."""
+    """Of each component of near copies by five-word shingles, the document with the smallest id stays, null ids last.
+
+    Among equal ids the smallest digest of the text decides, then that of the whole row; of equal rows one stays.
+    """
     found, roots = overlap.near_copies(docs)
     of = found.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    kept = cut(of.agg(F.min("doc_id").alias("_kept")).select("_kept"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = found.join(kept, found["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").count() > kept.count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    kept = cut(of.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")).alias("m")).select(F.col("m.row").alias("_row")))
+    keyed = docs.withColumn("_row", overlap.rows(docs))
+    out = keyed.join(kept.hint("shuffle_hash"), "_row", "left_semi")
+    # Rows with one key are equal in all columns: which of them stays makes no difference.
+    repeated = found.join(kept, F.col("row") == F.col("_row"), "left_semi").count() > kept.count()
+    return (out.dropDuplicates(["_row"]) if repeated else out).drop("_row")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sessionloom.llm import common, fuzzy, overlap
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,3 +72,16 @@ def test_pair_that_fingerprints_miss(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(pair)], DOCS)
     assert [r["doc_id"] for r in fuzzy.stage(spark, docs, "").collect()] == [0]
     assert overlap.alike(overlap.shingles(pair[0]), overlap.shingles(pair[1]))
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(50)) for _ in range(6)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " x"), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in data], DOCS)
+    found = sorted((r["text"], r["doc_id"]) for r in fuzzy.stage(spark, docs, "").collect())
+    assert len(found) == 6
+    third = next(t for t, _ in found if t.startswith(texts[2]))
+    assert [x for x in found if x[0] != third] == sorted([(texts[0], None), (texts[1], None), (texts[3], 7), (texts[4], 7), (texts[5], 8)], key=lambda x: x[0])
+    again = docs.repartition(5).withColumn("text", F.col("text"))
+    assert sorted((r["text"], r["doc_id"]) for r in fuzzy.stage(spark, again, "").collect()) == found
