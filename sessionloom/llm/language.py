@@ -179,6 +179,13 @@ def op8_language(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letters, and so without a language, go."""
-    found = docs.withColumn("_found_language", predictions(docs, fit(training(docs))))
+    """Documents without any letters, and so without a language, go.
+
+    Nothing else goes: which language is predicted, and with what score, rejects no document. Where no row teaches a
+    language, all documents with a letter stay.
+    """
+    model = fit(training(docs))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = docs.withColumn("_found_language", predictions(docs, model))
     return found.where(F.col("_found_language.lang_pred") != UNDETERMINED).drop("_found_language")

@@ -1,10 +1,10 @@
-"""The pipeline's near-copy stage: whole results on small inputs."""
+"""The pipeline's near-copy stage and language stage: whole results on small inputs."""
 
 import random
 
 from pyspark.sql import functions as F
 
-from sessionloom.llm import common, fuzzy, overlap
+from sessionloom.llm import common, fuzzy, language, overlap
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,3 +85,8 @@ def test_rows_without_ids_are_documents_of_their_own(spark):
     assert [x for x in found if x[0] != third] == sorted([(texts[0], None), (texts[1], None), (texts[3], 7), (texts[4], 7), (texts[5], 8)], key=lambda x: x[0])
     again = docs.repartition(5).withColumn("text", F.col("text"))
     assert sorted((r["text"], r["doc_id"]) for r in fuzzy.stage(spark, again, "").collect()) == found
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "Ein Satz.", None, None, 9), (2, "12 34 --", None, None, 8), (3, None, None, None, 0), (4, "日本", None, None, 2)], DOCS)
+    assert {r["doc_id"] for r in language.stage(spark, docs, "").collect()} == {1, 4}
