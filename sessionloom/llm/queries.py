@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import archives, contamination, fuzzy, language, lines, nearest, pieces, private, tokenfiles, toxicity
+from sessionloom.llm import archives, contamination, fuzzy, language, lexical, lines, nearest, pieces, private, spots, tokenfiles, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": contamination.op1_decontaminate,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_private": private.op9_private,
     "op10_nearest": nearest.op10_nearest,
+    "op11_spots": spots.op11_spots,
+    "op12_variants": variants.op12_variants,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
@@ -46,4 +49,30 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
 FROM seen""",
+    "op13_lexical": r"""
+WITH word AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), held AS (
+  SELECT doc_id, term, count(*) AS tf FROM word GROUP BY doc_id, term
+), doc AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY doc_id
+), total AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM doc
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), item AS (
+  SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, total GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM item JOIN weight USING (term) JOIN held USING (term) JOIN doc USING (doc_id), total GROUP BY item_id, doc_id
+), placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20""",
 }

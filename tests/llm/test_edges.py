@@ -48,7 +48,7 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_decontaminate", "op7_archives", "op10_nearest"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_decontaminate", "op7_archives", "op10_nearest", "op12_variants", "op13_lexical"}))
 def test_one_row_for_each_document(spark, folder, name):
     found = QUERIES[name](spark, folder).collect()
     assert sorted(str(r["doc_id"]) for r in found) == sorted(str(r[0]) for r in rows())
