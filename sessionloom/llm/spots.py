@@ -7,7 +7,7 @@ come in addition, so a text just above the bound and its edited form below it st
 
 The likeness of two fingerprints is the Jaccard similarity of the sets. Where a least likeness is asked for, sets are
 partitioned by their lengths such that partners lie in the same or the next partition, and a comparison ends as soon as
-what is left can't reach it any more (``likeness``; ``near_documents`` groups all documents so).
+what is left can't reach it any more (``likeness``); ``near_documents`` groups all documents by these partitions.
 
 ``with_edits`` sets each document beside its edited text and the document that follows in descending order of ids. Rows
 are dealt by split points of the order, drawn from a bounded sample of keys; each part also gets the first row of the
@@ -32,9 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
-from sessionloom.llm.common import sample, session, table
+from sessionloom.context import cut
+from sessionloom.llm.clusters import clustered
+from sessionloom.llm.common import components, sample, session, table
 
 #: Common words.
 ANCHORS = frozenset(
@@ -112,12 +114,16 @@ def spots(texts: pd.Series) -> pd.Series:
     return pd.Series([signatures(t if isinstance(t, str) else None).tobytes() for t in texts], dtype=object)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _numbers(held: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(h, "<u4").astype(np.int64) for h in held], dtype=object)
+
+
 def _part(splits: list[tuple[bool, int, int]]):
     @F.pandas_udf(IntegerType())
-    def part(ids: pd.Series, hashed: pd.Series) -> pd.Series:
-        """``ids``: complements, so that larger ids come first."""
-        none = ids.isna()
-        keys = zip(none.tolist(), ids.where(~none, 0).astype("int64").tolist(), hashed.tolist(), strict=True)
+    def part(none: pd.Series, down: pd.Series, hashed: pd.Series) -> pd.Series:
+        """``down``: complements of ids, so that larger ids come first."""
+        keys = zip(none.tolist(), down.tolist(), hashed.tolist(), strict=True)
         return pd.Series([bisect.bisect_right(splits, k) for k in keys], dtype="int32")
 
     return part
@@ -150,7 +156,7 @@ def with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     keys = keyed.select(F.col("_down").isNull().alias("none"), F.coalesce("_down", F.lit(0)).alias("down"), F.col("_hash").alias("hash"), F.xxhash64("_down", "_hash").alias("mixed"))
     drawn = sorted(tuple(r) for r in sample(keys, "mixed", DRAWN * parts, keys.count()).select("none", "down", "hash").toLocalIterator())
     splits = sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
-    placed = keyed.withColumn("_part", _part(splits)(F.col("_down"), F.col("_hash")))
+    placed = keyed.withColumn("_part", _part(splits)(F.col("_down").isNull(), F.coalesce("_down", F.lit(0)), F.col("_hash")))
     first = F.min(F.struct(F.col("_down").isNull().alias("none"), F.col("_down").alias("down"), F.col("_hash").alias("hash"))).alias("m")
     heads = sorted(tuple(r) for r in placed.drop("text", "doc_id").groupBy("_part").agg(first).select("_part", "m.down", "m.hash").toLocalIterator())
     # The first row of each part goes to the part before as well; that of the first one to the last one.
@@ -163,5 +169,31 @@ def with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return ordered.select("_own", "doc_id", "text").mapInArrow(_streamed, SCHEMA)
 
 
+def near_documents(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """``doc_id, component_id``: documents linked by a likeness of ``least`` (a fraction) or more; the smallest id, null ids aside.
+
+    Documents with equal fingerprints count once. Sets of neighbouring partitions that share one of their rarest spots
+    (so many that alike sets must share one) are candidates of one group; groups are cut into exact clusters.
+    """
+    session(docs.sparkSession)
+    printed = cut(docs.select(F.col("doc_id").cast("long"), spots(F.col("text")).alias("held")).withColumn("print", F.sha2("held", 256)))
+    nodes = cut(printed.groupBy("print").agg(F.any_value("held").alias("held")).withColumn("node", F.monotonically_increasing_id()))
+    each = nodes.select("node", F.explode(_numbers(F.col("held"))).alias("spot"))
+    often = each.groupBy("spot").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often, "spot").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "spot"))).alias("shared"))
+    size = (F.length("held") / 4).cast("int")
+    # Spots of one document only come first in the order of rareness and find no partner.
+    prefix = size - F.ceil(size * least[0] / least[1]).cast("int") + 1 - (size - F.size("shared"))
+    level = F.floor(F.log(size.cast("double")) / -math.log(least[0] / least[1]))
+    keyed = nodes.join(shared, "node").where(prefix > 0).select("node", level.alias("level"), F.explode(F.slice("shared", F.lit(1), prefix)).alias("s"))
+    buckets = keyed.select("node", F.explode(F.array("level", F.col("level") + 1)).alias("level"), F.col("s.spot").alias("spot"))
+    first = buckets.groupBy("level", "spot").agg(F.min("node").alias("a"))
+    groups = components(buckets.join(first, ["level", "spot"]).select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    members = cut(nodes.join(groups, "node").select("root", "node", "held"))
+    roots = components(clustered(members, least, "<u4"))
+    of = printed.join(nodes.select("print", "node"), "print").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return of.join(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
 def op11_spots(spark, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import common, fuzzy, language, overlap
+from sessionloom.llm import clusters, common, fuzzy, language, overlap
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,6 +63,92 @@ def test_stage_keeps_one_of_each_component(spark, monkeypatch):
     assert {r["doc_id"] for r in fuzzy.stage(spark, docs, "").collect()} == expected
 
 
+@pytest.mark.parametrize(("pivots", "part"), [(1024, 4096), (12, 7)])
+def test_clusters_of_groups(spark, monkeypatch, pivots, part):
+    """Chains, tight and scattered groups, whatever the numbers of pivots and parts."""
+    monkeypatch.setattr(clusters, "PIVOTS", pivots)
+    monkeypatch.setattr(clusters, "PART", part)
+    rng = np.random.default_rng(3)
+    sets, root = [], []
+    for g, (size, kind) in enumerate([(40, "chain"), (60, "tight"), (12, "apart"), (1, "tight"), (25, "mixed"), (2, "empty")]):
+        base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+        for k in range(size):
+            own = base.copy()
+            if kind == "chain":
+                own[: 3 * k % 60] = rng.integers(0, 1 << 63, 3 * k % 60)
+            elif kind != "tight" or k % 9 == 8:
+                at = rng.choice(60, 0 if kind == "empty" else 30 if kind == "apart" else rng.integers(0, 14), replace=False)
+                own[at] = rng.integers(0, 1 << 63, len(at))
+            sets.append(np.zeros(0, np.uint64) if kind == "empty" else np.unique(own))
+            root.append(g)
+        if kind == "chain":  # each like the one before only
+            for k in range(1, size):
+                own = sets[-size + k - 1].copy()
+                own[rng.choice(len(own), 5, replace=False)] = rng.integers(0, 1 << 63, 5)
+                sets[-size + k] = np.unique(own)
+    order = rng.permutation(len(sets))
+    rows = [(root[i], int(k), sets[i].astype("<u8").tobytes()) for k, i in enumerate(order)]
+    links = [tuple(r) for r in clusters.clustered(spark.createDataFrame(rows, "root long, node long, held binary"), (4, 5)).collect()]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        assert rows[a][0] == rows[b][0] and overlap.alike(sets[order[a]], sets[order[b]])
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][0] == rows[b][0] and 5 * len(np.intersect1d(sets[order[a]], sets[order[b]])) >= 4 * len(np.union1d(sets[order[a]], sets[order[b]])):
+                assert top(a) == top(b)
+    if part >= 500 and pivots > 1:
+        assert len(links) < len(rows)
+
+
+def test_hot_group_gives_few_links(spark):
+    """3 000 copies of one text, a few words changed in each, many pairs just under 0.8."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for _ in range(3000):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 1, 2, 3))):
+            copy[at] = f"v{rng.randrange(3000)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    seen = []
+    real = clusters.clustered
+
+    def watched(members, *args, **kw):
+        links = real(members, *args, **kw)
+        seen.append((members.count(), links.count()))
+        return links
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(overlap, "clustered", watched)
+        found = {r["doc_id"] for r in fuzzy.stage(spark, docs, "").collect()}
+    assert seen and seen[0][1] < 2 * seen[0][0]
+    names: dict[tuple, int] = {}
+    held = [np.array(sorted(names.setdefault(g, len(names)) for g in sets(t))) for t in texts]
+    matrix = np.zeros((len(texts), len(names)), np.float32)
+    for row, own in zip(matrix, held, strict=True):
+        row[own] = 1
+    size, rest, roots = matrix.sum(1), np.arange(len(texts)), set()
+    while len(rest):
+        queue = [int(rest[0])]
+        roots.add(queue[0])
+        rest = rest[1:]
+        while queue and len(rest):
+            p = queue.pop()
+            both = matrix[rest][:, held[p]].sum(1)
+            hit = 5 * both >= 4 * (size[rest] + size[p] - both)
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    assert found == roots
+
+
 def test_pair_that_fingerprints_miss(spark):
     """More than four bits apart, yet at 0.8 by five words."""
     texts = corpus()

@@ -175,6 +175,13 @@ def test_edits_odd(spark):
     rows = [(None, None), (None, "no id"), (4, "x"), (4, "x"), (4, "y of z"), (None, None)]
     assert len(spots.with_edits(frame(spark, rows), 3).collect()) == len(rows)
     assert spots.with_edits(frame(spark, []), 3).count() == 0
+    large = [(2**62 + i, f"text number {i} of many") for i in range(40)] + [(None, "none")]
+    for parts in (3, 11):
+        found = {r["doc_id"]: r["edited_sha256"] for r in spots.with_edits(frame(spark, large), parts).collect()}
+        for i in range(1, 40):
+            text, after = large[i][1], large[i - 1][1]
+            cut = len(text) // 3
+            assert found[2**62 + i] == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
 
 
 def test_likeness_and_partitions():
@@ -187,3 +194,28 @@ def test_likeness_and_partitions():
         assert spots.likeness(a, b, least) == (pytest.approx(exact) if exact >= least else pytest.approx(0) if spots.likeness(a, b, least) == 0 else pytest.approx(exact))
         if exact >= least and len(a) and len(b):
             assert abs(int(spots.partition(len(a), least)) - int(spots.partition(len(b), least))) <= 1
+
+
+def test_near_documents(spark):
+    rng = random.Random(9)
+    words = "the of and a is to".split() * 12 + [f"word{i}" for i in range(400)]
+    texts = ["", None, "the of", "one two three"]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.randint(5, 250))
+        for changes in (0, 0, 1, 2, 5, 12):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(changes, len(copy))):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    held, root = [plain_spots(t or "") for t in texts], list(range(len(texts)))
+    for start in range(len(texts)):
+        queue = [start] if root[start] == start else []
+        while queue:
+            at = queue.pop()
+            for i in range(start + 1, len(texts)):
+                if root[i] == i and jaccard(held[at], held[i]) >= 0.8:
+                    root[i] = start
+                    queue.append(i)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    assert {r["doc_id"]: r["component_id"] for r in spots.near_documents(frame(spark, rows)).collect()} == dict(enumerate(root))
