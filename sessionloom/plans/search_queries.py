@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import bindings as B
-from ..context import cut
+from ..context import cut, shared_dir
 from ..functions import text as T
 from ..operators import search as S
+from ..operators import search_index as I
 from ..operators.blocks import top_n
 from . import session_queries  # noqa: F401  (shared SQL)
 from .registry import cte, query, sql
@@ -144,6 +147,59 @@ def _(spark, d):
     return found.select("file_path", F.round("rank", 6).alias("rank"))
 
 
+INDEX_QUERY = "talk git-status f2.py " + PHRASES[0][0]
+_STEMS = ", ".join(f"'{t}'" for t in sorted({t for p in S.stem_phrases(S.parse_query(INDEX_QUERY)) for t in p}))
+_MARKED = """CASE WHEN start > 0 THEN '…' ELSE '' END || array_to_string(words[start + 1 : start + 32], ' ') || CASE WHEN start + 32 < len(words) THEN '…' ELSE '' END"""
+
+
+def _window(source: str, keys: str, text: str) -> str:
+    """The words around the first one that has a stem of the query, per row of the source."""
+    hit = f"list_position(list_transform(words, lambda w: list_has_any({TOK.format(c='w')}, terms)), true)"
+    return f"""SELECT {keys}, {_MARKED} AS snippet FROM (SELECT *, greatest(least(coalesce({hit}, 1) - 1 - 8, len(words) - 32), 0) AS start FROM (
+ SELECT *, list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '') AS words FROM {source}, (SELECT list(term) AS terms FROM stems WHERE stem IN ({_STEMS})) f))"""
+
+
+cte(
+    "index_ranked",
+    """SELECT s.file_path, s.first_prompt, s.custom_title, coalesce(a.rank, 0) + coalesce(m.rank, 0) AS rank FROM sess s LEFT JOIN srank a ON a.file_path = s.file_path
+ LEFT JOIN (SELECT file_path, min(rank * CASE WHEN role = 'user' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) AS rank FROM mrank_s0 GROUP BY 1) m ON m.file_path = s.file_path
+ WHERE (a.rank IS NOT NULL OR m.rank IS NOT NULL) AND s.tool <> 'codex' ORDER BY coalesce(a.rank, 0) + coalesce(m.rank, 0), s.date DESC, s.file_path LIMIT 50""",
+    "srank", "mrank_s0", "sess",
+)
+cte(
+    "index_hits",
+    """SELECT h.file_path, h.msg_index, hit, k.text FROM (SELECT file_path, msg_index, row_number() OVER (PARTITION BY file_path
+ ORDER BY round(rank * CASE WHEN role = 'user' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 9), msg_index) AS hit FROM mrank_s0 WHERE msg_index >= 0) h
+ JOIN seen k USING (file_path, msg_index) JOIN index_ranked USING (file_path) WHERE hit <= 3""",
+    "mrank_s0", "seen", "index_ranked",
+)
+cte("index_windows", _window("index_hits", "file_path, msg_index, hit", "text"), "index_hits", "stems")
+cte("index_headlines", _window("(SELECT file_path, concat_ws(chr(10), first_prompt, custom_title) AS headline FROM index_ranked)", "file_path", "headline"), "index_ranked", "stems")
+
+
+@query(
+    "search_index",
+    sql(
+        """SELECT r.file_path, round(r.rank, 6) AS rank, coalesce(h.hits, '') AS hits, coalesce(h.snippets[1], l.snippet) AS snippet, coalesce(array_to_string(h.snippets, ' | '), '') AS hit_snippets
+ FROM index_ranked r JOIN index_headlines l USING (file_path) LEFT JOIN (SELECT file_path, string_agg(CAST(msg_index AS VARCHAR), ',' ORDER BY hit) AS hits, list(snippet ORDER BY hit) AS snippets
+ FROM index_windows GROUP BY 1) h USING (file_path)""",
+        "index_ranked", "index_windows", "index_headlines",
+    ),
+)
+def _(spark, d):
+    """Two imports; the second one brings half of the sessions again, whole now."""
+    path = f"{shared_dir(spark)}/sessionloom/index-{uuid.uuid4().hex}"
+    sessions, seen = B.session_index(spark, d), _seen(spark, d)
+    again = F.pmod(F.xxhash64("file_path"), F.lit(2)) == 0
+    I.write_segment(path, 0, sessions.withColumn("first_prompt", F.when(again, F.lit("an earlier state")).otherwise(F.col("first_prompt"))), seen.where(~again | (F.col("msg_index") < 2)))
+    I.write_segment(path, 1, sessions.where(again), seen.where(again))
+    found = I.search(spark, path, INDEX_QUERY, kept=sessions.where("tool <> 'codex'"))
+    return found.select(
+        "file_path", F.round("rank", 6).alias("rank"), F.array_join(F.col("hits.msg_index").cast("array<string>"), ",").alias("hits"), "snippet",
+        F.array_join("hits.snippet", " | ").alias("hit_snippets"),
+    )
+
+
 @query("top_hits_per_session", sql("SELECT file_path, msg_index, CAST(hit AS INTEGER) AS hit FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY round(rank, 9), msg_index) AS hit FROM mrank) WHERE hit <= 3", "mrank"))
 def _(spark, d):
     ranked = S.rank_messages(_seen(spark, d), PHRASES).withColumn("rank", F.round("rank", 9))

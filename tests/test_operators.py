@@ -495,3 +495,51 @@ def test_why_excerpts_rank_by_stems(spark):
             rank[i] = rank.get(i, 0) - idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / average))
     found = W.excerpts(pairs, commits, m).collect()
     assert {r.msg_index: round(r["rank"], 9) for r in found} == {i: round(v, 9) for i, v in rank.items()}
+
+
+def test_search_index(spark, tmp_path):
+    from sessionloom.operators import search_index as I
+
+    path = str(tmp_path / "index")
+    fields = "file_path string, session_id string, tool string, date date, custom_title string, first_prompt string, commands array<string>, files_touched array<string>, files_read array<string>"
+
+    def session(name, prompt, commands=()):
+        return (name, name, "claude", None, None, prompt, list(commands), ["src/a.py"], [])
+
+    def put(segment, sessions, messages):
+        I.write_segment(path, segment, spark.createDataFrame(sessions, fields), spark.createDataFrame(messages, "file_path string, msg_index int, role string, text string"))
+
+    long = " ".join(f"w{i}" for i in range(60)) + " refactoring the parser " + " ".join(f"v{i}" for i in range(60))
+    put(0, [session("a", "git"), session("b", "old words about zebras"), session("c", None, ["status"])], [("a", 0, "user", long), ("a", 1, "assistant", "parsers parse"), ("a", -1, "user", "parser zebra"), ("b", 0, "user", "zebra zebra")])
+    put(1, [session("b", "new words", ["git status"])], [("b", 0, "user", None), ("b", 1, "assistant", "nothing of the kind")])
+    assert not I.search(spark, path, "zebra old").where("file_path = 'b'").count()  # replaced
+    found = {r["file_path"]: r for r in I.search(spark, path, "parser").collect()}
+    assert set(found) == {"a"} and [h["msg_index"] for h in found["a"]["hits"]] == [0, 1] or [h["msg_index"] for h in found["a"]["hits"]] == [1, 0]
+    cut = next(h["snippet"] for h in found["a"]["hits"] if h["msg_index"] == 0)
+    assert cut.startswith("…w54 ") and "refactoring the parser" in cut and cut.endswith("…") and len(cut.split()) == 32
+    # A phrase stays within one column: "git" heads a and "status" is a command of c, only b has both in a row.
+    assert [r["file_path"] for r in I.search(spark, path, "git-status").collect()] == ["b"]
+    assert [r["snippet"] for r in I.search(spark, path, "git-status").collect()] == ["new words"]
+    before = sorted(map(str, I.search(spark, path, "parser git status words").collect()))
+    put(1, [session("b", "new words", ["git status"])], [("b", 0, "user", None), ("b", 1, "assistant", "nothing of the kind")])
+    assert sorted(map(str, I.search(spark, path, "parser git status words").collect())) == before  # a repeated import
+    assert len(I.search(spark, path, "", limit=2).collect()) == 2 and I.search(spark, path, "unheard").count() == 0
+    kept = spark.createDataFrame([("c",)], "file_path string")
+    assert [r["file_path"] for r in I.search(spark, path, "status src", kept=kept).collect()] == ["c"]
+
+
+def test_search_index_blocks(spark, tmp_path, monkeypatch):
+    """The same ranks from one row of postings or many."""
+    from sessionloom.operators import search_index as I
+
+    fields = "file_path string, session_id string, tool string, date date, custom_title string, first_prompt string, commands array<string>, files_touched array<string>, files_read array<string>"
+    sessions = spark.createDataFrame([(f"s{i}", f"s{i}", "codex", None, f"title {i % 5}", "same words", [], [], []) for i in range(30)], fields)
+    messages = spark.createDataFrame([(f"s{i}", k, "user", "the words " * (i % 4 + k)) for i in range(30) for k in range(3)], "file_path string, msg_index int, role string, text string")
+    out = []
+    for block in (4096, 4):
+        monkeypatch.setattr(I, "BLOCK", block)
+        I.write_segment(str(tmp_path / str(block)), 0, sessions, messages)
+        out.append([(r["file_path"], round(r["rank"], 9), r["hits"]) for r in I.search(spark, str(tmp_path / str(block)), "the-words title 3").collect()])
+    assert out[0] == out[1] and len(out[0]) == 30
+    blocks = spark.read.parquet(str(tmp_path / "4" / "postings"))
+    assert blocks.where("stem = 'word'").count() > 5 and blocks.agg({"n": "max"}).first()[0] < 60
