@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +20,121 @@ def volume() -> Column:
 
 
 def dedupe_usage(events: DataFrame) -> DataFrame:
-    """One event per dedup key: larger volume, then larger cost, then fast, then first; keyless events pass.
+    """One event per dedup key; keyless events pass. The survivor takes the position (``seq``) of the first copy.
 
-    The survivor takes the position (``seq``) of the first copy. Copies are combined before the shuffle,
-    so a key that repeats very often never gathers in one task.
+    Copies replace the one held in the order of ``seq``: by a larger volume, at equal volume by a larger cost, and a fast
+    copy replaces one that isn't, whatever it costs. Where the copies of the largest volume are all fast or all not, that is
+    the first one of the largest cost. Otherwise the order decides, see ``last_held``. Copies are combined before the
+    shuffle, so a key that repeats very often never gathers in one task.
     """
     fields = [c for c in events.columns if c != "seq"]
-    best = F.struct(
-        volume(), F.coalesce("cost_usd", F.lit(0.0)), (F.coalesce("speed", F.lit("")) == "fast").cast("int"), -F.col("seq")
+    cost, fast = F.coalesce("cost_usd", F.lit(0.0)), (F.coalesce("speed", F.lit("")) == "fast").cast("int")
+    named = events.where("dedup_key is not null").withColumnRenamed("dedup_key", "__key")
+    keyed = named.groupBy("__key").agg(
+        F.min("seq").alias("seq"),
+        F.max_by(F.struct(*[F.col(c) if c != "dedup_key" else F.col("__key").alias(c) for c in fields]), F.struct(volume(), cost, fast, -F.col("seq"))).alias("e"),
     )
-    keyed = (
-        events.where("dedup_key is not null")
-        .withColumnRenamed("dedup_key", "__key")
-        .groupBy("__key")
-        .agg(F.min("seq").alias("seq"), F.max_by(F.struct(*[F.col(c) if c != "dedup_key" else F.col("__key").alias(c) for c in fields]), best).alias("e"))
-        .select("seq", "e.*")
+    copies = named.select("__key", "seq", volume().alias("volume"), cost.alias("cost"), fast.alias("fast"))
+    mixed = (
+        copies.groupBy("__key")
+        .agg(F.max(F.struct("volume", "fast")).alias("f"), F.max(F.struct("volume", (1 - F.col("fast")).alias("slow"))).alias("s"))
+        .where("f.fast = 1 and s.slow = 1")
+        .select("__key", F.col("f.volume").alias("volume"))
     )
-    return events.where("dedup_key is null").select("seq", *fields).unionByName(keyed).select(*events.columns)
+    held = last_held(copies.join(mixed, ["__key", "volume"]).select("__key", "seq", "cost", "fast"))
+    ordered = named.join(held, ["__key", "seq"]).select("__key", F.struct(*[F.col(c) if c != "dedup_key" else F.col("__key").alias(c) for c in fields]).alias("__e"))
+    single = ordered.groupBy("__key").agg(F.any_value("__e").alias("__e"))
+    settled = keyed.join(single, "__key", "left").select("seq", F.coalesce("__e", "e").alias("e")).select("seq", "e.*")
+    return events.where("dedup_key is null").select("seq", *fields).unionByName(settled).select(*events.columns)
+
+
+_PASSED = "array<struct<below: double, cost: double, fast: int, seq: bigint>>"
+
+
+class _Passage:
+    """What a stretch of copies makes of any copy held before it.
+
+    ``slow`` and ``fast`` are for a held copy of that speed: in ascending order, a held cost below ``below`` ends as that
+    copy of the stretch; a cost below none of them is still held. Steps with one outcome are one, so a passage stays
+    short whatever the length of the stretch.
+    """
+
+    def __init__(self) -> None:
+        self.slow: list[tuple] = []
+        self.fast: list[tuple] = []
+        self.top, self.closed = float("-inf"), False
+
+    def add(self, copy: tuple[float, int, int]) -> None:
+        cost, fast, _ = copy
+        self.slow = self._stepped(self.slow, copy)
+        self.fast = self._stepped(self.fast, copy)
+        if not self.closed:
+            below = float("inf") if fast else cost
+            if fast or cost > self.top:
+                self._put(self.slow, below, copy)
+            self.closed = bool(fast)
+        if cost > self.top:
+            self._put(self.fast, cost, copy)
+            self.top = cost
+
+    def _stepped(self, steps: list[tuple], copy: tuple[float, int, int]) -> list[tuple]:
+        out: list[tuple] = []
+        for below, held in steps:
+            self._put(out, below, copy if copy[0] > held[0] or (copy[1] and not held[1]) else held)
+        return out
+
+    @staticmethod
+    def _put(steps: list[tuple], below: float, held: tuple) -> None:
+        if steps and steps[-1][1] == held:
+            steps.pop()
+        steps.append((below, held))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One passage for each key of a sorted partition; only the last one is open at any time."""
+
+    def table(done: list[tuple]) -> pa.RecordBatch:
+        steps = pa.list_(pa.struct([("below", pa.float64()), ("cost", pa.float64()), ("fast", pa.int32()), ("seq", pa.int64())]))
+        rows = [[[(b, *c) for b, c in p] for p in (now.slow, now.fast)] for _, _, now in done]
+        as_dicts = lambda lists: [[dict(zip(("below", "cost", "fast", "seq"), x, strict=True)) for x in one] for one in lists]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in done], pa.string()), pa.array([f for _, f, _ in done], pa.int64()), *[pa.array(as_dicts([r[i] for r in rows]), steps) for i in (0, 1)]],
+            ["__key", "first", "slow", "fast"],
+        )
+
+    key, first, now, done = None, 0, _Passage(), []
+    for batch in batches:
+        for k, seq, cost, fast in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            if k != key:
+                if key is not None:
+                    done.append((key, first, now))
+                key, first, now = k, seq, _Passage()
+            now.add((cost, fast, seq))
+        if done:
+            yield table(done)
+            done = []
+    if key is not None:
+        yield table([(key, first, now)])
+
+
+def last_held(copies: DataFrame) -> DataFrame:
+    """``__key, seq`` of the copy that is held after all copies of a key (``__key, seq, cost, fast``) in the order of ``seq``.
+
+    A copy replaces the held one if it costs more, or is fast where that one isn't. This has no largest element: a fast
+    copy replaces a dearer slow one, which replaces a fast one of a cost between. So the order is cut into stretches by
+    ranges of key and position, each stretch is reduced to its passage, and a key's passages are walked in order.
+    """
+    dealt = copies.select(F.col("__key"), "seq", "cost", "fast").repartitionByRange("__key", "seq").sortWithinPartitions("__key", "seq")
+    passages = dealt.mapInArrow(_passages, f"__key string, first bigint, slow {_PASSED}, fast {_PASSED}")
+    listed = passages.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("first", "slow", "fast"))).alias("p"))
+    nothing = F.struct(F.lit(float("-inf")).alias("cost"), F.lit(0).alias("fast"), F.lit(None).cast("bigint").alias("seq"))
+
+    def step(held: Column, p: Column) -> Column:
+        steps = F.when(held["fast"] == 1, p["fast"]).otherwise(p["slow"])
+        after = F.try_element_at(F.filter(steps, lambda s: held["cost"] < s["below"]), F.lit(1))
+        return F.when(after.isNull(), held).otherwise(F.struct(after["cost"].alias("cost"), after["fast"].alias("fast"), after["seq"].alias("seq")))
+
+    return listed.select("__key", F.aggregate("p", nothing, step)["seq"].alias("seq"))
 
 
 def usage_identity(events: DataFrame) -> DataFrame:
@@ -48,7 +147,7 @@ def usage_identity(events: DataFrame) -> DataFrame:
         F.struct("input", "output", F.col("cache_read").alias("cacheRead"), F.col("cache_write").alias("cacheWrite"))
     )
     fingerprint = F.concat(F.substring(texts, F.lit(1), F.length(texts) - 1), F.lit(","), counters, F.lit("]"))
-    prepared = events.withColumn("__fp", fingerprint).withColumn("__block", F.floor(F.col("seq") / 65536))
+    prepared = events.withColumn("__fp", fingerprint).withColumn("__block", F.shiftright("seq", 16))
     numbered = running(prepared, ["__fp"], "__block", ["seq"], sums={"__n": F.lit(1)})
     own = F.concat("__fp", F.lit(":"), (F.col("__n") - 1).cast("string"))
     return numbered.select(*events.columns, F.sha2(F.coalesce(F.concat("tool", F.lit(":"), "dedup_key"), own), 256).alias("id"))

@@ -204,6 +204,29 @@ def _(spark, d):
     return _usage(spark, d).select(*[c.strip() for c in _USAGE_OUT.split(",")])
 
 
+@query(
+    "dedupe_usage_order",
+    sql(
+        """WITH c AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 11 = 0 THEN NULL ELSE 'k' || (event_id % 97) END AS key,
+  100 + CASE WHEN event_id % 97 > 60 AND event_id % 7 = 0 THEN 1 ELSE 0 END AS v, (event_id * 7919 % 1000) / 8.0 AS c, event_id % 4 = 1 AND event_id % 97 < 80 AS f FROM events)
+ SELECT min(seq) AS seq, 'e' || list_reduce(list({'seq': seq, 'v': v, 'c': c, 'f': f} ORDER BY seq),
+  lambda a, b: CASE WHEN b.v > a.v OR (b.v = a.v AND (b.c > a.c OR (b.f AND NOT a.f))) THEN b ELSE a END).seq AS survivor FROM c WHERE key IS NOT NULL GROUP BY key
+ UNION ALL SELECT seq, 'e' || seq FROM c WHERE key IS NULL"""
+    ),
+)
+def _(spark, d):
+    """Copies of equal volume that disagree in cost and speed; one response holds a third of all events."""
+    seq = F.col("seq")
+    speed = F.when((seq % 4 == 1) & (seq % 97 < 80), "fast").when(seq % 2 == 0, "standard")
+    zero = F.lit(0).cast("long")
+    events = B.usage_raw(spark, d).withColumns({
+        "dedup_key": F.when(seq % 3 == 0, "hot").when(seq % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), (seq % 97).cast("string"))),
+        "input": F.lit(100).cast("long") + ((seq % 97 > 60) & (seq % 7 == 0)).cast("long"), "output": zero, "cache_read": zero, "cache_write": zero,
+        "cost_usd": (seq * 7919 % 1000) / F.lit(8.0), "speed": speed, "session_id": F.concat(F.lit("e"), seq.cast("string")),
+    })
+    return usage.dedupe_usage(events).select("seq", F.col("session_id").alias("survivor"))
+
+
 cte(
     "identified",
     """SELECT *, sha256(CASE WHEN dedup_key IS NOT NULL THEN tool || ':' || dedup_key ELSE

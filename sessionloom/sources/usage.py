@@ -17,6 +17,11 @@ COLUMNS = (
 )
 
 
+def position() -> Column:
+    """The order of a line: its file, by a hash of the path, then its number. Lines of one file follow each other."""
+    return F.xxhash64("file_path").bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.col("line_no").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+
+
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast("long"))
 
@@ -38,7 +43,7 @@ def usage_claude(records: DataFrame) -> DataFrame:
         ("cache_write", "cache_creation_input_tokens"), ("cache_write_1h", "cache_creation.ephemeral_1h_input_tokens"),
     )}
     return records.where((V.any_text(v, "$.type") == "assistant") & V.is_object(u)).select(
-        F.xxhash64("file_path", "line_no").alias("seq"), F.lit("claude-code").alias("tool"), F.lit("anthropic").alias("provider"),
+        position().alias("seq"), F.lit("claude-code").alias("tool"), F.lit("anthropic").alias("provider"),
         F.nullif(V.text(v, "$.message.model"), F.lit("")).alias("model"), F.try_to_timestamp(V.text(v, "$.timestamp")).alias("ts"),
         F.nullif(V.text(v, "$.sessionId"), F.lit("")).alias("session_id"), V.text(v, "$.cwd").alias("project_path"),
         *[c.alias(n) for n, c in tokens.items()], _null("double").alias("cost_usd"),
@@ -137,7 +142,7 @@ def usage_codex(records: DataFrame) -> DataFrame:
     both = counted.select(*wanted).unionByName(received.select(*wanted))
     cached = _zero(F.col("usage.cached_input_tokens"))
     return both.select(
-        F.xxhash64("file_path", "line_no").alias("seq"), F.lit("codex").alias("tool"), F.lit("openai").alias("provider"), F.col("cur_model").alias("model"),
+        position().alias("seq"), F.lit("codex").alias("tool"), F.lit("openai").alias("provider"), F.col("cur_model").alias("model"),
         F.try_to_timestamp("stamp").alias("ts"), F.col("cur_meta.id").alias("session_id"), F.col("cur_meta.cwd").alias("project_path"),
         F.greatest(_zero(F.col("usage.input_tokens")) - cached, F.lit(0)).alias("input"), _zero(F.col("usage.output_tokens")).alias("output"),
         cached.alias("cache_read"), F.col("write").alias("cache_write"), F.lit(0).cast("long").alias("cache_write_1h"), _null("double").alias("cost_usd"),
@@ -191,7 +196,7 @@ def import_export_lines(lines: DataFrame, tool: str = "antigravity") -> tuple[Da
 
 def _export_events(rows, tool, model, session, at, inp, out, read, write, key) -> tuple[DataFrame, DataFrame]:
     events = rows.select(
-        F.xxhash64("file_path", "line_no").alias("seq"), F.lit(tool).alias("tool"), F.lit(tool).alias("provider"), model.alias("model"),
+        position().alias("seq"), F.lit(tool).alias("tool"), F.lit(tool).alias("provider"), model.alias("model"),
         F.timestamp_millis(at).alias("ts"), F.nullif(session, F.lit("")).alias("session_id"), _null("string").alias("project_path"), inp.alias("input"), out.alias("output"),
         read.alias("cache_read"), write.alias("cache_write"), F.lit(0).cast("long").alias("cache_write_1h"), _null("double").alias("cost_usd"),
         _null("string").alias("speed"), _null("string").alias("agent_id"), _null("string").alias("branch"), key.alias("dedup_key"),

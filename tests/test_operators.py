@@ -543,3 +543,36 @@ def test_search_index_blocks(spark, tmp_path, monkeypatch):
     assert out[0] == out[1] and len(out[0]) == 30
     blocks = spark.read.parquet(str(tmp_path / "4" / "postings"))
     assert blocks.where("stem = 'word'").count() > 5 and blocks.agg({"n": "max"}).first()[0] < 60
+
+
+def test_copies_fold_in_order(spark):
+    """Random copies, cut into stretches at many places, against the plain fold."""
+    import random
+
+    from sessionloom.operators import usage
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for key in range(60):
+        held = None
+        for at in range(rng.randint(1, 60)):
+            copy = (f"k{key}", key * 1000 + at, float(rng.choice([0, 1, 2, 3, 5, 8])), int(rng.random() < 0.3))
+            rows.append(copy)
+            if held is None or copy[2] > held[2] or (copy[3] and not held[3]):
+                held = copy
+        want[held[0]] = held[1]
+    for parts in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = usage.last_held(spark.createDataFrame(rows, "__key string, seq long, cost double, fast int")).collect()
+        assert {r["__key"]: r["seq"] for r in found} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_positions_follow_lines(spark):
+    from sessionloom.sources.usage import position
+
+    rows = spark.createDataFrame([(f"/p/{f}", n) for f in "abc" for n in (1, 2, 70000, 3_000_000_000)], "file_path string, line_no long")
+    found = rows.select("file_path", "line_no", position().alias("seq")).orderBy("seq").collect()
+    assert [r["line_no"] for r in found] == [1, 2, 70000, 3_000_000_000] * 3 and len({r["seq"] for r in found}) == 12
