@@ -103,13 +103,14 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    """In several micro-batches."""
+    """In two calls of several micro-batches; the second one goes on where the first one ended."""
     path = f"{shared_dir(spark)}/sessionloom/usage-{uuid.uuid4().hex}"
     events = usage_identity(B.usage_raw(spark, d)).withColumn("project", F.coalesce("project_path", F.lit("")))
     columns = ("id", "seq", "tool", "session_id", "project", "model", "ts", "input", "output", "cache_read", "cache_write")
-    events.select(*columns).repartition(6, "seq").write.parquet(f"{path}/in")
     schema = "id string, seq long, tool string, session_id string, project string, model string, ts timestamp, input long, output long, cache_read long, cache_write long"
-    J.stream_usage_upsert(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), f"{path}/out")
+    for part in (0, 1):
+        events.where(F.col("seq") % 2 == part).select(*columns).repartition(4, "seq").write.mode("append").parquet(f"{path}/in")
+        J.stream_usage_upsert(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), f"{path}/out")
     return J.combined_usage(J.batches(spark, f"{path}/out", J.STORED_SCHEMA)).select(
         "id", "tool", "session_id", "model", F.unix_millis("ts").alias("ms"), "project", "input", "output", "cache_read", "cache_write"
     )
@@ -117,9 +118,12 @@ def _(spark, d):
 
 @query("stream_sync", sql("SELECT 'k' || (doc_id % 500) AS key, arg_max(sha256(text), doc_id) AS hash FROM documents GROUP BY 1"))
 def _(spark, d):
-    docs = J.landed(utc(spark), d, "documents.parquet").select(
+    """In two calls on one table."""
+    docs = B.table(utc(spark), d, "documents").select(
         F.concat(F.lit("k"), (F.col("doc_id") % 500).cast("string")).alias("key"), F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("seq")
     )
     path = f"{shared_dir(spark)}/sessionloom/remote-{uuid.uuid4().hex}"
-    J.stream_sync(docs, path)
-    return J.latest_hashes(J.batches(spark, path, J.SNAPSHOT_SCHEMA)).select("key", "hash")
+    for part in (0, 1):
+        docs.where(F.col("seq") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        J.stream_sync(spark.readStream.schema(docs.schema).parquet(f"{path}/in"), f"{path}/out")
+    return J.latest_hashes(J.batches(spark, f"{path}/out", J.SNAPSHOT_SCHEMA)).select("key", "hash")

@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
 from ..context import shared_dir
-from ..operators.tenants import sync_diff
 
 
 def landed(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -44,9 +44,12 @@ def fold(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str =
 def to_table(stream: DataFrame, mode: str = "append", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Drain the stream into a table in the shared folder and read it back.
 
-    With a path and a checkpoint of an earlier call, only what has arrived since is added.
+    A second call with the path of an earlier one adds only what has arrived since; the checkpoint lies in the path,
+    where readers don't see it, unless another place is named.
     """
     spark = stream.sparkSession
+    if path and mode == "append":
+        checkpoint = checkpoint or f"{path}/_checkpoint"
     path = path or f"{shared_dir(spark)}/sessionloom/out-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
@@ -155,9 +158,33 @@ def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch_id long").parquet(path)
 
 
+def _there(read: Callable[[], DataFrame]) -> bool:
+    try:
+        read()
+    except AnalysisException:  # the path doesn't exist
+        return False
+    return True
+
+
 def start_table(spark: SparkSession, path: str, schema: str) -> None:
-    """An empty table: batch -1 without rows."""
-    append_batch(spark.createDataFrame([], schema), path, -1)
+    """An empty table, batch -1 without rows, where there is none yet; a table that is there stays as it is."""
+    if not _there(lambda: batches(spark, path, schema)):
+        append_batch(spark.createDataFrame([], schema), path, -1)
+
+
+def append_stream(stream: DataFrame, path: str, schema: str, checkpoint: str | None, write: Callable[[DataFrame, int], None]) -> None:
+    """Fold a stream into the batches of a table.
+
+    Numbers of batches come from the checkpoint. It lies in the table's folder unless another place is named, so that a
+    second call and a restart go on counting. A new checkpoint would begin at 0 again and replace what is there, so on a
+    table with batches it is refused.
+    """
+    spark = stream.sparkSession
+    start_table(spark, path, schema)
+    place = checkpoint or f"{path}/_checkpoint"
+    if not _there(lambda: spark.read.text(f"{place}/metadata")) and not batches(spark, path, schema).where("batch_id >= 0").isEmpty():
+        raise ValueError(f"{path} has batches of another checkpoint; name that one, or compact the table to a new path")
+    fold(stream, write, checkpoint=place)
 
 
 def compact(current: DataFrame, path: str) -> None:
@@ -185,18 +212,17 @@ def combined_usage(rows: DataFrame) -> DataFrame:
     ).select("id", "first_seq", "seq", "project_seq", "named.*", "counted.*", "project").select(*[c.split()[0] for c in STORED_SCHEMA.split(", ")])
 
 
-def stream_usage_upsert(events: DataFrame, path: str) -> None:
+def stream_usage_upsert(events: DataFrame, path: str, checkpoint: str | None = None) -> None:
     """Later counters of a response replace earlier ones. ``events`` carries id, seq and the stored columns.
 
-    Each batch is combined and appended; ``combined_usage(batches(…))`` is the table.
+    Each batch is combined and appended; ``combined_usage(batches(…))`` is the table. See ``append_stream``.
     """
-    start_table(events.sparkSession, path, STORED_SCHEMA)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         whole = batch.withColumn("project", F.coalesce("project", F.lit(""))).withColumn("first_seq", F.col("seq")).withColumn("project_seq", F.col("seq"))
         append_batch(combined_usage(whole), path, batch_id)
 
-    fold(events, write)
+    append_stream(events, path, STORED_SCHEMA, checkpoint, write)
 
 
 SNAPSHOT_SCHEMA = "key string, hash string, seq long"
@@ -206,18 +232,30 @@ def latest_hashes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq"))
 
 
-def stream_sync(snapshots: DataFrame, path: str) -> None:
-    """Checkpointed delta upload: only keys whose hash the remote does not have are appended."""
-    spark = snapshots.sparkSession
-    start_table(spark, path, SNAPSHOT_SCHEMA)
+def changed_keys(snapshots: DataFrame) -> DataFrame:
+    """``key, hash, seq`` of each key whose newest hash in a batch isn't the one known before; of older rows nothing comes.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        have = latest_hashes(batches(spark, path, SNAPSHOT_SCHEMA).where(F.col("batch_id") < batch_id))
-        fresh = latest_hashes(batch.select("key", "hash", F.col("seq").cast("long")))
-        todo = sync_diff(fresh, have, have).where("action = 'upload'").select("key")
-        append_batch(fresh.join(todo, "key", "left_semi"), path, batch_id)
+    The state of a key is its newest hash and position, so no batch reads what earlier ones have sent.
+    """
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, best = state.get if state.exists else (None, None), None
+        for part in parts:
+            seqs = part["seq"].to_numpy()
+            if len(seqs) and (best is None or seqs.max() > best[1]):
+                best = (part["hash"].iloc[int(seqs.argmax())], int(seqs.max()))
+        fresh = best is not None and (known[1] is None or best[1] > known[1])
+        if fresh:
+            state.update(best)
+        yield pd.DataFrame([(k[0], *best)] if fresh and best[0] != known[0] else [], columns=["key", "hash", "seq"])
 
-    fold(snapshots, write)
+    rows = snapshots.select(F.col("key").cast("string"), "hash", F.col("seq").cast("long"))
+    return rows.groupBy("key").applyInPandasWithState(step, SNAPSHOT_SCHEMA, "hash string, seq long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_sync(snapshots: DataFrame, path: str, checkpoint: str | None = None) -> None:
+    """Checkpointed delta upload: only keys whose hash the remote does not have are appended."""
+    append_stream(changed_keys(snapshots), path, SNAPSHOT_SCHEMA, checkpoint, lambda batch, batch_id: append_batch(batch, path, batch_id))
 
 
 def stream_import(lines: DataFrame, index: Callable[[DataFrame, int], None], every: str | None = None) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import dates, porter
 from sessionloom.functions import text as T
 from sessionloom.operators import archive, blocks, correlate, pricing, rhythm, search, sessions, tenants
+from sessionloom.streaming import jobs as J
 from sessionloom.operators import transcripts as X
 from sessionloom.operators import usage as U
 from sessionloom.sources import lines as L
@@ -576,3 +577,43 @@ def test_positions_follow_lines(spark):
     rows = spark.createDataFrame([(f"/p/{f}", n) for f in "abc" for n in (1, 2, 70000, 3_000_000_000)], "file_path string, line_no long")
     found = rows.select("file_path", "line_no", position().alias("seq")).orderBy("seq").collect()
     assert [r["line_no"] for r in found] == [1, 2, 70000, 3_000_000_000] * 3 and len({r["seq"] for r in found}) == 12
+
+
+def _sync(spark, path, rows, **kw):
+    spark.createDataFrame(rows, "key string, hash string, seq long").write.mode("append").parquet(f"{path}/in")
+    J.stream_sync(spark.readStream.schema("key string, hash string, seq long").parquet(f"{path}/in"), f"{path}/out", **kw)
+    return {r["key"]: r["hash"] for r in J.latest_hashes(J.batches(spark, f"{path}/out", J.SNAPSHOT_SCHEMA)).collect()}
+
+
+def test_sync_keeps_what_earlier_calls_sent(spark, tmp_path):
+    path = str(tmp_path)
+    assert _sync(spark, path, [("k1", "a", 1), ("k2", "b", 2)]) == {"k1": "a", "k2": "b"}
+    assert _sync(spark, path, [("k3", "c", 3), ("k1", "a", 4), ("k2", "old", 1)]) == {"k1": "a", "k2": "b", "k3": "c"}
+    sent = J.batches(spark, f"{path}/out", J.SNAPSHOT_SCHEMA)
+    assert sent.count() == 3  # neither the same hash nor the older row is sent
+    assert _sync(spark, path, [("k1", "z", 9)]) == {"k1": "z", "k2": "b", "k3": "c"}
+    with pytest.raises(ValueError):  # a new checkpoint would replace batch 0
+        _sync(spark, path, [("k4", "d", 10)], checkpoint=f"{path}/other")
+    assert {r["key"] for r in J.batches(spark, f"{path}/out", J.SNAPSHOT_SCHEMA).collect()} == {"k1", "k2", "k3"}
+
+
+def test_stream_on_a_compacted_table(spark, tmp_path):
+    path = str(tmp_path)
+    _sync(spark, path, [("k1", "a", 1), ("k2", "b", 2)])
+    moved = f"{path}/moved"
+    J.compact(J.latest_hashes(J.batches(spark, f"{path}/out", J.SNAPSHOT_SCHEMA)), f"{moved}/out")
+    assert _sync(spark, moved, [("k3", "c", 3)]) == {"k1": "a", "k2": "b", "k3": "c"}
+
+
+def test_repeated_batch_and_second_upsert(spark, tmp_path):
+    schema = "id string, seq long, tool string, session_id string, project string, model string, ts timestamp, input long, output long, cache_read long, cache_write long"
+    row = lambda i, seq, n: (i, seq, "t", "s", "", "m", None, n, 0, 0, 0)
+    path = str(tmp_path)
+    for rows in ([row("a", 1, 10), row("b", 2, 20)], [row("a", 3, 30), row("c", 4, 40)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{path}/in")
+        J.stream_usage_upsert(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/out")
+    table = lambda: {r["id"]: r["input"] for r in J.combined_usage(J.batches(spark, f"{path}/out", J.STORED_SCHEMA)).collect()}
+    assert table() == {"a": 30, "b": 20, "c": 40}
+    again = J.batches(spark, f"{path}/out", J.STORED_SCHEMA).where("batch_id = 1").drop("batch_id").collect()
+    J.append_batch(spark.createDataFrame(again, J.STORED_SCHEMA), f"{path}/out", 1)  # a batch written twice after a failure
+    assert table() == {"a": 30, "b": 20, "c": 40}
