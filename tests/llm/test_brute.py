@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sessionloom.llm import common, contamination, fuzzy, language, lines, nearest, pieces, private, tokenfiles, toxicity
 from tests.llm import brute
+from tests.llm.test_overlap import kept as kept_of_each
 
 SF = "/root/testdata/sf0.01"
 
@@ -276,8 +277,8 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
     left = {i: kept for i, (_, _, kept) in brute.line_dedup(left).items()}
-    roots = brute.components({i: brute.fingerprint(t) for i, t in left.items()})
-    left = {i: t for i, t in left.items() if roots[i] == i}
+    ids = sorted(left)
+    left = {ids[k]: left[ids[k]] for k in kept_of_each([left[i] for i in ids])}
 
     def clean(text):
         return all(brute.least_edits(p, brute.normal(text)) > min(len(p) // 10, len(p) // 8 - 1) for p in map(brute.normal, items))
