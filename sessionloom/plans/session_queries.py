@@ -487,6 +487,29 @@ def _(spark, d):
     return S.page_events(_lines(spark, d), 20)
 
 
+@query(
+    "page_records",
+    sql(
+        """WITH RECURSIVE rec AS (
+  SELECT file_path, line_no, length(v) AS size, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS k FROM (
+   SELECT 'd' || doc_id AS file_path, unnest(lines) AS v, unnest(range(0, len(lines))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)) WHERE trim(v) <> ''
+ ), walk AS (
+  SELECT file_path, k, line_no, 0 AS page, 1 AS used, 700 - least(700, size) AS room, 0 AS start, least(700, size) AS take, size FROM rec WHERE k = 1
+  UNION ALL
+  SELECT file_path, k, line_no, page, used + 1, room - least(room, size - start), start, least(room, size - start), size FROM (
+   SELECT r.file_path, r.k, r.line_no, r.size, w.page + full_::INTEGER AS page, CASE WHEN full_ THEN 0 ELSE used END AS used, CASE WHEN full_ THEN 700 ELSE room END AS room, CASE WHEN whole THEN 0 ELSE upto END AS start
+   FROM (SELECT *, used >= 8 OR room <= 0 AS full_, start + take AS upto, start + take >= size AS whole FROM walk) w JOIN rec r ON r.file_path = w.file_path AND r.k = w.k + whole::INTEGER)
+ )
+ SELECT file_path, page::BIGINT AS page, line_no::BIGINT AS line_no, start::BIGINT AS char_offset, take::BIGINT AS size, start + take >= size AS complete FROM walk"""
+    ),
+)
+def _(spark, d):
+    """The lines of documents as records, on pages of 8 records and 700 characters."""
+    docs = B.table(spark, d, "documents")
+    lines = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    return S.page_events(lines.withColumn("line_no", F.col("line_no").cast("long")), 8, 700)
+
+
 @query("content_version")
 def _(spark, d):
     return S.content_version(_lines(spark, d))
