@@ -36,7 +36,7 @@ END = 2
 ENTRIES, LONGEST = 150_000, 64
 #: The tokenizer's own pattern, for characters up to U+02AF.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼-¾"
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+PIECE = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{LETTERS}{NUMBERS}]+")
 #: Characters that may compose or change otherwise than one by one, those above the pattern's, and special tokens.
 OTHERWISE = re.compile("[\x1c-\x1fİȺȾʰ-\U0010ffff]|<\\|")
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -50,26 +50,57 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def plain(text: str) -> bool:
+    """The text has no character of ``OTHERWISE``; cheap where it is Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not OTHERWISE.search(text)
+    return not any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f"))
+
+
 class Encoder:
-    """Pieces are kept in two generations: when the young one is full, it becomes the old one, and what is used again returns."""
+    """Pieces are kept in two generations: when the young one is full, it becomes the old one, and what is used again returns.
+
+    Single words go to the library's own model between blanks, without the normal form and pattern that they already
+    have; printable ASCII also without the mapping of bytes, which leaves it as it is. A word ends with a token that has
+    the model's suffix.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
+        self.ascii, self.bytes = Tokenizer(self.library.model), Tokenizer(self.library.model)
+        self.ascii.pre_tokenizer = WhitespaceSplit()
+        self.bytes.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def words(self, words: list[str], tokenizer) -> dict[str, bytes]:
+        """Ids of words that the tokenizer doesn't cut, all in one call; nothing if their ends can't be told."""
+        if not words:
+            return {}
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<i4")
+        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return {}
+        raw = ids.tobytes()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces. Those that are one word for the tokenizer are encoded in one call, between blanks."""
-        words = [p for p in pieces if PIECE.fullmatch(p) and not OTHERWISE.search(p)]
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        raw, of = np.array(found.ids, "<i4").tobytes(), np.array(found.word_ids, np.int64)
-        starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-        if len(starts) != len(words):
-            words, starts = [], []
-        out = {p: raw[4 * a : 4 * b] for p, a, b in zip(words, starts, [*starts[1:], len(of)], strict=True)} if words else {}
+        """Ids of distinct pieces."""
+        kinds: dict[bool, list[str]] = {True: [], False: []}
+        for p in pieces:
+            if PIECE.fullmatch(p) and plain(p) and p == p.lower():
+                kinds[p.isascii() and p.isprintable()].append(p)
+        out = self.words(kinds[True], self.ascii) | self.words(kinds[False], self.bytes)
         for p in pieces:
             if p not in out:
                 out[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<i4").tobytes()
@@ -77,7 +108,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers, without an end id. New pieces are encoded first, all at once."""
-        split = [[] if not t else CHUNK.findall(t) if OTHERWISE.search(t) else PIECE.findall(t.lower()) for t in texts]
+        split = [[] if not t else PIECE.findall(t.lower()) if plain(t) else CHUNK.findall(t) for t in texts]
         if len(self.young) > ENTRIES:
             self.young, self.old = {}, self.young
         known, old = self.young, self.old
