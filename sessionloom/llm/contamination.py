@@ -1,8 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of L characters may differ from a passage by ``k = floor(rate * L)`` edits. It is cut into k + 1 pieces; a
-passage within k edits holds at least one piece unchanged. Pieces are found by their first eight bytes, looked up for all
-places of a text at once. The stretch around an exact piece hit is verified with Myers' bit-parallel distance, first for
+passage within k edits holds at least one piece unchanged. Pieces are found by their first eight bytes (shorter pieces
+whole, in a table of their length), looked up for all places of a text at once. The stretch around an exact piece hit is verified with Myers' bit-parallel distance, first for
 two neighbouring pieces, then four, and so on: by the same argument one of the unchanged pieces lies, at each level, in m
 pieces that have at most m - 1 edits. Most chance hits end at the first level; the last is the whole item.
 
@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from sessionloom.llm.common import session, table
 
 OTHER = re.compile(r"[\W_]+")
-#: Bytes of a piece that are looked up, and bits of the lookup's first filter.
+#: Bytes of a piece that are looked up at most, and bits of the lookup's first filter.
 GRAM, FILTER = 8, 20
 BLOCK_CHARS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -42,6 +42,25 @@ def normal(text: str | None) -> str:
     return OTHER.sub(" ", (text or "").lower()).strip()
 
 
+class Grams:
+    """The first ``width`` bytes of pieces, and the pieces that begin with them."""
+
+    def __init__(self, width: int, first: dict[int, list[tuple]]):
+        self.keep = np.uint64((1 << 8 * width) - 1)
+        self.grams = np.array(sorted(first), np.uint64)
+        self.pieces = [first[int(g)] for g in self.grams]
+        self.filter = np.zeros(1 << FILTER, bool)
+        self.filter[self.grams * MIX >> np.uint64(64 - FILTER)] = True
+
+    def places(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a text holds a gram, and which."""
+        grams = grams & self.keep
+        at = np.flatnonzero(self.filter[grams * MIX >> np.uint64(64 - FILTER)])
+        slot = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        exact = self.grams[slot] == grams[at]
+        return at[exact], slot[exact]
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -81,20 +100,18 @@ class Benchmark:
         self.texts, self.ids = list(ids), list(ids.values())
         self.budgets, self.short, self.reversed = [], [], {}
         self.masks: dict[int, dict[str, int]] = {}
-        first: dict[int, list[tuple]] = {}
+        first: dict[int, dict[int, list[tuple]]] = {}
         for i, text in enumerate(self.texts):
-            self.budgets.append(k := max(0, min(math.floor(rate * len(text)), len(text) // GRAM - 1)))
+            self.budgets.append(k := min(math.floor(rate * len(text)), len(text) - 1))
             if len(text.encode()) < GRAM:
                 self.short.append(i)
                 continue
             cuts = [len(text) * p // (k + 1) for p in range(k + 2)]
             for p, levels in enumerate(self.levels(text, cuts)):
                 piece = text[cuts[p] : cuts[p + 1]].encode()
-                first.setdefault(int.from_bytes(piece[:GRAM], "little"), []).append((i, cuts[p], piece, levels, self.beside(text, cuts, p, levels)))
-        self.grams = np.array(sorted(first), np.uint64)
-        self.pieces = [first[int(g)] for g in self.grams]
-        self.filter = np.zeros(1 << FILTER, bool)
-        self.filter[self.grams * MIX >> np.uint64(64 - FILTER)] = True
+                of = first.setdefault(min(GRAM, len(piece)), {})
+                of.setdefault(int.from_bytes(piece[:GRAM], "little"), []).append((i, cuts[p], piece, levels, self.beside(text, cuts, p, levels)))
+        self.tables = [Grams(width, of) for width, of in sorted(first.items())]
 
     @staticmethod
     def levels(text: str, cuts: list[int]) -> list[list[tuple[int, int, int, dict[str, int]]]]:
@@ -126,29 +143,24 @@ class Benchmark:
         """Places where each item could start: exact piece hits whose neighbours are near, too."""
         out: dict[int, list[int]] = {}
         raw = text.encode()
-        if len(raw) < GRAM or not len(self.grams):
+        if not raw or not self.tables:
             return out
-        grams = np.ndarray((len(raw) - GRAM + 1,), "<u8", raw, strides=(1,))
-        at = np.flatnonzero(self.filter[grams * MIX >> np.uint64(64 - FILTER)])
-        if not len(at):
-            return out
-        found = grams[at]
-        slot = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
-        exact = self.grams[slot] == found
-        if not exact.any():
-            return out
-        at, slot = at[exact], slot[exact]
-        place = at
-        if len(raw) != len(text):
-            place = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at] - 1
-        for byte, char, s in zip(at.tolist(), place.tolist(), slot.tolist(), strict=True):
-            for item, offset, piece, levels, beside in self.pieces[s]:
-                if raw.startswith(piece, byte):
-                    start = char - offset
-                    if beside and beside[0] not in (near := text[max(0, start + beside[2] - 1) : max(0, start + beside[3] + 1)]) and beside[1] not in near:
-                        continue
-                    if all(closest(of, b - a, text[max(0, start + a - k) : max(0, start + b + k)])[0] <= k for a, b, k, of in levels):
-                        out.setdefault(item, []).append(start)
+        grams = np.ndarray((len(raw),), "<u8", raw + bytes(GRAM), strides=(1,))
+        chars = None
+        for table in self.tables:
+            at, slot = table.places(grams)
+            if not len(at):
+                continue
+            if chars is None:
+                chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+            for byte, char, s in zip(at.tolist(), chars[at].tolist(), slot.tolist(), strict=True):
+                for item, offset, piece, levels, beside in table.pieces[s]:
+                    if raw.startswith(piece, byte):
+                        start = char - offset
+                        if beside and beside[0] not in (near := text[max(0, start + beside[2] - 1) : max(0, start + beside[3] + 1)]) and beside[1] not in near:
+                            continue
+                        if all(closest(of, b - a, text[max(0, start + a - k) : max(0, start + b + k)])[0] <= k for a, b, k, of in levels):
+                            out.setdefault(item, []).append(start)
         return out
 
     def verified(self, i: int, starts: list[int], text: str) -> tuple[int, int, int] | None:

@@ -1,6 +1,7 @@
 """Operators against plain versions, the libraries, or labels that they haven't seen."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -98,12 +99,29 @@ def test_decontamination(spark):
     for i, text in docs:
         for j, item in items:
             pattern = brute.normal(item)
-            budget = min(len(pattern) // 10, len(pattern) // 8 - 1)
+            budget = len(pattern) // 10
             if (d := brute.least_edits(pattern, brute.normal(text))) <= budget:
                 expected[i, j] = d
     assert got == expected and len(expected) > 10
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.25, 0.5])
+def test_decontamination_of_short_items(rate):
+    """Items of 8 to 40 characters with as many edits as the rate allows, and one more."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdeé") for _ in range(n))
+    items = [(n, letters(n)) for n in range(8, 41)]
+    own, found = contamination.Benchmark(items, rate), 0
+    for n, item in items:
+        for edits in {0, math.floor(rate * n), math.floor(rate * n) + 1}:
+            text = letters(30) + edited(rng, item, edits) + letters(rng.randint(0, 30))
+            got = {h["item_id"]: h["distance"] for h in own.hits(text)}
+            expected = {i: d for i, other in items if (d := brute.least_edits(other, text)) <= math.floor(rate * len(other))}
+            assert got == expected
+            found += len(expected)
+    assert found > 60
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
