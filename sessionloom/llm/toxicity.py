@@ -5,8 +5,9 @@ for its ends). A text is cut into windows of ``WINDOW`` words, each half a windo
 scored. In a window two gated recurrent units read the words in both directions, attention weighs their states, and the
 weighted mean gives the window's chance of toxicity. The mean and the largest chance of all windows give the score.
 
-Weights are fitted by back-propagation on a bounded, hash-chosen sample of labelled rows (``per_class`` of each class, up to
-``train_windows`` windows of each), with the class shares of all labelled rows. The network is small and broadcast.
+Weights are fitted by back-propagation on a bounded, hash-chosen sample of labelled rows (``per_class`` of each class) with
+the class shares of all labelled rows. Their whole texts are cut into windows where they lie; of a text with more than
+``sample_windows`` so many are drawn from all of it, and each round of training takes up to ``train_windows`` of these. The network is small and broadcast.
 
 Defined results: a text without words (null, empty, figures) is scored as one empty window. Null labels teach nothing;
 where no row of one class may teach, all scores are 0. Repeated rows are scored each.
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from sessionloom.llm.common import id_bucket, sample, session, table
 
@@ -195,14 +196,13 @@ class Network:
         added(g["grams"], grams, np.repeat(d_vectors / counts[:, None], counts, axis=0))
         return g
 
-    def train(self, texts: list[str], labels: list[int], rounds: int = 5, batch: int = 48, rate: float = 0.01, train_windows: int = 6, seed: int = 8) -> None:
-        """Adam over random windows of the texts."""
+    def train(self, texts: list[list[str]], labels: list[int], rounds: int = 5, batch: int = 48, rate: float = 0.01, train_windows: int = 6, seed: int = 8) -> None:
+        """Adam over random windows of texts, each given as its windows' words."""
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
         docs = []
-        for text in texts:
-            ids = np.array([index.setdefault(w, len(index)) for w in WORD.findall(text.lower())], np.int64)
-            docs.append(windows(ids))
+        for parts in texts:
+            docs.append([np.array([index.setdefault(w, len(index)) for w in part.split()], np.int64) for part in parts])
         if not index:
             return
         vocabulary = inputs(list(index))
@@ -265,7 +265,26 @@ class Scorer:
         return out
 
 
-def fit(labelled: DataFrame, docs: DataFrame, per_class: int = 2000, sample_chars: int = 20_000, **settings) -> Network | None:
+def drawn(text: str | None, most: int) -> list[str]:
+    """Windows of a text as words between blanks: all, or ``most`` of them, the same on every run and in the text's order."""
+    words = WORD.findall((text or "").lower())
+    parts = windows(np.arange(len(words)))
+    if len(parts) > most:
+        chosen = np.random.default_rng(zlib.crc32(" ".join(words).encode())).choice(len(parts), most, replace=False)
+        parts = [parts[k] for k in np.sort(chosen)]
+    return [" ".join([words[i] for i in part]) for part in parts]
+
+
+def _drawn(most: int):
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([drawn(t, most) for t in texts])
+
+    return run
+
+
+def fit(labelled: DataFrame, docs: DataFrame, per_class: int = 2000, sample_windows: int = 128, **settings) -> Network | None:
     """A network from ``doc_id, toxic`` and the texts of the documents; none if a class has no rows."""
     labels = labelled.where("toxic IN (0, 1)").select("doc_id", "toxic")
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -275,8 +294,9 @@ def fit(labelled: DataFrame, docs: DataFrame, per_class: int = 2000, sample_char
     for label, size in sorted(sizes.items()):
         part = sample(labels.where(F.col("toxic") == label), "doc_id", per_class, size)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
+    session(docs.sparkSession)
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = sorted((r["doc_id"], r["parts"], r["toxic"]) for r in rows.select("doc_id", _drawn(sample_windows)("text").alias("parts"), "toxic").collect())
     found = [r[2] for r in rows]
     if len(set(found)) < 2:
         return None
