@@ -10,7 +10,8 @@ tokens chooses boundaries and kinds of the whole region jointly, so a span is ta
 cut the region. A chosen span is added where it overlaps no base span.
 
 Weights are trained here, in numpy, by the likelihood of whole segmentations: on regions generated by rule, alone and side
-by side, and on the regions of a bounded, hash-chosen sample of documents, labelled by their base spans.
+by side, and on a bounded, hash-chosen sample of the regions in the whole texts of sampled documents, labelled by their base
+spans. A long region is cut into stretches between spans; a region whose figures may hide a lost card teaches nothing.
 
 Defined results: null or empty texts have no spans. Places count code points, ends are exclusive. A row is a document.
 """
@@ -30,8 +31,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from sessionloom.llm.common import replace_columns, sample, session, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most tokens of a segment.
-WIDEST = 24
+#: Most tokens of a segment: 19 figures one by one, with what stands between them.
+WIDEST = 37
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # No match of these starts within a run of digits, and none needs to give back what it has taken.
@@ -247,22 +248,64 @@ def gold(region: Region, spans: list[tuple[int, int, int]]) -> set[int] | None:
     return {at[a, b, kind] for kind, a, b in spans}
 
 
-def train(texts: list[str], generate: int = 700, rounds: int = 12, rate: float = 0.3, seed: int = 9) -> Field:
+def taught(text: str | None, longest: int) -> list[dict]:
+    """Stretches of the regions of a whole text with the base spans in them, at most ``longest`` characters each.
+
+    A region is cut between tokens, outside spans. One token or span above that length is in no stretch.
+    """
+    out, own = [], sorted((a, b, kind) for kind, a, b in base(text or ""))
+    k = 0
+    for m in REGION.finditer(text or ""):
+        first, last = m.span()
+        while k < len(own) and own[k][1] <= first:
+            k += 1
+        inside = []
+        for span in own[k:]:
+            if span[0] >= last:
+                break
+            if first <= span[0] and span[1] <= last:
+                inside.append(span)
+        if CARD.search(m.group()) and len(DIGIT.findall(m.group())) > 19:
+            continue  # the base may have lost a span here
+        edges, covered, at = [], 0, 0
+        for edge in [first + t.start() for t in TOKEN.finditer(m.group())] + [last]:
+            while at < len(inside) and inside[at][0] < edge:
+                covered = max(covered, inside[at][1])
+                at += 1
+            if covered <= edge:
+                edges.append(edge)
+        a = held = 0
+        for b in range(1, len(edges)):
+            if b + 1 < len(edges) and edges[b + 1] - edges[a] <= longest:
+                continue
+            low, high, a = edges[a], edges[b], b
+            if high - low > longest:
+                continue
+            while held < len(inside) and inside[held][1] <= low:
+                held += 1
+            parts = []
+            for start, end, kind in inside[held:]:
+                if start >= high:
+                    break
+                parts.append({"kind": kind, "start": start - low, "end": end - low})
+            out.append({"text": text[low:high], "before": text[max(0, low - 1) : low], "after": text[high : high + 1], "spans": parts})
+    return out
+
+
+def example(text: str, before: str, after: str, spans: list[tuple[int, int, int]]) -> tuple[Region, set[int]] | None:
+    region = Region(text, before, after)
+    if region.found and (labelled := gold(region, spans)) is not None:
+        return region, labelled
+    return None
+
+
+def train(stretches: list[tuple[str, str, str, list[tuple[int, int, int]]]], generate: int = 700, rounds: int = 12, rate: float = 0.3, seed: int = 9) -> Field:
     examples = []
     for text, spans in generated(generate):
         region = Region(text)
         if (labelled := gold(region, spans)) is not None:
             examples.append((region, labelled))
-    for text in texts:
-        spans = base(text)
-        for m in REGION.finditer(text):
-            a, b = m.span()
-            if b - a > 400 or CARD.search(m.group()) and len(DIGIT.findall(m.group())) > 19:
-                continue  # the base may have lost a span here
-            region = Region(m.group(), text[a - 1 : a], text[b : b + 1])
-            inside = [(kind, s - a, e - a) for kind, s, e in spans if a <= s and e <= b]
-            if region.found and (labelled := gold(region, inside)) is not None:
-                examples.append((region, labelled))
+    examples.extend(filter(None, (example(*stretch) for stretch in stretches)))
     field, rng = Field(), random.Random(seed)
     for r in range(rounds):
         rng.shuffle(examples)
@@ -301,12 +344,28 @@ def spans(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], l
     return own, sorted(added)
 
 
-def fit(docs: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000) -> Field:
-    """Train on generated regions and on a bounded sample of documents (``sample_chars`` of text each at most)."""
-    total = docs.count()
-    chosen = sample(docs.where(F.col("text").rlike("[0-9@]")), "doc_id", sample_docs, total).select(F.substring("text", 1, sample_chars).alias("text"))
-    texts = sorted(r["text"] for r in chosen.limit(2 * sample_docs).toLocalIterator())
-    return train(texts)
+TAUGHT = "array<struct<text:string,before:string,after:string,spans:array<struct<kind:int,start:int,end:int>>>>"
+
+
+def _taught(longest: int):
+    @F.pandas_udf(TAUGHT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[s for s in taught(t, longest) if Region(s["text"], s["before"], s["after"]).found] for t in texts])
+
+    return run
+
+
+def fit(docs: DataFrame, sample_docs: int = 3000, sample_regions: int = 6000, longest: int = 400) -> Field:
+    """Train on generated regions and on those of a bounded sample of documents, taken from whole texts.
+
+    Of the different stretches of the sampled documents the ``sample_regions`` with the least hashes teach: the same on every run.
+    """
+    session(docs.sparkSession)
+    chosen = sample(docs.where(F.col("text").rlike("[0-9@]")), "doc_id", sample_docs, docs.count())
+    rows = chosen.select(F.explode(_taught(longest)("text")).alias("s")).select("s.*").distinct()
+    rows = rows.orderBy(F.xxhash64("text", "before", "after"), "text", "before", "after", "spans").limit(sample_regions).collect()
+    return train([(r["text"], r["before"], r["after"], [tuple(s) for s in r["spans"]]) for r in rows])
 
 
 SPAN = StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()).add("base", BooleanType())

@@ -253,6 +253,26 @@ def test_private_base(spark):
         assert set(filter(None, said.split(","))) <= set(found[i]["spans"].split(","))
 
 
+def test_private_stretches_cover_whole_texts():
+    """Every base span of a region that may teach is in one stretch, however far back in the text it stands."""
+    text = "plain words 12 " * 3000 + "a@b.com 255.1.2.3 " + "x +49 30 1234567 " * 60 + "a@b.com+" * 100
+    for longest in (60, 400, 100_000):
+        parts = private.taught(text, longest)
+        assert sum(len(p["spans"]) for p in parts) == len(plain_base(text)) > 160
+        for p in parts:
+            assert len(p["text"]) <= longest and p["before"] + p["text"] + p["after"] in text
+            for s in p["spans"]:
+                assert (s["kind"], 0, s["end"] - s["start"]) in plain_base(p["text"][s["start"] : s["end"]])
+    assert private.taught(None, 400) == [] and private.taught("1" * 50_000, 400) == []
+
+
+def test_toxicity_windows_are_drawn_from_whole_texts():
+    text = " ".join(["word"] * 30_000 + ["last"])
+    some = toxicity.drawn(text, 128)
+    assert len(some) == 128 and some == toxicity.drawn(text, 128) and len(toxicity.drawn(text, 10_000)) == 1250
+    assert toxicity.drawn(text, 10_000)[-1].endswith("last") and toxicity.drawn(None, 5) == [""]
+
+
 def test_private_model_finds_what_greed_loses():
     field = private.train([])
     own, added = private.spans("pay 4539578763621486 4556737586899855 now", field)
