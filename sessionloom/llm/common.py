@@ -49,6 +49,14 @@ def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[c.alias(n) for n, c in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where the input has such a column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hashes(words: list[bytes], width: int) -> np.ndarray:
     """The hash of each shingle of ``width`` words; fewer words are one shingle, no words none."""
     if not words:

@@ -1,15 +1,19 @@
 """Removal of lines that repeat across documents, by two Bloom filters.
 
-Each document gives the 128-bit digests of its distinct line keys. They are dealt to shards by digest; a shard holds two
-Bloom filters, of the digests seen once and seen twice. Only a digest that the second filter suspects leaves its shard for
-the exact count of documents and the choice of the document that keeps its lines.
+One pass over the texts writes the 128-bit digests of each document's distinct line keys as a table, by the task that reads
+them, without a shuffle. Over that table each task fills two Bloom filters, of digests it has seen once and twice, and sends
+only the bits it has set. Filters of one range of digests are merged bit by bit: a bit is set twice if a task has it so, or
+two tasks have it once. A second pass over the table asks the merged second filters; only the digests they suspect, with
+their documents, are shuffled for the exact count and the choice of the document that keeps its lines.
 
-Filters for all lines of a corpus grow with it, so they are never sent to the driver or broadcast: the number of shards
-follows the number of lines, and a shard's filters and digests have a bounded size. A line that very many documents share
-reaches its shard as few rows, because each task adds up what it has read first.
+All filters of a corpus grow with it, so they are never in one place: a range has ``RANGE`` bits, and a pass takes the
+filters of at most ``PASS`` ranges to the tasks. The table is sorted by digest within pieces of it, so a pass reads the pages
+of its own ranges. A larger corpus takes more passes, each over fewer pages. A line that very many documents share has the
+bits of one line in each task, is counted by task first, and may be split in the join.
 
 Defined results: a null or empty text is one empty line. A row is a document; rows with the same id count one by one, and
-all those with the largest id keep their lines. A null id counts as smaller than any. Other columns pass through.
+all those with the largest id keep their lines. A null id counts as smaller than any; rows without ids, or with equal ones,
+get the lists of their own text. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,14 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from sessionloom.context import cut
-from sessionloom.llm.common import replace_columns, session, table
+from sessionloom.llm.common import bounds, fresh, replace_columns, session, table
 
 STRIPPED = " \t\n\x0b\x0c\r"
-#: Digests of a shard, bits of a filter for each of them, and bits set by one.
-SHARD, BITS, PROBES = 1 << 20, 16, 4
-#: Digests that a task gathers before it adds up equal ones.
+#: Bits of a range's filter, bits for each digest, and bits set by one.
+RANGE, BITS, PROBES = 1 << 23, 16, 2
+#: Ranges whose filters the tasks of one pass hold.
+PASS = 32
+#: Digests that a task handles at once.
 GATHERED = 1 << 18
-KEYS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("last", pa.int64())])
+HELD = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64())])
+LOWEST = -(1 << 63)
 
 
 def digest(line: str, least: int) -> bytes | None:
@@ -47,94 +55,156 @@ def digests(text: str | None, least: int) -> set[bytes]:
     return {d for line in (text or "").split("\n") if (d := digest(line, least))}
 
 
-def _added(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((last, lo, hi))
-    hi, lo, n, last = hi[order], lo[order], n[order], last[order]
-    first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
-    ends = np.concatenate([first[1:], [len(hi)]]) - 1
-    return hi[first], lo[first], np.add.reduceat(n, first), last[ends]
-
-
-def _keys(least: int):
-    lowest = np.iinfo(np.int64).min
+def _held(least: int):
+    """The digests of documents, sorted within pieces of the output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, last = bytearray(), []
+        raw, docs, keys = bytearray(), [], []
 
         def flush() -> pa.RecordBatch:
             pair = np.frombuffer(bytes(raw), "<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _added(pair[:, 0], pair[:, 1], np.ones(len(pair), np.int64), np.array(last, np.int64))], schema=KEYS)
+            order = pa.array(np.argsort(pair[:, 0]))
+            columns = [pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(docs, pa.int64()), pa.array(keys, pa.int64())]
+            return pa.RecordBatch.from_arrays([x.take(order) for x in columns], schema=HELD)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, doc, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = digests(text, least)
                 raw += b"".join(found)
-                last += [lowest if doc is None else doc] * len(found)
-            if len(last) >= GATHERED:
+                docs += [doc] * len(found)
+                keys += [key] * len(found)
+            if len(docs) >= GATHERED:
                 yield flush()
-                raw, last = bytearray(), []
-        if last:
+                raw, docs, keys = bytearray(), [], []
+        if docs:
             yield flush()
 
     return run
 
 
-class Filters:
-    """The digests seen once and seen twice, as two Bloom filters."""
+def range_of(hi: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of a digest; ranges follow each other in the order of ``hi``."""
+    return (((hi.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def least_of(number: int, ranges: int) -> int:
+    """The least ``hi`` of a range."""
+    return (-(-(number << 32) // ranges) << 32) - (1 << 63)
 
-    def __init__(self, size: int):
-        self.bits = max(1024, size * BITS)
-        self.once, self.twice = np.zeros(self.bits, bool), np.zeros(self.bits, bool)
 
-    def places(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        hi, lo = hi.view(np.uint64), lo.view(np.uint64) | np.uint64(1)
-        return np.stack([(hi + np.uint64(i) * lo) % np.uint64(self.bits) for i in range(PROBES)])
+def probes(lo: np.ndarray) -> np.ndarray:
+    """The bits of digests in the filters of their range."""
+    width = RANGE.bit_length() - 1
+    return np.stack([(lo.view(np.uint64) >> np.uint64(i * width)) & np.uint64(RANGE - 1) for i in range(PROBES)]).astype(np.uint32)
+
+
+def has(filter: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return filter[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+class Filters:
+    """The bits of a range's digests seen once and seen twice."""
+
+    def __init__(self):
+        self.once, self.twice = (np.zeros(RANGE // 8, np.uint8) for _ in range(2))
+
+    @staticmethod
+    def put(filter: np.ndarray, at: np.ndarray) -> None:
+        np.bitwise_or.at(filter, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def merge(self, once: np.ndarray, twice: np.ndarray) -> None:
+        """Add the bits that another pair of filters has set."""
+        self.put(self.twice, np.concatenate([twice, once[has(self.once, once)]]))
+        self.put(self.once, once)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= GATHERED:
+            yield pa.Table.from_batches(kept)
+            kept, size = [], 0
+    if size:
+        yield pa.Table.from_batches(kept)
+
+
+def set_bits(hi: np.ndarray, lo: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each range the bits of all digests given, and of those given twice."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    edges = bounds(hi, lo)
+    again, first = np.diff(edges) > 1, edges[:-1]
+    of, at = range_of(hi[first], ranges), probes(lo[first])
+    edges = bounds(of)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(of[a]), np.unique(at[:, a:b]), np.unique(at[:, a:b][:, again[a:b]])
+
+
+def _bits(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches):
+            found = list(set_bits(part.column("hi").to_numpy(), part.column("lo").to_numpy(), ranges))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r for r, _, _ in found], pa.int64()), *(pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in (1, 2))], ["range", "once", "twice"]
+            )
 
-    def see(self, hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> None:
-        """Digests of one call are distinct."""
-        at = self.places(hi, lo)
-        again = self.once[at].all(0) | (n > 1)
-        self.once[at.ravel()] = True
-        self.twice[at[:, again].ravel()] = True
+    return run
 
-    def suspected(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        return self.twice[self.places(hi, lo)].all(0)
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second filter of each range, from rows in the order of ranges."""
+    number, filters = None, None
 
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a shard whose digest the second filter suspects."""
-    held = [b for b in batches if b.num_rows]
-    filters = Filters(sum(b.num_rows for b in held))
-    for b in held:
-        filters.see(*_added(*(b.column(i).to_numpy() for i in range(4)))[:3])
-    for b in held:
-        yield b.filter(pa.array(filters.suspected(b.column(0).to_numpy(), b.column(1).to_numpy())))
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([filters.twice.tobytes()], pa.binary())], ["range", "twice"])
 
+    for batch in batches:
+        for of, *bits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if of != number:
+                if filters:
+                    yield out()
+                number, filters = of, Filters()
+            filters.merge(*(np.frombuffer(b, "<u4") for b in bits))
+    if filters:
+        yield out()
 
-def repeated(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFrame:
-    """``hi, lo, last``: digests of the keys found in at least ``documents`` documents, and the largest id of those."""
-    keys = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_keys(least), "hi long, lo long, n long, last long")
-    most = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n")).first()["n"] or 1
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / SHARD))
-    suspects = keys.repartition(shards, "hi").mapInArrow(_suspects, "hi long, lo long, n long, last long")
-    counted = suspects.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    return counted.where(F.col("n") >= documents).select("hi", "lo", "last")
 
+def _suspects(shared, ranges: int):
+    """The rows whose digest the second filter of its range suspects."""
 
-def _pairs(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, ids = bytearray(), []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = digests(text, least)
-                raw += b"".join(found)
-                ids += [doc] * len(found)
-            pair = np.frombuffer(bytes(raw), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(ids, pa.int64())], ["hi", "lo", "doc_id"])
+        filters = {r: np.frombuffer(f, np.uint8) for r, f in shared.value.items()}
+        for part in _gathered(batches):
+            of, at = range_of(part.column("hi").to_numpy(), ranges), probes(part.column("lo").to_numpy())
+            suspected = np.zeros(len(of), bool)
+            for r in np.unique(of).tolist():
+                mine = np.flatnonzero(of == r)
+                suspected[mine] = has(filters[r], at[:, mine]).all(0)
+            yield from part.filter(pa.array(suspected)).combine_chunks().to_batches()
 
     return run
 
 
+def suspects(held: DataFrame) -> DataFrame:
+    """The rows of a table of digests (``hi, lo, doc_id, key``) that may be in more than one document."""
+    spark = held.sparkSession
+    ranges = max(1, math.ceil(held.count() * BITS / RANGE))
+    bits = held.select("hi", "lo").mapInArrow(_bits(ranges), "range long, once binary, twice binary")
+    merged = cut(bits.repartition(min(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))), "range").sortWithinPartitions("range").mapInArrow(_merged, "range long, twice binary"))
+    found = []
+    for first in range(0, ranges, PASS):
+        end = min(first + PASS, ranges)
+        shared = spark.sparkContext.broadcast(dict(map(tuple, merged.where(F.col("range").between(first, end - 1)).toLocalIterator())))
+        rows = held.where(F.col("hi") >= least_of(first, ranges))
+        if end < ranges:
+            rows = rows.where(F.col("hi") < least_of(end, ranges))
+        found.append(cut(rows.mapInArrow(_suspects(shared, ranges), held.schema)))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found)
+
+
 @F.pandas_udf(StructType().add("kept", StringType()).add("n_lines", LongType()).add("n_dropped", LongType()))
 def _without(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     for texts, lists, leasts in batches:
@@ -150,21 +220,25 @@ def _without(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFrame:
-    """The documents with a column ``_lines``: ``kept`` text, ``n_lines`` and ``n_dropped``."""
+def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3, into: str = "_lines") -> DataFrame:
+    """The documents with a column ``into``: ``kept`` text, ``n_lines`` and ``n_dropped``.
+
+    A line of one document stays there, so one and two mean the same for ``documents``.
+    """
     session(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    lowest = F.lit(-(1 << 63)).cast("long")
+    doc, key = F.col("doc_id").cast("long"), F.xxhash64("text")
+    held = cut(docs.select(F.col("text"), doc, key.alias("key")).mapInArrow(_held(least), "hi long, lo long, doc_id long, key long"))
+    doubted = suspects(held).withColumn("order", F.coalesce("doc_id", F.lit(LOWEST).cast("long")))
+    counted = doubted.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("order").alias("last")).where(F.col("n") >= max(documents, 2))
+    of, hashed, gone = (fresh(docs, c) for c in ("_of", "_key", "_gone"))
     drops = (
-        ids.mapInArrow(_pairs(least), "hi long, lo long, doc_id long")
-        .join(cut(repeated(docs, least, documents)), ["hi", "lo"])  # as a table it can be broadcast if small, and a line of very many documents be split
-        .where(F.coalesce("doc_id", lowest) < F.col("last"))
-        .groupBy(F.col("doc_id").alias("_of"))
-        .agg(F.collect_set(F.concat_ws(":", F.col("hi").cast("string"), F.col("lo").cast("string"))).alias("_gone"))
+        doubted.join(cut(counted.select("hi", "lo", "last")), ["hi", "lo"])  # as a table it can be broadcast if small, and a line of very many documents be split
+        .where("order < last")
+        .groupBy(F.col("doc_id").alias(of), F.col("key").alias(hashed))
+        .agg(F.collect_set(F.concat_ws(":", F.col("hi").cast("string"), F.col("lo").cast("string"))).alias(gone))
     )
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    return joined.withColumn("_lines", _without(F.col("text"), F.col("_gone"), F.lit(least))).drop("_of", "_gone")
-
+    joined = docs.join(drops, doc.eqNullSafe(F.col(of)) & (key == F.col(hashed)), "left")
+    return joined.withColumn(into, _without(F.col("text"), F.col(gone), F.lit(least))).drop(of, hashed, gone)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -174,8 +248,10 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without its repeated lines; ``n_chars`` follows the text."""
+    into = fresh(docs, "_lines")
     names = {c.lower() for c in docs.columns}
-    changed = {"text": F.when(F.col("_lines.n_dropped") > 0, F.col("_lines.kept")).otherwise(F.col("text"))}
+    dropped = F.col(f"{into}.n_dropped") > 0
+    changed = {"text": F.when(dropped, F.col(f"{into}.kept")).otherwise(F.col("text"))}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("_lines.n_dropped") > 0, F.length("_lines.kept").cast("long")).otherwise(F.col("n_chars"))
-    return replace_columns(dedup_lines(docs), **changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(dropped, F.length(f"{into}.kept").cast("long")).otherwise(F.col("n_chars"))
+    return replace_columns(dedup_lines(docs, into=into), **changed).select(*[F.col(f"`{c}`") for c in docs.columns])

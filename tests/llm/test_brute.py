@@ -33,11 +33,25 @@ def test_line_dedup(spark):
 def test_bloom_filters_lose_nothing():
     rng = np.random.default_rng(1)
     hi, lo = (rng.integers(-(1 << 62), 1 << 62, 5000) for _ in range(2))
-    filters = lines.Filters(6000)
-    filters.see(hi, lo, np.ones(5000, np.int64))
-    filters.see(hi[:1000], lo[:1000], np.ones(1000, np.int64))
-    suspected = filters.suspected(hi, lo)
-    assert suspected[:1000].all() and suspected[1000:].mean() < 0.05
+    ranges, filters = 3, {}
+    for a, b in ((0, 3000), (2000, 5000), (4900, 5000)):
+        for r, once, twice in lines.set_bits(np.concatenate([hi[a:b], hi[:10] if a else hi[:0]]), np.concatenate([lo[a:b], lo[:10] if a else lo[:0]]), ranges):
+            filters.setdefault(r, lines.Filters()).merge(once, twice)
+    of, at = lines.range_of(hi, ranges), lines.probes(lo)
+    suspected = np.array([lines.has(filters[r].twice, at[:, i]).all() for i, r in enumerate(of.tolist())])
+    twice = np.isin(np.arange(5000), [*range(10), *range(2000, 3000), *range(4900, 5000)])
+    assert suspected[twice].all() and suspected[~twice].mean() < 0.05
+    assert [lines.least_of(r, ranges) <= h and (r + 1 == ranges or h < lines.least_of(r + 1, ranges)) for r, h in zip(of.tolist(), hi.tolist(), strict=True)] == [True] * 5000
+
+
+def test_line_filters_in_passes(spark, monkeypatch):
+    """Many small ranges, two in a pass: only suspects leave, nothing is lost."""
+    monkeypatch.setattr(lines, "BITS", lines.RANGE // 1000)
+    monkeypatch.setattr(lines, "PASS", 2)
+    docs = texts()
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {r["doc_id"]: (r["_lines"]["n_lines"], r["_lines"]["n_dropped"], r["_lines"]["kept"]) for r in lines.dedup_lines(frame).collect()}
+    assert found == brute.line_dedup(docs)
 
 
 def test_components(spark):

@@ -75,6 +75,17 @@ def test_lines(spark, folder):
     assert found[2]["n_lines"] == 2
 
 
+def test_line_stage_with_clashing_names_and_no_ids(spark, folder):
+    common = [f"a line that all the rows without an id share, {i}" for i in range(3)]
+    docs = spark.createDataFrame([(None, "\n".join([*common, f"own line {i}"]), i) for i in range(5)] + [(1, common[0], 9), (2, "x", 9)], "doc_id long, text string, _of int")
+    docs = docs.withColumns({c: F.lit(1) for c in ("_gone", "_LINES", "_key", "order", "range", "last")})
+    found = lines.stage(spark, docs, folder)
+    assert found.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["_of"]) for r in found.collect()) == sorted(
+        [(0, "\n".join([*common[1:], f"own line {i}"]), i) for i in range(5)] + [(1, common[0], 9), (2, "x", 9)]
+    )
+
+
 def test_fingerprint_of_nothing(spark, folder):
     found = fuzzy.op4_simhash(spark, folder).collect()
     blank = [r for r in found if r["fingerprint"] == "0" * 16]
