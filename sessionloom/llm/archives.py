@@ -9,9 +9,14 @@ the others refer to it.
 Archives are files of about ``FILE`` bytes, whole by themselves, so that each is read by one task in bounded memory. The
 payloads are moved once, by page; which payloads are equal is decided on digests alone, first added up by task.
 
+Contents are bytes throughout: payloads and HTTP heads need not be text in any encoding and come out as they went in.
+A record's identifier follows from its archive's name and its place there, so equal rows have different ones.
+
 Defined results: a null html is an empty payload. Rows with equal page ids and payloads are all response or all revisit. A
 null page id is no page's reference if the payload has another. Blanks and control characters of a url are escaped; a null
-url becomes ``about:blank``.
+url becomes ``about:blank``. In archives from elsewhere a url may hold blanks: the other fields are counted from the end of
+the line. A url that begins with ``filedesc:`` is a page unless its content is a version block. A record shorter than
+declared, or before any version block, is an error.
 """
 
 from __future__ import annotations
@@ -43,68 +48,78 @@ DATE = "20000101000000"
 UNSAFE = re.compile(r"[\x00-\x20\x7f-\x9f]")
 
 
-def arc_record(version: int, page: int | None, url: str | None, html: str | None, name: str, offset: int) -> str:
+def arc_record(version: int, page: int | None, url: str | None, html: str | bytes | None, name: str, offset: int) -> bytes:
     """One record: header line, HTTP answer, line end."""
-    body = html or ""
+    body = html.encode() if isinstance(html, str) else html or b""
     url = UNSAFE.sub(lambda m: urllib.parse.quote(m.group()), url or "about:blank")
-    content = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'-' if page is None else page}\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}"
+    content = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'-' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
     middle = [] if version == 1 else ["200", "-", "-", str(offset), name]
-    return " ".join([url, "0.0.0.0", DATE, "text/html", *middle, str(len(content.encode()))]) + f"\n{content}\n"
+    return " ".join([url, "0.0.0.0", DATE, "text/html", *middle, str(len(content))]).encode() + b"\n" + content + b"\n"
 
 
-def arc_head(version: int, name: str) -> str:
+def arc_head(version: int, name: str) -> bytes:
     block = f"{version} 0 legacy\n{' '.join(FIELDS[version])}\n"
     middle = [] if version == 1 else ["200", "-", "-", "0", name]
-    return " ".join([f"filedesc://{name}", "0.0.0.0", DATE, "text/plain", *middle, str(len(block))]) + f"\n{block}\n"
+    return " ".join([f"filedesc://{name}", "0.0.0.0", DATE, "text/plain", *middle, str(len(block))]).encode() + f"\n{block}\n".encode()
+
 
+def version_block(content: bytes) -> tuple[str, ...] | None:
+    """The field names of a version block; none if it is something else."""
+    said = content.split(b"\n")[:2]
+    number = said[0].split(b" ")[0]
+    names = tuple(said[-1].decode("latin-1").rstrip("\r").split(" "))
+    return names if number.isdigit() and names == FIELDS.get(int(number)) else None
 
-def arc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields by name, and content, of each record after the version block; blocks may follow each other."""
-    at, names = 0, None
+
+def arc_records(raw: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """Identity (archive and place), header fields by name, and content, of each record after the version block; blocks may follow each other."""
+    at, names, archive = 0, None, ""
     while at < len(raw):
         if raw[at : at + 1] in b"\r\n":
             at += 1
             continue
-        end = raw.index(b"\n", at)
-        line, at = raw[at:end].decode().rstrip("\r").split(" "), end + 1
-        size = int(line[-1])
+        start, end = at, raw.index(b"\n", at)
+        line, at = raw[at:end].decode("utf-8", "replace").rstrip("\r"), end + 1
+        size = int(line.rsplit(" ", 1)[1])
         content, at = raw[at : at + size], at + size
         if len(content) < size:
             raise ValueError("an ARC record is shorter than declared")
-        if line[0].startswith("filedesc:"):
-            said = content.decode().split("\n")
-            names = tuple(said[1].split(" "))
-            if names != FIELDS.get(int(said[0].split(" ")[0])):
-                raise ValueError(f"unknown ARC version block: {said[:2]}")
-            continue
-        if names is None or len(line) != len(names):
+        if line.startswith("filedesc:"):
+            if found := version_block(content):
+                names, archive = found, line.split(" ")[0]
+                continue
+            if names is None:
+                raise ValueError(f"unknown ARC version block: {content[:80]!r}")
+        fields = line.rsplit(" ", len(names) - 1) if names else []
+        if not names or len(fields) != len(names):
             raise ValueError("an ARC header line doesn't fit its version")
-        yield dict(zip(names, line, strict=True)), content
+        yield f"{archive}#{start}", dict(zip(names, fields, strict=True)), content
 
 
 def http_parts(content: bytes) -> tuple[bytes, dict[str, str], bytes]:
     """Head with its blank line, header fields in lower case, payload."""
     head, gap, payload = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+    fields = dict(line.split(": ", 1) for line in head.decode("latin-1").split("\r\n")[1:] if ": " in line)
     return head + gap, {k.lower(): v for k, v in fields.items()}, payload
 
 
-def record_id(page: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
+def record_id(identity: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, identity)}>"
 
 
-def warc_record(fields: dict[str, str], head: bytes, payload: bytes, page: int | None, digest: str, first: int | None) -> str:
-    """The record equivalent to an ARC record; ``first`` is the page that a revisit refers to."""
+def warc_record(identity: str, fields: dict[str, str], head: bytes, payload: bytes, digest: str, first: int | None, of: str | None) -> bytes:
+    """The record equivalent to an ARC record; ``first`` is the page that a revisit refers to, ``of`` its record."""
     d = fields["Archive-date"]
     block = head if first is not None else head + payload
+    url = UNSAFE.sub(lambda m: urllib.parse.quote(m.group()), fields["URL"])
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}",
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(identity)}",
+        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {fields['IP-address']}",
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
     if first is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest)}", f"X-Refers-To-Page: {first}"]
-    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]) + block.decode() + "\r\n\r\n"
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(of)}", f"X-Refers-To-Page: {first}"]
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def warc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -112,13 +127,13 @@ def warc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while (at := raw.find(b"WARC/1.1\r\n", at)) >= 0:
         end = raw.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in raw[at:end].decode().split("\r\n")[1:])
+        fields = dict(line.split(": ", 1) for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:])
         at = end + 4 + int(fields["Content-Length"])
         yield fields, raw[end + 4 : at]
 
 
 def _bundled(make, columns: int):
-    """Records as strings of about ``FILE`` characters; ``make`` gets a row, the archive's name and the offset."""
+    """Records as strings of about ``FILE`` bytes; ``make`` gets a row, the archive's name and the offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -128,17 +143,18 @@ def _bundled(make, columns: int):
                 held.append(record)
                 size += len(record)
                 if size >= FILE:
-                    yield pa.RecordBatch.from_arrays([pa.array(["".join(held)])], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
                     number, held, size = number + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(held)])], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
     return run
 
 
 def _write(bundles: DataFrame, folder: str) -> None:
     """One archive for each string, compressed."""
-    bundles.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
+    # A cast keeps the bytes as they are, and the text writer writes them so.
+    bundles.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
 
 
 def write_arc(pages: DataFrame, folder: str) -> None:
@@ -146,10 +162,11 @@ def write_arc(pages: DataFrame, folder: str) -> None:
 
     def make(row, task, name, size):
         version = 1 + task % 2
-        return ("" if size else arc_head(version, name)) + arc_record(version, *row, name, size)
+        head = b"" if size else arc_head(version, name)
+        return head + arc_record(version, *row, name, size or len(head))
 
     session(pages.sparkSession)
-    _write(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_bundled(make, 3), "value string"), folder)
+    _write(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_bundled(make, 3), "value binary"), folder)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,14 +184,14 @@ def _parsed(whole: bool):
         for batch in batches:
             for raw in batch.column(0):
                 rows: list[tuple] = []
-                for fields, content in arc_records(gzip.decompress(raw.as_py())):
+                for identity, fields, content in arc_records(gzip.decompress(raw.as_py())):
                     head, said, payload = http_parts(content)
-                    row = (_number(said.get("x-page-id")), hashlib.sha256(payload).hexdigest(), len(payload))
+                    row = (_number(said.get("x-page-id")), hashlib.sha256(payload).hexdigest(), len(payload), identity)
                     rows.append((*row, fields["URL"], fields["IP-address"], fields["Archive-date"], head, payload) if whole else row)
                 if rows:
-                    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary())
+                    types = (pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary())
                     columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), types, strict=False)]
-                    yield pa.RecordBatch.from_arrays(columns, ["page_id", "digest", "size", "url", "ip", "date", "head", "payload"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays(columns, ["page_id", "digest", "size", "identity", "url", "ip", "date", "head", "payload"][: len(columns)])
 
     return run
 
@@ -182,18 +199,19 @@ def _parsed(whole: bool):
 def convert(spark: SparkSession, arc: str, warc: str, least: int = 100) -> None:
     """Write the ARC files in one folder as WARC files in another."""
     session(spark)
-    short = cut(_files(spark, arc).mapInArrow(_parsed(False), "page_id long, digest string, size long"))
+    short = cut(_files(spark, arc).mapInArrow(_parsed(False), "page_id long, digest string, size long, identity string"))
     long = short.where(F.col("size") >= least)
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    revisits = long.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first").distinct()
-    whole = _files(spark, arc).mapInArrow(_parsed(True), "page_id long, digest string, size long, url string, ip string, date string, head binary, payload binary")
+    firsts = long.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "identity"))).alias("m"), F.count("*").alias("n")).where("n > 1 AND m IS NOT NULL")
+    firsts = firsts.select("digest", F.col("m.page_id").alias("first"), F.col("m.identity").alias("of"))
+    revisits = long.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first", "of").distinct()
+    whole = _files(spark, arc).mapInArrow(_parsed(True), "page_id long, digest string, size long, identity string, url string, ip string, date string, head binary, payload binary")
     joined = whole.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
 
     def make(row, task, name, size):
-        page, digest, url, ip, date, head, payload, first = row
-        return warc_record({"URL": url, "IP-address": ip, "Archive-date": date}, head, payload, page, digest, first)
+        identity, digest, url, ip, date, head, payload, first, of = row
+        return warc_record(identity, {"URL": url, "IP-address": ip, "Archive-date": date}, head, payload, digest, first, of)
 
-    _write(joined.select("page_id", "digest", "url", "ip", "date", "head", "payload", "first").mapInArrow(_bundled(make, 8), "value string"), warc)
+    _write(joined.select("identity", "digest", "url", "ip", "date", "head", "payload", "first", "of").mapInArrow(_bundled(make, 9), "value binary"), warc)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables, and columns with clashing names."""
 
+import gzip
 import hashlib
 
 import pytest
@@ -114,6 +115,44 @@ def test_archives(spark, folder):
     )
 
 
+def test_archives_of_bytes(spark, tmp_path):
+    """Payloads that aren't text, Latin-1 heads, blanks in a url, a page named like a version block, equal records."""
+    image = bytes(range(256))
+    contents = [b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\nServer: caf\xe9\r\nContent-Length: %d\r\n\r\n" % (i, len(p)) + p for i, p in ((1, image), (2, image), (2, image), (3, b"\xff\n"))]
+    urls = ["http://a/one two", "filedesc://page", "filedesc://page", "http://c/"]
+    lines = [f"{u} 0.0.0.0 {archives.DATE} image/png {len(c)}\n".encode() + c + b"\n" for u, c in zip(urls, contents, strict=True)]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(gzip.compress(archives.arc_head(1, "a") + b"".join(lines)))
+    archives.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    found = sorted((r["page_id"], r["url"], r["payload_bytes"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in archives.read_warc(spark, str(tmp_path / "warc")).collect())
+    assert found == [
+        (1, "http://a/one%20two", 256, "response", None, image),
+        (2, "filedesc://page", 256, "revisit", 1, b""),
+        (2, "filedesc://page", 256, "revisit", 1, b""),
+        (3, "http://c/", 2, "response", None, b"\xff\n"),
+    ]
+    heads = [f for file in (tmp_path / "warc").glob("*.gz") for f, _ in archives.warc_records(gzip.decompress(file.read_bytes()))]
+    assert len({f["WARC-Record-ID"] for f in heads}) == 4
+    first = [f["WARC-Record-ID"] for f in heads if f["WARC-Target-URI"].endswith("one%20two")]
+    assert {f["WARC-Refers-To"] for f in heads if f["WARC-Type"] == "revisit"} == set(first)
+
+
+def test_arc_offsets_count_bytes():
+    head = archives.arc_head(2, "n")
+    one = archives.arc_record(2, 1, "u", "é" * 9, "n", len(head))
+    raw = head + one + archives.arc_record(2, 2, "v", "x", "n", len(head + one))
+    assert all(raw[int(f["Offset"]) :].startswith(f["URL"].encode()) for _, f, _ in archives.arc_records(raw))
+
+
+def test_stages_keep_clashing_columns(spark, folder):
+    docs = spark.createDataFrame([(1, "Ein Satz mit Worten.", "de", "s", 20), (2, "Some words of another text.", "en", "s", 27)], DOCS)
+    docs = docs.withColumns({c: F.lit(5) for c in ("_row", "_HITS", "_found_language", "_lines")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns, name
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, docs.collect())), name
+
+
 def test_vectors(spark, folder):
     found = {}
     for r in nearest.op10_nearest(spark, folder).orderBy("query_id", "rank").collect():
