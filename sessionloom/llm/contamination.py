@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from sessionloom.llm.common import session, table
+from sessionloom.llm.common import fresh, session, table
 
 OTHER = re.compile(r"[\W_]+")
 #: Bytes of a piece that are looked up at most, and bits of the lookup's first filter.
@@ -204,8 +204,8 @@ def _hits(benchmark):
     return found
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents with an array ``_hits`` of ``item_id, distance, start, end`` (in the normal form of the text)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = BLOCK_CHARS, into: str = "_hits") -> DataFrame:
+    """The documents with an array ``into`` of ``item_id, distance, start, end`` (in the normal form of the text)."""
     spark = session(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where(F.length("text") > 0)
     count = max(1, math.ceil((items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) / block_chars))
@@ -214,7 +214,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_ch
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == b)
         shared = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in block.toLocalIterator()], rate))
         columns.append(_hits(shared)(F.col("text")))
-    return docs.withColumn("_hits", columns[0] if count == 1 else F.concat(*columns))
+    return docs.withColumn(into, columns[0] if count == 1 else F.concat(*columns))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -225,4 +225,5 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item go."""
-    return with_hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("_hits") == 0).drop("_hits")
+    into = fresh(docs, "_hits")
+    return with_hits(docs, table(spark, sf_dir, "benchmark"), into=into).where(F.size(into) == 0).drop(into)

@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType
 
 from sessionloom.context import cut
 from sessionloom.llm import overlap
-from sessionloom.llm.common import blocks, bounds, components, forest, hashes, runs, session, table
+from sessionloom.llm.common import blocks, bounds, components, forest, fresh, hashes, runs, session, table
 
 #: Fixed value: the generator polynomial of the Golay code.
 GENERATOR, LENGTH, CHECKS = 0b101011100011, 23, 11
@@ -193,11 +193,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Among equal ids the smallest digest of the text decides, then that of the whole row; of equal rows one stays.
     """
+    mark = fresh(docs, "_row")
     found, roots = overlap.near_copies(docs)
     of = found.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    kept = cut(of.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")).alias("m")).select(F.col("m.row").alias("_row")))
-    keyed = docs.withColumn("_row", overlap.rows(docs))
-    out = keyed.join(kept.hint("shuffle_hash"), "_row", "left_semi")
+    kept = cut(of.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")).alias("m")).select(F.col("m.row").alias(mark)))
+    keyed = docs.withColumn(mark, overlap.rows(docs))
+    out = keyed.join(kept.hint("shuffle_hash"), mark, "left_semi")
     # Rows with one key are equal in all columns: which of them stays makes no difference.
-    repeated = found.join(kept, F.col("row") == F.col("_row"), "left_semi").count() > kept.count()
-    return (out.dropDuplicates(["_row"]) if repeated else out).drop("_row")
+    repeated = found.join(kept, F.col("row") == F.col(mark), "left_semi").count() > kept.count()
+    return (out.dropDuplicates([mark]) if repeated else out).drop(mark)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import id_bucket, replace_columns, sample, session, table
+from sessionloom.llm.common import fresh, id_bucket, replace_columns, sample, session, table
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -187,5 +187,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(training(docs))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = docs.withColumn("_found_language", predictions(docs, model))
-    return found.where(F.col("_found_language.lang_pred") != UNDETERMINED).drop("_found_language")
+    into = fresh(docs, "_found_language")
+    return docs.withColumn(into, predictions(docs, model)).where(F.col(f"{into}.lang_pred") != UNDETERMINED).drop(into)
