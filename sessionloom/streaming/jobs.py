@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -86,24 +88,61 @@ def late_rows(batch: DataFrame, newest: str, slack_days: int = K.MTIME_SLACK_DAY
 # --- state -----------------------------------------------------------------------------
 
 
+#: Groups of keys that share one state. It is part of a checkpoint: a stream keeps the number it began with.
+BUCKETS = 4096
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _held(state: GroupState, columns: list[str]) -> pd.DataFrame:
+    """The rows that the state of a bucket holds, one for each key."""
+    if not state.exists:
+        return pd.DataFrame(columns=columns)
+    return pa.ipc.open_stream(state.get[0]).read_pandas()
+
+
+def _hold(state: GroupState, rows: pd.DataFrame) -> None:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+
+
+def _codes(held: pd.Series, seen: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the keys in the state and in the batch, and the keys by number."""
+    codes, names = pd.factorize(np.concatenate([held.to_numpy(object), seen.to_numpy(object)]), use_na_sentinel=False)
+    return codes[: len(held)], codes[len(held) :], names
+
+
 def stateful_counters(counts: DataFrame, key: str = "file_path") -> DataFrame:
-    """Cumulative totals to deltas per key, across batches: key, line_no, delta. A smaller total is a reset."""
+    """Cumulative totals to deltas per key, across batches: key, line_no, delta. A smaller total is a reset.
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("line_no")
-        out = []
-        for line, total in zip(rows["line_no"], rows["total"]):
-            if previous is not None and total == previous:
-                continue
-            base = 0 if previous is None or total < previous else previous
-            out.append((k[0], line, total - base))
-            previous = total
-        state.update((int(previous),))
-        yield pd.DataFrame(out, columns=[key, "line_no", "delta"])
-
-    return counts.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, line_no long, delta long", "previous long", "append", GroupStateTimeout.NoTimeout
+    Rows without a total tell nothing and drop out. The state is the last total of each key, held by bucket.
+    """
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, held = pd.concat(list(batches)), _held(state, ["key", "total"])
+        old, new, names = _codes(held["key"], rows[key])
+        order = np.lexsort((rows["line_no"].to_numpy(), new))
+        code, line, total = new[order], rows["line_no"].to_numpy()[order], rows["total"].to_numpy(np.int64)[order]
+        known, last = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        known[old], last[old] = True, held["total"].to_numpy(np.int64)
+        first = np.append(True, code[1:] != code[:-1])
+        seen = np.where(first, known[code], True)
+        previous = np.where(first, last[code], np.append(0, total[:-1]))
+        delta = total - np.where(seen & (total >= previous), previous, 0)
+        fresh = ~seen | (total != previous)
+        ends = np.append(first[1:], True)
+        last[code[ends]] = total[ends]
+        _hold(state, pd.DataFrame({"key": names, "total": last}))
+        yield pd.DataFrame({key: names[code[fresh]], "line_no": line[fresh], "delta": delta[fresh]})
+
+    rows = counts.where("total is not null").select(_bucket(key), key, "line_no", "total")
+    return rows.groupBy("bucket").applyInPandasWithState(
+        step, f"{key} string, line_no long, delta long", "held binary", "append", GroupStateTimeout.NoTimeout
     )
 
 

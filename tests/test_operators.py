@@ -617,3 +617,33 @@ def test_repeated_batch_and_second_upsert(spark, tmp_path):
     again = J.batches(spark, f"{path}/out", J.STORED_SCHEMA).where("batch_id = 1").drop("batch_id").collect()
     J.append_batch(spark.createDataFrame(again, J.STORED_SCHEMA), f"{path}/out", 1)  # a batch written twice after a failure
     assert table() == {"a": 30, "b": 20, "c": 40}
+
+
+def _drained(spark, name, batches, schema, job, tmp_path):
+    folder = tmp_path / name
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        out = J.to_table(job(spark.readStream.schema(schema).parquet(str(folder / "in"))), path=str(folder / "out"))
+    return out
+
+
+def test_stream_counters_share_few_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "BUCKETS", 3)
+    rng = random.Random(3)
+    batches, state, want = [], {}, []
+    for b in range(3):
+        rows = [(k if k != "k0" else None, b * 10 + n, rng.choice([0, 5, 5, 9])) for k in (f"k{i}" for i in range(20)) for n in range(6) if rng.random() < 0.7]
+        batches.append(rng.sample(rows, len(rows)))
+        for k, n, total in rows:
+            last = state.get(k)
+            if last != total:
+                want.append((str(k), n, total if last is None or total < last else total - last))
+            state[k] = total
+    out = _drained(spark, "counters", batches, "file_path string, line_no long, total long", J.stateful_counters, tmp_path)
+    assert sorted((str(r.file_path), r.line_no, r.delta) for r in out.collect()) == sorted(want)
+
+
+def test_stream_states_do_not_grow_in_number_with_the_keys(spark, tmp_path):
+    counts = spark.readStream.schema("file_path string, line_no long, total long").parquet(str(tmp_path))
+    for out in (J.stateful_counters(counts),):
+        assert ", [bucket#" in out._jdf.queryExecution().analyzed().toString()
