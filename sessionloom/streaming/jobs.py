@@ -146,41 +146,85 @@ def stateful_counters(counts: DataFrame, key: str = "file_path") -> DataFrame:
     )
 
 
+_OPEN = ["session_id", "start", "end", "steps", "spoken", "due"]
+
+
 def stateful_loops(points: DataFrame, gap_ms: int = K.SITTING_GAP_MS) -> DataFrame:
     """Runs of work between human turns as they close: session_id, start_ms, end_ms, steps.
 
     ``points``: session_id, ts (watermarked), at_ms, turn (1 for a human turn). State is one open run per
-    session; an event-time timer closes it after the pause. When a source has ended, one more row (of any session,
-    a turn, later than all others by the watermark's delay and the pause) closes the runs that are still open.
+    session, held by bucket; an event-time timer closes it after the pause. When a source has ended, one more row (of any
+    session, a turn, later than all others by the watermark's delay and the pause) closes the runs that are still open.
     """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        start, end, steps, spoken = state.get if state.exists else (-1, -1, 0, -1)
-        if state.hasTimedOut:
-            if steps:
-                out.append((k[0], start, end, steps))
-            state.remove()
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, passed = _held(state, _OPEN), int(state.getCurrentWatermarkMs())
+        rows = None if state.hasTimedOut else pd.concat(list(batches))
+        out, kept = _loops(held, rows, gap_ms, passed)
+        if len(kept):
+            _hold(state, kept)
+            state.setTimeoutTimestamp(max(int(kept["due"].min()), passed + 1))
         else:
-            rows = pd.concat(list(batches)).sort_values(["at_ms", "turn"], ascending=[True, False])
-            for at, turn in zip(rows["at_ms"], rows["turn"]):
-                if turn:
-                    spoken = max(spoken, at)
-                    continue
-                if steps and (at - end > gap_ms or spoken > end):
-                    out.append((k[0], start, end, steps))
-                    steps = 0
-                if not steps:
-                    start = at
-                end, steps = at, steps + 1
-            state.update((int(start), int(end), int(steps), int(spoken)))
-            wait = max(end, spoken) + gap_ms + 1
-            state.setTimeoutTimestamp(max(int(wait), int(state.getCurrentWatermarkMs()) + 1))
-        yield pd.DataFrame(out, columns=["session_id", "start_ms", "end_ms", "steps"])
-
-    return points.groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, start_ms long, end_ms long, steps long", "start long, end long, steps long, spoken long",
-        "append", GroupStateTimeout.EventTimeTimeout,
+            state.remove()
+        yield out
+
+    rows = points.select(_bucket("session_id"), "session_id", "ts", "at_ms", "turn")
+    return rows.groupBy("bucket").applyInPandasWithState(
+        step, "session_id string, start_ms long, end_ms long, steps long", "held binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def _loops(held: pd.DataFrame, rows: pd.DataFrame | None, gap_ms: int, passed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Closed runs, and the open ones afterwards, of the sessions of a bucket.
+
+    A session of the batch goes on from its open run; any other one closes when the watermark has passed its ``due``.
+    """
+    seen = rows["session_id"] if rows is not None else pd.Series([], dtype=object)
+    old, new, names = _codes(held["session_id"], seen)
+    number = {c: held[c].to_numpy(np.int64) for c in _OPEN[1:]}
+    moved = np.zeros(len(names), bool)
+    moved[new] = True
+    due = ~moved[old] & (number["due"] < passed)
+    closed = [(old[due & (number["steps"] > 0)], *[number[c][due & (number["steps"] > 0)] for c in ("start", "end", "steps")])]
+    stay = ~moved[old] & ~due
+    kept = [(old[stay], *[number[c][stay] for c in _OPEN[1:]])]
+    if len(new):
+        # The open run of a session stands before its rows: a step that ended at ``end``, and what was spoken.
+        on = moved[old]
+        at = np.concatenate([number["end"][on], rows["at_ms"].to_numpy(np.int64)])
+        turn = np.concatenate([np.zeros(on.sum(), bool), rows["turn"].to_numpy() != 0])
+        code = np.concatenate([old[on], new])
+        carried = np.concatenate([np.ones(on.sum(), bool), np.zeros(len(new), bool)])
+        start = np.concatenate([number["start"][on], at[on.sum() :]])
+        steps = np.concatenate([number["steps"][on], (~turn[on.sum() :]).astype(np.int64)])
+        spoken = np.concatenate([number["spoken"][on], np.where(turn[on.sum() :], at[on.sum() :], -1)])
+        order = np.lexsort((~turn, at, ~carried, code))
+        code, at, start, steps, spoken = (x[order] for x in (code, at, start, steps, spoken))
+        spoken = pd.Series(spoken).groupby(code).cummax().to_numpy()
+        ends = np.append(code[1:] != code[:-1], True)
+        last_spoken = np.full(len(names), -1, np.int64)
+        last_spoken[code[ends]] = spoken[ends]
+        w = steps > 0
+        code, at, start, steps, spoken = (x[w] for x in (code, at, start, steps, spoken))
+        starts = np.ones(len(code), bool)
+        if len(code):
+            starts[1:] = (code[1:] != code[:-1]) | (at[1:] - at[:-1] > gap_ms) | (spoken[1:] > at[:-1])
+        first = np.flatnonzero(starts)
+        last = np.append(first[1:], len(code))[: len(first)] - 1
+        run = (code[first], start[first], at[last], np.add.reduceat(steps, first) if len(first) else steps[:0])
+        open_ = np.append(run[0][1:] != run[0][:-1], True)[: len(first)]
+        closed.append(tuple(x[~open_] for x in run))
+        every = np.flatnonzero(moved)
+        state = {c: np.full(len(names), v, np.int64) for c, v in (("start", -1), ("end", -1), ("steps", 0))}
+        for c, x in zip(state, run[1:], strict=True):
+            state[c][run[0][open_]] = x[open_]
+        begun = {c: x[every] for c, x in state.items()}
+        wait = np.maximum(np.maximum(begun["end"], last_spoken[every]) + gap_ms + 1, passed + 1)
+        kept.append((every, *begun.values(), last_spoken[every], wait))
+    done, rest = ([np.concatenate(x) for x in zip(*parts, strict=True)] for parts in (closed, kept))
+    return (
+        pd.DataFrame({"session_id": names[done[0]], "start_ms": done[1], "end_ms": done[2], "steps": done[3]}),
+        pd.DataFrame(dict(zip(_OPEN, (names[rest[0]], *rest[1:]), strict=True))),
     )
 
 

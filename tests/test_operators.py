@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
-from datetime import date
+from datetime import UTC, date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -643,7 +643,25 @@ def test_stream_counters_share_few_states(spark, tmp_path, monkeypatch):
     assert sorted((str(r.file_path), r.line_no, r.delta) for r in out.collect()) == sorted(want)
 
 
+def test_stream_loops_share_few_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "BUCKETS", 3)
+    rng, minute = random.Random(4), 60_000
+    sessions = {f"s{i}": sorted(rng.sample(range(2000, 3500), 40)) for i in range(12)}
+    rows = [(s, m * minute, int(rng.random() < 0.15)) for s, at in sessions.items() for m in at]
+    last = [("end", 9000 * minute, 1)]
+    batches = [[r for r in rows if r[1] < 2500 * minute], [r for r in rows if r[1] >= 2500 * minute], last]
+    schema = "session_id string, at_ms long, turn int, ts timestamp"
+    timed = [[(*r, datetime.fromtimestamp(r[1] / 1000, UTC)) for r in b] for b in batches]
+    out = _drained(spark, "loops", timed, schema, lambda s: J.stateful_loops(s.withWatermark("ts", "10 minutes")), tmp_path)
+    want = {
+        (s, a, b, n) for s in sessions
+        for a, b, n, _ in _brute_runs([m for k, m, t in rows if k == s and not t], [m for k, m, t in rows if k == s and t])
+    }
+    assert {(r.session_id, r.start_ms, r.end_ms, r.steps) for r in out.collect()} == want
+
+
 def test_stream_states_do_not_grow_in_number_with_the_keys(spark, tmp_path):
     counts = spark.readStream.schema("file_path string, line_no long, total long").parquet(str(tmp_path))
-    for out in (J.stateful_counters(counts),):
+    points = spark.readStream.schema("session_id string, at_ms long, turn int, ts timestamp").parquet(str(tmp_path)).withWatermark("ts", "1 minute")
+    for out in (J.stateful_counters(counts), J.stateful_loops(points)):
         assert ", [bucket#" in out._jdf.queryExecution().analyzed().toString()
