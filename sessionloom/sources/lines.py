@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.variant import is_object
-from ..operators.blocks import top_n
+from ..operators.blocks import once, top_n
 
 
 def _path_text() -> Column:
@@ -96,8 +96,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], since: str | Non
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``v`` (VARIANT); blank, malformed and non-object lines drop out."""
-    parsed = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
-    return parsed.where(is_object(F.col("v"))).drop("value")
+    rest = [c for c in lines.columns if c not in ("value", "v")]
+    return once(lines.where(F.trim("value") != ""), rest, F.try_parse_json("value").alias("v")).where(is_object(F.col("v")))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..context import cut
 from ..functions import variant as V
-from ..operators.blocks import line_block, running
+from ..operators.blocks import line_block, once, running
 from ..operators.usage import dedupe_usage
 
 COLUMNS = (
@@ -109,20 +109,27 @@ def usage_codex(records: DataFrame) -> DataFrame:
     Session and model are carried forward, repeated totals are skipped, totals become deltas (a shrinking input
     counter is a reset), and counts that a per-response receipt covers drop out.
     """
-    v, p = F.col("v"), V.get(F.col("v"), "$.payload")
-    kind = V.any_text(v, "$.type")
-    info = V.get(p, "$.info")
-    is_meta, is_turn, is_receipt = kind == "session_meta", kind == "turn_context", (kind == "token_usage_record") & V.text(p, "$.response_id").isNotNull()
-    is_count = (kind == "event_msg") & (V.any_text(p, "$.type") == "token_count") & V.is_object(info)
-    meta = F.when(is_meta & V.text(p, "$.id").isNotNull(), F.struct(V.text(p, "$.id").alias("id"), V.text(p, "$.cwd").alias("cwd")))
-    slim = records.select(
-        "file_path", "line_no", V.text(v, "$.timestamp").alias("stamp"),
-        F.when(is_receipt, "receipt").when(is_count, "count").otherwise("context").alias("part"),
-        meta.alias("meta"), F.when(is_turn, V.text(p, "$.model")).alias("model"),
-        F.when(is_receipt, V.text(p, "$.response_id")).alias("response_id"),
-        F.when(is_receipt, _counters(V.get(p, "$.usage"))).alias("usage"), F.when(is_receipt, _counters(V.get(p, "$.thread_token_usage"))).alias("thread"),
-        F.when(is_count, _counters(V.get(info, "$.total_token_usage"))).alias("totals"), F.when(is_count, _counters(V.get(info, "$.last_token_usage"))).alias("last_usage"),
-        line_block(F.col("line_no")).alias("block"),
+    v, p = F.col("v"), F.col("p")
+    place = ["file_path", "line_no"]
+    read = once(records, place, V.any_text(v, "$.type").alias("kind"), V.text(v, "$.timestamp").alias("stamp"), V.get(v, "$.payload").alias("p"))
+    kind, part = F.col("kind"), F.col("part")
+    response = read.withColumn("response_id", F.when(kind == "token_usage_record", V.text(p, "$.response_id"))).withColumn(
+        "info", F.when((kind == "event_msg") & (V.any_text(p, "$.type") == "token_count"), V.get(p, "$.info"))
+    )
+    parts = response.withColumn("part", F.when(F.col("response_id").isNotNull(), "receipt").when(V.is_object(F.col("info")), "count").otherwise("context"))
+    is_receipt, is_count, named = part == "receipt", part == "count", F.when(kind == "session_meta", V.text(p, "$.id"))
+    variants = parts.select(
+        *place, "stamp", "part", "response_id", named.alias("named"), F.when(kind == "session_meta", V.text(p, "$.cwd")).alias("cwd"),
+        F.when(kind == "turn_context", V.text(p, "$.model")).alias("model"),
+        F.when(is_receipt, V.get(p, "$.usage")).alias("usage"), F.when(is_receipt, V.get(p, "$.thread_token_usage")).alias("thread"),
+        F.when(is_count, V.get(F.col("info"), "$.total_token_usage")).alias("totals"), F.when(is_count, V.get(F.col("info"), "$.last_token_usage")).alias("last_usage"),
+    )
+    # All uses go through one lambda: written out for each, the code of a row is too long a method to be compiled.
+    uses = ("usage", "thread", "totals", "last_usage")
+    counted = variants.withColumn("counters", F.transform(F.array(*uses), _counters)).drop(*uses)
+    slim = once(
+        counted, place, "stamp", "part", F.when(F.col("named").isNotNull(), F.struct(F.col("named").alias("id"), "cwd")).alias("meta"), "model", "response_id",
+        *[F.col("counters")[i].alias(c) for i, c in enumerate(uses)], line_block(F.col("line_no")).alias("block"),
     ).where("part <> 'context' or meta is not null or model is not null")
     filled = running(cut(slim), ["file_path"], "block", ["line_no"], lasts={"cur_meta": F.col("meta"), "cur_model": F.col("model")})
     ready = cut(filled.where("part <> 'context' and cur_meta is not null and cur_model is not null and stamp is not null"))

@@ -665,3 +665,10 @@ def test_stream_states_do_not_grow_in_number_with_the_keys(spark, tmp_path):
     points = spark.readStream.schema("session_id string, at_ms long, turn int, ts timestamp").parquet(str(tmp_path)).withWatermark("ts", "1 minute")
     for out in (J.stateful_counters(counts), J.stateful_loops(points)):
         assert ", [bucket#" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_filter_does_not_parse_a_line_again(spark):
+    lines = spark.createDataFrame([("f", 1, '{"type":"x"}'), ("f", 2, "[1]"), ("f", 3, "bad"), ("f", 4, "{}")], "file_path string, line_no long, value string")
+    parsed = L.parse_lines(lines)
+    assert sorted(r.line_no for r in parsed.collect()) == [1, 4]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
