@@ -70,6 +70,14 @@ def hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, count)
 
 
+def simhash(hashed: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number; zero where there are none."""
+    if not (count := len(hashed)):
+        return 0
+    votes = np.unpackbits(hashed.view(np.uint8).reshape(count, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > count, bitorder="little").view(np.int64)[0])
+
+
 def blocks(keyed: DataFrame, member: str, size: int = BLOCK) -> DataFrame:
     """Deal the rows of ``key`` into pieces of bounded size: ``key, piece, member…``.
 

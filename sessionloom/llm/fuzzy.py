@@ -18,7 +18,8 @@ fingerprints count once, so a group of near copies is no larger than the number
 Defined results: texts without words (null, empty, blank) have fingerprint zero, which links like any other; a row is a
 document, and rows with equal ids are one. A null id is never the id of a component unless no other id is in it.
 
-The pipeline's stage does not use fingerprints but the similarity of five-word shingles (``overlap``).
+The pipeline's stage links five-word fingerprints in this way, adds candidates that four bits miss, and keeps what is
+similar by whole sets of five-word shingles (``overlap``).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql.types import LongType
 
 from sessionloom.context import cut
 from sessionloom.llm import overlap
-from sessionloom.llm.common import blocks, bounds, components, forest, fresh, hashes, runs, session, table
+from sessionloom.llm.common import blocks, bounds, components, forest, fresh, hashes, runs, session, simhash, table
 
 #: Fixed value: the generator polynomial of the Golay code.
 GENERATOR, LENGTH, CHECKS = 0b101011100011, 23, 11
@@ -48,12 +49,7 @@ CHUNK = 20_000
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The SimHash of the word shingles, as a signed 64-bit number."""
     words = (text or "").encode().lower().split()  # for bytes: A-Z, and blanks are 0x20 and 0x09 to 0x0D
-    if not words:
-        return 0
-    found = hashes(words, width)
-    count = len(found)
-    votes = np.unpackbits(found.view(np.uint8).reshape(count, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > count, bitorder="little").view(np.int64)[0])
+    return simhash(hashes(words, width))
 
 
 @F.pandas_udf(LongType())
@@ -194,7 +190,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Among equal ids the smallest digest of the text decides, then that of the whole row; of equal rows one stays.
     """
     mark = fresh(docs, "_row")
-    found, roots = overlap.near_copies(docs)
+    found, roots = overlap.near_copies(docs, links)
     of = found.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = cut(of.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row")).alias("m")).select(F.col("m.row").alias(mark)))
     keyed = docs.withColumn(mark, overlap.rows(docs))

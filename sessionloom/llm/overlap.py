@@ -3,8 +3,11 @@
 Texts are compared as sets of ``WIDTH``-word shingles (lower-case A-Z, words between blanks); two are near copies at a
 similarity of ``LEAST`` or more. Texts with the same words count once, whatever their number.
 
-* ``BANDS`` keys of ``ROWS`` minima each find the candidates: a pair at 0.8 shares a key with a chance of 1 - 1e-5.
-* Within a bucket, sizes (exact) and ``BITS`` one-bit minima discard what is far; the bits keep a pair at 0.8 with a
+* Fingerprints of the shingles (SimHash) are linked through their Golay codes, by the operator of ``fuzzy``: any two texts
+  whose fingerprints differ in four bits or fewer are candidates, without exception.
+* At 0.8 about ten bits of 64 differ, so ``BANDS`` keys of ``ROWS`` minima find the candidates that four bits miss: a pair
+  at 0.8 shares a key with a chance of 1 - 1e-5.
+* Within a bucket of minima, sizes (exact) and ``BITS`` one-bit minima discard what is far; the bits keep a pair at 0.8 with a
   chance of 1 - 1e-6 (five standard deviations).
 * What hangs together so is a group, and the groups are cut into exact clusters on whole sets of shingles by rounds of
   pivots (``clusters``): a dense group of n copies costs a few comparisons for each, and no pair of a group that could
@@ -18,7 +21,7 @@ shingle. Every row is a document of its own, also where ids are null or repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 from sessionloom.context import cut
 from sessionloom.llm import clusters, common
 from sessionloom.llm.clusters import clustered
-from sessionloom.llm.common import blocks, bounds, components, forest, hashes, runs, session
+from sessionloom.llm.common import blocks, bounds, components, forest, hashes, runs, session, simhash
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, LEAST = 5, (4, 5)
@@ -46,7 +49,7 @@ _FLIP, _TIMES = (_random.integers(0, 1 << 64, BITS, dtype=np.uint64) for _ in ra
 _TIMES |= np.uint64(1)
 
 PRINTED = StructType()
-for _name in ("hi", "lo", "n", "s0", "s1"):
+for _name in ("hi", "lo", "n", "fp", "s0", "s1"):
     PRINTED.add(_name, LongType())
 PRINTED.add("keys", ArrayType(LongType()))
 MEMBERS = ("node", "n", "s0", "s1")
@@ -66,20 +69,21 @@ def _print(text: str | None) -> tuple:
     words = (text or "").encode().lower().split()
     digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
     if not words:
-        return int(digest[0]), int(digest[1]), 0, 0, 0, []
-    found = np.unique(hashes(words, WIDTH))
+        return int(digest[0]), int(digest[1]), 0, 0, 0, 0, []
+    every = hashes(words, WIDTH)
+    found = np.unique(every)
     least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), CHUNK):
         np.minimum(least, ((found[start : start + CHUNK, None] ^ _FLIP) * _TIMES).min(0), out=least)
     sketch = np.packbits(least >> np.uint64(17) & np.uint64(1) == 1).view(np.int64)
     bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = [xxhash.xxh3_64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(bands)]
-    return int(digest[0]), int(digest[1]), len(found), int(sketch[0]), int(sketch[1]), keys
+    return int(digest[0]), int(digest[1]), len(found), simhash(every), int(sketch[0]), int(sketch[1]), keys
 
 
 @F.pandas_udf(PRINTED)
 def prints(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_print(t if isinstance(t, str) else None) for t in texts], columns=["hi", "lo", "n", "s0", "s1", "keys"])
+    return pd.DataFrame([_print(t if isinstance(t, str) else None) for t in texts], columns=PRINTED.names)
 
 
 @F.pandas_udf(BinaryType())
@@ -123,17 +127,29 @@ def rows(docs: DataFrame) -> Column:
     return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")), rest.cast("string")).cast("binary"))
 
 
-def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows (``row, doc_id, digest, node``) and the components of the nodes that have near copies (``node, root``)."""
+def _printed_alike(nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links that connect the nodes with equal or linked fingerprints; of equal ones the smallest node has the links."""
+    own = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = nodes.join(own, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
+    ends = [own.select(F.col("fp").alias(f"_{c}"), F.col("first").alias(c)) for c in "ab"]
+    near = links(own.select("fp")).distinct().select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(ends[0], "_a").join(ends[1], "_b").select("a", "b")
+    return equal.unionByName(near)
+
+
+def near_copies(docs: DataFrame, links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """All rows (``row, doc_id, digest, node``) and the components of the nodes that have near copies (``node, root``).
+
+    ``links`` connects fingerprints (``fp``) that are near: ``fuzzy.links``.
+    """
     session(docs.sparkSession)
     digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     printed = cut(docs.select(rows(docs).alias("row"), "doc_id", digest.alias("digest"), prints(F.col("text")).alias("p")).select("row", "doc_id", "digest", "p.*"))
     # Rows with the same words have the same prints; the number of a node is fixed when the table is written.
     nodes = cut(
-        printed.groupBy("hi", "lo").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "keys")]).withColumn("node", F.monotonically_increasing_id())
+        printed.groupBy("hi", "lo").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "s0", "s1", "keys")]).withColumn("node", F.monotonically_increasing_id())
     )
     found = printed.select("row", "doc_id", "digest", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("row", "doc_id", "digest", "node")
-    groups = components(_pairs(nodes))
+    groups = components(_pairs(nodes).unionByName(_printed_alike(nodes, links)))
     wanted = nodes.join(groups, "node").select("row", "node", "root").hint("shuffle_hash")
     # Equal rows have one key, so any of them gives the node's text.
     texts = docs.select(rows(docs).alias("row"), "text").join(wanted, "row").dropDuplicates(["node"])

@@ -162,6 +162,26 @@ def test_pair_that_fingerprints_miss(spark):
     assert overlap.alike(overlap.shingles(pair[0]), overlap.shingles(pair[1]))
 
 
+def test_linked_fingerprints_are_candidates(spark, monkeypatch):
+    """Near copies come together by their fingerprints alone, and what they bring together is compared exactly."""
+    rng = random.Random(9)
+    texts = []
+    for size in (60, 300, 900):
+        for _ in range(20):
+            base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+            texts += [" ".join(base), " ".join([*base[:-1], "x"])]
+    texts += ["a b c d e f g " * 60 + " ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(2)]  # repeats count in fingerprints only
+    texts += ["one " * 9, "one " * 12]
+    prints = [fuzzy.fingerprint(t, 5) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 4}
+    alike = {(i, j) for i, j in near if 5 * len(sets(texts[i]) & sets(texts[j])) >= 4 * len(sets(texts[i]) | sets(texts[j]))}
+    assert len(alike) > 20 and near - alike and (len(texts) - 2, len(texts) - 1) in alike
+    monkeypatch.setattr(overlap, "_pairs", lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    gone = set(range(len(texts))) - {r["doc_id"] for r in fuzzy.stage(spark, docs, "").collect()}
+    assert gone == {j for _, j in alike}
+
+
 def test_rows_without_ids_are_documents_of_their_own(spark):
     rng = random.Random(6)
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(50)) for _ in range(6)]
