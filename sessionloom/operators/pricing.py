@@ -12,6 +12,7 @@ from ..functions.dates import local_date, local_hour
 from ..functions.money import nano, usd2
 from ..functions.text import resolve_project
 from ..sources.pricing import resolve_models
+from .blocks import dealt
 
 COUNTERS = ("input", "output", "cache_read", "write_5m", "write_1h")
 
@@ -84,7 +85,7 @@ def cost_base(
 
     The tier split is linear once each event is cut at the threshold, so prices are applied to summed
     counters: events are combined before the first shuffle and never joined one by one. ``models`` may name
-    a cheaper source of the model ids than ``events`` (any superset will do).
+    a cheaper source of the model ids and the number of ``events`` (any superset will do).
     """
     slim = events.select(
         local_date("ts", tz).alias("day"),
@@ -115,8 +116,10 @@ def cost_base(
         *[open_sum(F.col(c), f"t_{c}") for c in COUNTERS],
         *[open_sum(_over(F.col(c)), f"o_{c}") for c in COUNTERS],
     )
-    resolved = resolve_models((events if models is None else models).select("model"), prices)
-    rated = _with_rates(grouped, resolved)
+    known = events if models is None else models
+    resolved = resolve_models(known.select("model"), prices)
+    # There are no more slices than events; what is made of them in the same stage takes memory by the slice.
+    rated = dealt(_with_rates(grouped, resolved), keys, known.count())
     rates = _rates()
     total = F.lit(0.0)
     for c, (base, above) in rates.items():

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_ms, local_date
-from .blocks import running
+from .blocks import dealt, running
 
 PERIODS = ("today", "7d", "30d", "365d", "all")
 
@@ -25,12 +25,13 @@ def dedupe_usage(events: DataFrame) -> DataFrame:
     Copies replace the one held in the order of ``seq``: by a larger volume, at equal volume by a larger cost, and a fast
     copy replaces one that isn't, whatever it costs. Where the copies of the largest volume are all fast or all not, that is
     the first one of the largest cost. Otherwise the order decides, see ``last_held``. Copies are combined before the
-    shuffle, so a key that repeats very often never gathers in one task.
+    shuffle, so a key that repeats very often never gathers in one task; this sorts the rows of a
+    task, so large splits are dealt first.
     """
     fields = [c for c in events.columns if c != "seq"]
     cost, fast = F.coalesce("cost_usd", F.lit(0.0)), (F.coalesce("speed", F.lit("")) == "fast").cast("int")
     named = events.where("dedup_key is not null").withColumnRenamed("dedup_key", "__key")
-    keyed = named.groupBy("__key").agg(
+    keyed = dealt(named, ["seq"], events.count()).groupBy("__key").agg(
         F.min("seq").alias("seq"),
         F.max_by(F.struct(*[F.col(c) if c != "dedup_key" else F.col("__key").alias(c) for c in fields]), F.struct(volume(), cost, fast, -F.col("seq"))).alias("e"),
     )

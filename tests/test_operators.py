@@ -179,6 +179,25 @@ def test_prices_resolve_by_boundary_version_date_and_family(spark):
     assert got[""] == (None, None)
 
 
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Copies and priced slices are dealt by their number, and neither result depends on it."""
+    from sessionloom import bindings as B
+
+    raw = B.usage_raw(spark, "/root/testdata/sf0.001").where("seq < 400")
+
+    def results():
+        held = U.dedupe_usage(raw)
+        return held, pricing.cost_base(held, B.prices(spark), models=raw)
+
+    before = [sorted(map(str, x.collect())) for x in results()]
+    monkeypatch.setattr(blocks, "TASK_ROWS", 100)
+    held, base = results()
+    assert [sorted(map(str, x.collect())) for x in (held, base)] == before
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [seq" in plan(held) and ", 4" in plan(held)
+    assert plan(base).count("RepartitionByExpression") > plan(held).count("RepartitionByExpression")
+
+
 def test_aggregated_cost_equals_event_cost(spark):
     rows = [(i, "claude-code", "anthropic", "m", f"2024-01-01 00:0{i % 10}:00", "s", None, 150_000 * (i % 3), 10, 250_000 * (i % 2), 100 * i, 40 * i, None, None, None, None, None, None) for i in range(30)]
     schema = "seq long, tool string, provider string, model string, ts string, session_id string, project_path string, input long, output long, cache_read long, cache_write long, cache_write_1h long, cost_usd double, speed string, agent_id string, agent_type string, branch string, dedup_key string"
