@@ -191,7 +191,7 @@ def normalise_project(events: DataFrame, roots: DataFrame | None = None, column:
     """``project``: the longest repository root above the path, else the path, else ``unknown``.
 
     Each path is expanded to its own ancestors, which turns the prefix test into an equi-join on the
-    distinct paths.
+    distinct paths. Events are looked up in these and not sorted: all events of one path are one task's.
     """
     path = F.nullif(F.coalesce(column, F.lit("")), F.lit(""))
     if roots is None:
@@ -208,7 +208,7 @@ def normalise_project(events: DataFrame, roots: DataFrame | None = None, column:
     )
     return (
         events.withColumn("__path", path)
-        .join(best, "__path", "left")
+        .join(best.hint("shuffle_hash"), "__path", "left")
         .withColumn("project", F.coalesce("__root", "__path", F.lit("unknown")))
         .drop("__path", "__root")
     )

@@ -198,6 +198,18 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     assert plan(base).count("RepartitionByExpression") > plan(held).count("RepartitionByExpression")
 
 
+def test_projects_are_looked_up_without_sorting_events(spark):
+    events = spark.createDataFrame([("/a/b/c",), ("/a/b",), ("/x",), ("",), (None,)], "project_path string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = U.normalise_project(events, spark.createDataFrame([("/a",), ("/a/b",)], "root string"))
+        assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["project"] for r in found.collect()) == ["/a/b", "/a/b", "/x", "unknown", "unknown"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_aggregated_cost_equals_event_cost(spark):
     rows = [(i, "claude-code", "anthropic", "m", f"2024-01-01 00:0{i % 10}:00", "s", None, 150_000 * (i % 3), 10, 250_000 * (i % 2), 100 * i, 40 * i, None, None, None, None, None, None) for i in range(30)]
     schema = "seq long, tool string, provider string, model string, ts string, session_id string, project_path string, input long, output long, cache_read long, cache_write long, cache_write_1h long, cost_usd double, speed string, agent_id string, agent_type string, branch string, dedup_key string"
