@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 from datetime import UTC, date, datetime
 
 import pytest
@@ -703,3 +704,22 @@ def test_a_filter_does_not_parse_a_line_again(spark):
     parsed = L.parse_lines(lines)
     assert sorted(r.line_no for r in parsed.collect()) == [1, 4]
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_postings_are_made_inside_their_rows(spark):
+    """No shuffle for rows with keys of their own; rows that share their keys are merged, as are null keys."""
+    words = ["ab", "Ab", "é", "x1", "zz"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(30)] + ["", "?!", None]
+    own = [(i, t, t and t[::-1]) for i, t in enumerate(texts)]
+    for rows in (own, own + [(3, "zz other zz", None), (None, "ab", ""), (None, "ab", "zz")]):
+        want = {}
+        for key, *columns in rows:
+            for col, text in zip("ab", columns):
+                for at, term in enumerate(re.findall(r"[^\W_]+", (text or "").lower().replace("é", "e"))):
+                    want.setdefault((term, key, col), []).append(at)
+        out = search.build_postings(spark.createDataFrame(rows, "id long, a string, b string"), ["a", "b"], ["id"], stemmed=False)
+        got = [((r.term, r.id, r.col), r.positions) for r in out.collect()]
+        assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
+        assert all(r.tf == len(r.positions) for r in out.collect())
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (rows is not own)
