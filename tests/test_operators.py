@@ -723,3 +723,10 @@ def test_postings_are_made_inside_their_rows(spark):
         assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
         assert all(r.tf == len(r.positions) for r in out.collect())
         assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (rows is not own)
+
+
+def test_postings_query_reads_texts_once_for_lengths(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["postings_bm25"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "regexp" not in plan
