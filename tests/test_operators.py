@@ -730,3 +730,33 @@ def test_postings_query_reads_texts_once_for_lengths(spark):
 
     plan = entry.queries()["postings_bm25"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "regexp" not in plan
+
+
+def test_search_eval_query(spark, tmp_path):
+    """Against a plain count over short and empty texts; the texts are read before, once, and not for the three figures."""
+    import __spark_entry__ as entry
+
+    rng = random.Random(8)
+    docs = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([0, 1, 3, 4, 5, 9, 30]))) for _ in range(60)] + [None]
+    items = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 3, 4, 6]))) for _ in range(40)] + ["a b c d", "d c b a e"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    recall, mrr, abstention = [], [], []
+    for item in items:
+        q, scored, expected = item.split()[:4], [], set()
+        for i, text in enumerate(docs):
+            t = (text or "").split()
+            if " ".join(q) in {" ".join(t[k : k + 4]) for k in range(max(len(t) - 3, 1))}:
+                expected.add(i)
+            if len(set(q) & set(t)) == 4:
+                scored.append((-sum(t.count(w) for w in q) / len(t), i))
+        ranked = [i for _, i in sorted(scored)[:50]]
+        if expected:
+            recall.append(len(expected & set(ranked[:5])) / min(len(expected), 5))
+            mrr.append(max([1 / (k + 1) for k, i in enumerate(ranked) if i in expected], default=0.0))
+        else:
+            abstention.append(float(not ranked))
+    found = entry.queries()["search_eval"](spark, str(tmp_path))
+    mean = lambda v: sum(v) / len(v)
+    assert tuple(found.first()) == pytest.approx((mean(recall), mean(mrr), mean(abstention)))
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
