@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NUMBER = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
+
 
 def get(v: Column, path: str) -> Column:
     """The member at ``path``; SQL NULL when the key is absent, variant null when it is present and null."""
@@ -25,14 +27,25 @@ def any_text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def as_text(v: Column) -> Column:
+    """``text`` of a value that was read already."""
+    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def as_whole(v: Column) -> Column:
+    """``whole`` of a value that was read already; most are BIGINT, which needs no pattern."""
+    number = (kind(v) == "BIGINT") | kind(v).rlike(_NUMBER)
+    return F.when(number, F.try_variant_get(v, "$", "double").cast("long"))
+
+
 def whole(v: Column, path: str) -> Column:
     """A JSON number as BIGINT."""
-    number = kind(get(v, path)).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    number = kind(get(v, path)).rlike(_NUMBER)
     return F.when(number, F.try_variant_get(v, path, "double").cast("long"))
 
 
 def number(v: Column, path: str) -> Column:
-    ok = kind(get(v, path)).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    ok = kind(get(v, path)).rlike(_NUMBER)
     return F.when(ok, F.try_variant_get(v, path, "double"))
 
 

@@ -10,6 +10,7 @@ from ..context import cut
 from ..sources import lines as L
 from ..sources import native as N
 from ..sources import usage as U
+from ..operators.blocks import dealt
 from ..operators.usage import normalise_project
 from . import archive_queries  # noqa: F401  (shared SQL)
 from .registry import cte, query, sql
@@ -313,7 +314,8 @@ cte(
 def _rollout_counts(spark, d):
     from pyspark.sql import Window
 
-    li = B.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("long") * 100).alias("q"), (F.col("l_returnflag") == "R").alias("receipt"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    table = B.table(spark, d, "lineitem")
+    li = dealt(table, ["l_orderkey"], table.count()).select("l_orderkey", (F.col("l_quantity").cast("long") * 100).alias("q"), (F.col("l_returnflag") == "R").alias("receipt"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     n = li.withColumn("n", F.row_number().over(w))
     cw = Window.partitionBy("l_orderkey", F.col("n") > 4).orderBy("n")
@@ -321,26 +323,28 @@ def _rollout_counts(spark, d):
 
 
 def _rollout_lines(spark, d):
-    c = cut(_rollout_counts(spark, d))
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("n") * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    c, n = _rollout_counts(spark, d), F.col("n")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + n * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    start = F.lit("2024-01-01T00:00:00.000Z").alias("timestamp")
+    order = F.col("l_orderkey").cast("string")
 
     def tokens(i: Column, o: Column, k: Column) -> Column:
         return F.struct(i.alias("input_tokens"), o.alias("output_tokens"), k.alias("cached_input_tokens"))
 
     totals = tokens(F.col("ti"), F.col("tout"), F.col("tc"))
+    meta = _js(F.lit("session_meta").alias("type"), start, F.struct(F.concat(F.lit("o"), order).alias("id"), F.lit("/srv/r").alias("cwd")).alias("payload"))
+    turn = _js(F.lit("turn_context").alias("type"), start, F.struct(F.lit("gpt-5.4").alias("model")).alias("payload"))
     count = _js(F.lit("event_msg").alias("type"), stamp, F.struct(F.lit("token_count").alias("type"), F.struct(totals.alias("total_token_usage")).alias("info")).alias("payload"))
     receipt = _js(
         F.lit("token_usage_record").alias("type"), stamp,
-        F.struct(F.format_string("r%d-%d", F.col("l_orderkey"), F.col("n")).alias("response_id"), tokens(F.col("q"), F.expr("q div 10"), F.expr("q div 4")).alias("usage"), totals.alias("thread_token_usage")).alias("payload"),
+        F.struct(F.concat(F.lit("r"), order, F.lit("-"), n.cast("string")).alias("response_id"), tokens(F.col("q"), F.expr("q div 10"), F.expr("q div 4")).alias("usage"), totals.alias("thread_token_usage")).alias("payload"),
     )
-    path = F.format_string("/r/%d.jsonl", F.col("l_orderkey")).alias("file_path")
-    body = c.select(path, F.col("n"), F.posexplode(F.filter(F.array(count, F.when(F.col("n") % 3 == 0, count), F.when(F.col("receipt"), receipt)), lambda x: x.isNotNull())).alias("i", "value")).select(
-        "file_path", (F.col("n") * 10 + F.col("i")).cast("long").alias("line_no"), "value"
+    twice, first = n % 3 == 0, n == 1
+    places = (
+        (F.lit(0), F.when(first, meta)), (F.lit(1), F.when(first, turn)), (n * 10, count), (n * 10 + 1, F.when(twice, count)), (n * 10 + 1 + twice.cast("int"), F.when(F.col("receipt"), receipt)),
     )
-    keys = c.select("l_orderkey").distinct()
-    meta = keys.select(path, F.lit(0).cast("long").alias("line_no"), _js(F.lit("session_meta").alias("type"), F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.struct(F.format_string("o%d", F.col("l_orderkey")).alias("id"), F.lit("/srv/r").alias("cwd")).alias("payload")).alias("value"))
-    turn = keys.select(path, F.lit(1).cast("long").alias("line_no"), _js(F.lit("turn_context").alias("type"), F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.struct(F.lit("gpt-5.4").alias("model")).alias("payload")).alias("value"))
-    return meta.unionByName(turn).unionByName(body).withColumn("tool", F.lit("codex"))
+    lines = F.array(*[F.struct(i.cast("long").alias("line_no"), value.alias("value")) for i, value in places])
+    return c.select(F.concat(F.lit("/r/"), order, F.lit(".jsonl")).alias("file_path"), F.inline(lines)).where("value is not null").withColumn("tool", F.lit("codex"))
 
 
 @query(

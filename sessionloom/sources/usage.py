@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..context import cut
 from ..functions import variant as V
-from ..operators.blocks import line_block, once, running
+from ..operators.blocks import dealt, line_block, once, running
 from ..operators.usage import dedupe_usage
 
 COLUMNS = (
@@ -76,14 +76,33 @@ def resolve_agents(events: DataFrame, names: DataFrame) -> DataFrame:
 
 
 _TOTALS = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens", "total_tokens")
+_USE = f"struct<{', '.join(f'{n}: variant' for n in _TOTALS)}>"
+#: What is read of a rollout record, in one pass over it. A struct is null where the record has no object.
+_RECORD = (
+    "struct<type: string, timestamp: variant, payload: struct<type: string, id: variant, cwd: variant, model: variant, response_id: variant, "
+    f"usage: {_USE}, thread_token_usage: {_USE}, info: struct<total_token_usage: {_USE}, last_token_usage: {_USE}>>>"
+)
 
 
 def _counters(u: Column) -> Column:
-    return F.when(V.is_object(u), F.struct(*[V.whole(u, f"$.{n}").alias(n) for n in _TOTALS]))
+    return F.when(u.isNotNull(), F.struct(*[V.as_whole(u[n]).alias(n) for n in _TOTALS]))
 
 
 def _counter_key(u: Column) -> Column:
-    return F.concat_ws(",", *[_zero(u[n]).cast("string") for n in _TOTALS[:4]])
+    return F.when(u.isNotNull(), F.struct(*[_zero(u[n]).alias(n) for n in _TOTALS[:4]]))
+
+
+def _delta(names: list[str]) -> Column:
+    """The step from ``prev`` to ``totals``."""
+    reset = F.coalesce(_zero(F.col("totals.input_tokens")) < _zero(F.col("prev.input_tokens")), F.lit(False)) & F.col("prev").isNotNull()
+    steps = [
+        F.when(F.col(f"totals.{n}").isNotNull(), F.greatest(F.col(f"totals.{n}") - F.when(reset, F.lit(0)).otherwise(_zero(F.col(f"prev.{n}"))), F.lit(0))).alias(n) for n in names
+    ]
+    return F.when(F.col("totals").isNotNull(), F.struct(*steps))
+
+
+def _fresh() -> Column:
+    return F.col("totals").isNull() | F.col("prev").isNull() | ~F.col("totals").eqNullSafe(F.col("prev"))
 
 
 def counter_deltas(counts: DataFrame) -> DataFrame:
@@ -92,15 +111,68 @@ def counter_deltas(counts: DataFrame) -> DataFrame:
     ``counts``: file_path, line_no, block, totals (a struct of counters, null where a line names none). A smaller input
     counter is a reset: the step is then the total itself.
     """
-    names = [f.name for f in counts.schema["totals"].dataType.fields]
-    seen = running(counts, ["file_path"], "block", ["line_no"], lasts={"seen": F.col("totals")})
-    stepped = running(cut(seen), ["file_path"], "block", ["line_no"], lags={"prev": F.col("seen")})
-    fresh = stepped.where(F.col("totals").isNull() | F.col("prev").isNull() | (F.to_json("totals") != F.to_json("prev")))
-    reset = F.coalesce(_zero(F.col("totals.input_tokens")) < _zero(F.col("prev.input_tokens")), F.lit(False)) & F.col("prev").isNotNull()
-    steps = [
-        F.when(F.col(f"totals.{n}").isNotNull(), F.greatest(F.col(f"totals.{n}") - F.when(reset, F.lit(0)).otherwise(_zero(F.col(f"prev.{n}"))), F.lit(0))).alias(n) for n in names
-    ]
-    return fresh.withColumn("delta", F.when(F.col("totals").isNotNull(), F.struct(*steps)))
+    stepped = running(counts, ["file_path"], "block", ["line_no"], befores={"prev": F.col("totals")})
+    return stepped.where(_fresh()).withColumn("delta", _delta([f.name for f in counts.schema["totals"].dataType.fields]))
+
+
+def _rollout_parts(records: DataFrame) -> DataFrame:
+    """Counts, receipts and context of rollouts: file_path, line_no, block, stamp, part, meta, model, response_id, use, totals.
+
+    ``use`` and ``totals`` are the counters of one response and those of all so far.
+    """
+    place = ["file_path", "line_no"]
+    read = once(records, place, F.try_variant_get("v", "$", _RECORD).alias("r"))
+    p, kind = F.col("r.payload"), F.col("r.type")
+    info = F.when((kind == "event_msg") & (p["type"] == "token_count"), p["info"])
+    members = once(
+        read, place, V.as_text(F.col("r.timestamp")).alias("stamp"), F.when(kind == "token_usage_record", V.as_text(p["response_id"])).alias("response_id"), info.alias("info"),
+        F.when(kind == "session_meta", V.as_text(p["id"])).alias("named"), F.when(kind == "session_meta", V.as_text(p["cwd"])).alias("cwd"),
+        F.when(kind == "turn_context", V.as_text(p["model"])).alias("model"), p["usage"].alias("usage"), p["thread_token_usage"].alias("thread"),
+    )
+    is_receipt, own = F.col("response_id").isNotNull(), ["stamp", "model", "response_id", "part", "meta"]
+    # One generator for each step: the code of a row in a single one is too long a method to be compiled.
+    uses = once(
+        members, [*place, "stamp", "model", "response_id"], F.when(is_receipt, "receipt").when(F.col("info").isNotNull(), "count").otherwise("context").alias("part"),
+        F.when(F.col("named").isNotNull(), F.struct(F.col("named").alias("id"), "cwd")).alias("meta"),
+        F.when(is_receipt, F.col("usage")).otherwise(F.col("info.last_token_usage")).alias("u"), F.when(is_receipt, F.col("thread")).otherwise(F.col("info.total_token_usage")).alias("t"),
+    ).where("part = 'count' or part = 'receipt' and u is not null or meta is not null or model is not null")
+    used = once(uses, [*place, *own, "t"], _counters(F.col("u")).alias("use"))
+    return once(used, [*place, *own, "use"], _counters(F.col("t")).alias("totals"), line_block(F.col("line_no")).alias("block"))
+
+
+_READY = "part <> 'context' and cur_meta is not null and cur_model is not null and stamp is not null"
+
+
+def _measured(parts: DataFrame) -> DataFrame:
+    """Adds ``usage`` and the keys by which a receipt covers a count; ``delta`` is null in receipts."""
+    return parts.withColumn("usage", F.coalesce("use", "delta")).withColumn("total_key", _counter_key(F.col("totals"))).withColumn("use_key", _counter_key(F.col("usage")))
+
+
+def _events_of_files(parts: DataFrame) -> DataFrame:
+    """Receipts and the counts that none covers, in files of one block: a file stays in one task, sorted for each question."""
+    walk = Window.partitionBy("file_path").orderBy("line_no")
+    upto, before = walk.rowsBetween(Window.unboundedPreceding, Window.currentRow), walk.rowsBetween(Window.unboundedPreceding, -1)
+    is_count, is_receipt = F.col("part") == "count", F.col("part") == "receipt"
+    filled = dealt(parts, ["file_path"], parts.count()).select(
+        "*", F.last("meta", ignorenulls=True).over(upto).alias("cur_meta"), F.last("model", ignorenulls=True).over(upto).alias("cur_model")
+    ).where(_READY)
+    stepped = filled.withColumn("prev", F.last(F.when(is_count, F.col("totals")), ignorenulls=True).over(before)).where(is_receipt | _fresh())
+    measured = _measured(stepped.where("use is not null or totals is not null").withColumn("delta", F.when(is_count, _delta(list(_TOTALS)))))
+    by_total = F.max(is_receipt).over(Window.partitionBy("file_path", "total_key")) & F.col("total_key").isNotNull()
+    by_time = F.max(is_receipt).over(Window.partitionBy("file_path", "stamp", "use_key"))
+    return measured.withColumn("by_total", by_total).where(is_receipt | ~F.col("by_total")).withColumn("by_time", by_time).where(is_receipt | ~F.col("by_time"))
+
+
+def _events_of_blocks(parts: DataFrame) -> DataFrame:
+    """The same for files of any length: no task holds more than a block of a file."""
+    filled = running(parts, ["file_path"], "block", ["line_no"], lasts={"cur_meta": F.col("meta"), "cur_model": F.col("model")})
+    ready = cut(filled.where(_READY))
+    receipts = _measured(ready.where("part = 'receipt'").withColumn("delta", F.lit(None).cast(ready.schema["use"].dataType)))
+    counts = _measured(counter_deltas(ready.where("part = 'count'")).where("use is not null or totals is not null"))
+    by_total = receipts.where("total_key is not null").select("file_path", "total_key").distinct()
+    by_time = receipts.select("file_path", "stamp", "use_key").distinct()
+    unique = counts.join(by_total, ["file_path", "total_key"], "left_anti").join(by_time, ["file_path", "stamp", "use_key"], "left_anti")
+    return unique.unionByName(receipts, allowMissingColumns=True)
 
 
 def usage_codex(records: DataFrame) -> DataFrame:
@@ -109,51 +181,24 @@ def usage_codex(records: DataFrame) -> DataFrame:
     Session and model are carried forward, repeated totals are skipped, totals become deltas (a shrinking input
     counter is a reset), and counts that a per-response receipt covers drop out.
     """
-    v, p = F.col("v"), F.col("p")
-    place = ["file_path", "line_no"]
-    read = once(records, place, V.any_text(v, "$.type").alias("kind"), V.text(v, "$.timestamp").alias("stamp"), V.get(v, "$.payload").alias("p"))
-    kind, part = F.col("kind"), F.col("part")
-    response = read.withColumn("response_id", F.when(kind == "token_usage_record", V.text(p, "$.response_id"))).withColumn(
-        "info", F.when((kind == "event_msg") & (V.any_text(p, "$.type") == "token_count"), V.get(p, "$.info"))
-    )
-    parts = response.withColumn("part", F.when(F.col("response_id").isNotNull(), "receipt").when(V.is_object(F.col("info")), "count").otherwise("context"))
-    is_receipt, is_count, named = part == "receipt", part == "count", F.when(kind == "session_meta", V.text(p, "$.id"))
-    variants = parts.select(
-        *place, "stamp", "part", "response_id", named.alias("named"), F.when(kind == "session_meta", V.text(p, "$.cwd")).alias("cwd"),
-        F.when(kind == "turn_context", V.text(p, "$.model")).alias("model"),
-        F.when(is_receipt, V.get(p, "$.usage")).alias("usage"), F.when(is_receipt, V.get(p, "$.thread_token_usage")).alias("thread"),
-        F.when(is_count, V.get(F.col("info"), "$.total_token_usage")).alias("totals"), F.when(is_count, V.get(F.col("info"), "$.last_token_usage")).alias("last_usage"),
-    )
-    # All uses go through one lambda: written out for each, the code of a row is too long a method to be compiled.
-    uses = ("usage", "thread", "totals", "last_usage")
-    counted = variants.withColumn("counters", F.transform(F.array(*uses), _counters)).drop(*uses)
-    slim = once(
-        counted, place, "stamp", "part", F.when(F.col("named").isNotNull(), F.struct(F.col("named").alias("id"), "cwd")).alias("meta"), "model", "response_id",
-        *[F.col("counters")[i].alias(c) for i, c in enumerate(uses)], line_block(F.col("line_no")).alias("block"),
-    ).where("part <> 'context' or meta is not null or model is not null")
-    filled = running(cut(slim), ["file_path"], "block", ["line_no"], lasts={"cur_meta": F.col("meta"), "cur_model": F.col("model")})
-    ready = cut(filled.where("part <> 'context' and cur_meta is not null and cur_model is not null and stamp is not null"))
-    receipts = ready.where("part = 'receipt' and usage is not null")
-    counts = ready.where("part = 'count'")
-    usage = F.coalesce("last_usage", "delta")
-    measured = counter_deltas(counts).withColumn("usage", usage).where("usage is not null").withColumn("total_key", F.when(F.col("totals").isNotNull(), _counter_key(F.col("totals")))).withColumn(
-        "use_key", _counter_key(F.col("usage"))
-    )
-    by_total = receipts.where("thread is not null").select("file_path", _counter_key(F.col("thread")).alias("total_key")).distinct()
-    by_time = receipts.select("file_path", "stamp", _counter_key(F.col("usage")).alias("use_key")).distinct()
-    unique = measured.join(by_total, ["file_path", "total_key"], "left_anti").join(by_time, ["file_path", "stamp", "use_key"], "left_anti")
+    parts = cut(_rollout_parts(records))
+    long = cut(parts.where("block > 0").select("file_path").distinct())
+    if long.isEmpty():
+        both = _events_of_files(parts)
+    else:
+        wanted = ["file_path", "line_no", "stamp", "part", "response_id", "cur_meta", "cur_model", "totals", "usage"]
+        both = _events_of_files(parts.join(long, "file_path", "left_anti")).select(*wanted).unionByName(_events_of_blocks(parts.join(long, "file_path", "left_semi")).select(*wanted))
+    is_receipt = F.col("part") == "receipt"
     signature = F.coalesce(F.to_json("totals"), F.to_json("usage"))
-    counted = unique.withColumn("dedup_key", F.concat(F.lit("codex:"), F.col("cur_meta.id"), F.lit(":"), "stamp", F.lit(":"), signature)).withColumn("write", F.lit(0).cast("long"))
-    received = receipts.withColumn("dedup_key", F.concat(F.lit("codex:response:"), "response_id")).withColumn("write", _zero(F.col("usage.cache_write_input_tokens")))
-    wanted = ["file_path", "line_no", "stamp", "cur_meta", "cur_model", "usage", "dedup_key", "write"]
-    both = counted.select(*wanted).unionByName(received.select(*wanted))
+    key = F.when(is_receipt, F.concat(F.lit("codex:response:"), "response_id")).otherwise(F.concat(F.lit("codex:"), F.col("cur_meta.id"), F.lit(":"), "stamp", F.lit(":"), signature))
     cached = _zero(F.col("usage.cached_input_tokens"))
     return both.select(
         position().alias("seq"), F.lit("codex").alias("tool"), F.lit("openai").alias("provider"), F.col("cur_model").alias("model"),
         F.try_to_timestamp("stamp").alias("ts"), F.col("cur_meta.id").alias("session_id"), F.col("cur_meta.cwd").alias("project_path"),
         F.greatest(_zero(F.col("usage.input_tokens")) - cached, F.lit(0)).alias("input"), _zero(F.col("usage.output_tokens")).alias("output"),
-        cached.alias("cache_read"), F.col("write").alias("cache_write"), F.lit(0).cast("long").alias("cache_write_1h"), _null("double").alias("cost_usd"),
-        _null("string").alias("speed"), _null("string").alias("agent_id"), _null("string").alias("branch"), "dedup_key",
+        cached.alias("cache_read"), F.when(is_receipt, _zero(F.col("usage.cache_write_input_tokens"))).otherwise(F.lit(0)).cast("long").alias("cache_write"),
+        F.lit(0).cast("long").alias("cache_write_1h"), _null("double").alias("cost_usd"),
+        _null("string").alias("speed"), _null("string").alias("agent_id"), _null("string").alias("branch"), key.alias("dedup_key"),
     ).select(*COLUMNS)
 
 

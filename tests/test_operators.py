@@ -760,3 +760,94 @@ def test_search_eval_query(spark, tmp_path):
     mean = lambda v: sum(v) / len(v)
     assert tuple(found.first()) == pytest.approx((mean(recall), mean(mrr), mean(abstention)))
     assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+_CODEX = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens", "total_tokens")
+
+
+def _codex_records(rng, n):
+    """Rollout records with members of wrong types, repeated and shrinking totals, and receipts that cover counts."""
+    odd = ["7", True, None, [1], {"a": 1}, 2.9, 10**12]
+    number = lambda: rng.choice(odd) if rng.random() < 0.1 else rng.randrange(4) * 10
+    use = lambda: rng.choice([None, "x", 5, []]) if rng.random() < 0.1 else {k: number() for k in _CODEX if rng.random() < 0.7}
+    text = lambda *names: rng.choice(odd) if rng.random() < 0.1 else rng.choice(names)
+    stamp = lambda: text(*[f"2024-01-01T00:0{i}:00.000Z" for i in range(4)])
+    out, past = [], [{k: 10 for k in _CODEX}]
+    for i in range(n):
+        kind = rng.choices(["session_meta", "turn_context", "token_usage_record", "event_msg", "other", 5], [1, 1, 4, 8, 1, 1])[0]
+        again = rng.choice(past) if rng.random() < 0.4 else use()
+        past.append(again)
+        payload = {
+            "session_meta": {"id": text("s", "t"), "cwd": text("/a", "/b")}, "turn_context": {"model": text("m", "n")},
+            "token_usage_record": {"response_id": text(f"r{i}"), "usage": use(), "thread_token_usage": again},
+            "event_msg": {"type": text("token_count", "token_count", "agent_message"), "info": rng.choice([None, 3, {}]) if rng.random() < 0.1 else {"total_token_usage": again} | ({"last_token_usage": use()} if rng.random() < 0.3 else {})},
+        }.get(kind, {})
+        out.append({"type": kind, "timestamp": stamp(), "payload": payload if rng.random() < 0.95 else rng.choice(odd)})
+    start = [{"type": "session_meta", "timestamp": "", "payload": {"id": "s"}}, {"type": "turn_context", "payload": {"model": "m"}}]
+    return out[:3] + start + out[3:]
+
+
+def _codex_by_hand(records):
+    text = lambda x: x if isinstance(x, str) else None
+    member = lambda x, k: x.get(k) if isinstance(x, dict) else None
+    key = lambda u: tuple(u[k] or 0 for k in _CODEX[:4])
+
+    def counters(u):
+        return {k: int(u[k]) if isinstance(u.get(k), int | float) and not isinstance(u.get(k), bool) else None for k in _CODEX} if isinstance(u, dict) else None
+
+    meta = model = previous = None
+    counts, receipts = [], []
+    for r in records:
+        p, stamp = r["payload"], text(r.get("timestamp"))
+        if r["type"] == "session_meta" and text(member(p, "id")) is not None:
+            meta = p["id"], text(p.get("cwd"))
+        if r["type"] == "turn_context" and text(member(p, "model")) is not None:
+            model = p["model"]
+        if meta is None or model is None or stamp is None:
+            continue
+        if r["type"] == "token_usage_record" and text(member(p, "response_id")) is not None and isinstance(p.get("usage"), dict):
+            receipts.append((stamp, meta, model, counters(p["usage"]), counters(p.get("thread_token_usage")), p["response_id"]))
+        info = member(p, "info") if r["type"] == "event_msg" and member(p, "type") == "token_count" else None
+        if isinstance(info, dict):
+            totals, usage, before = counters(info.get("total_token_usage")), counters(info.get("last_token_usage")), previous
+            previous = totals or previous
+            if totals and totals == before:
+                continue
+            reset = totals and before and (totals["input_tokens"] or 0) < (before["input_tokens"] or 0)
+            if usage is None and totals:
+                usage = {k: None if totals[k] is None else max(totals[k] - (0 if reset or not before else before[k] or 0), 0) for k in _CODEX}
+            if usage is not None:
+                counts.append((stamp, meta, model, usage, totals))
+    by_total = {key(t) for _, _, _, _, t, _ in receipts if t}
+    by_time = {(s, key(u)) for s, _, _, u, _, _ in receipts}
+    out = [(s, m, n, u, f"codex:response:{i}", u["cache_write_input_tokens"] or 0) for s, m, n, u, _, i in receipts]
+    for s, m, n, u, t in counts:
+        if not (t and key(t) in by_total) and (s, key(u)) not in by_time:
+            signature = json.dumps({k: x for k, x in (t or u).items() if x is not None}, separators=(",", ":"))
+            out.append((s, m, n, u, f"codex:{m[0]}:{s}:{signature}", 0))
+    z = lambda u, k: u[k] or 0
+    return sorted((m[0], m[1] or "", n, max(z(u, "input_tokens") - z(u, "cached_input_tokens"), 0), z(u, "output_tokens"), z(u, "cached_input_tokens"), w, d) for _, m, n, u, d, w in out)
+
+
+def _codex_lines(spark, files):
+    rows = [(name, i, json.dumps(r)) for name, records in files.items() for i, r in enumerate(records)]
+    return L.parse_lines(spark.createDataFrame(rows, "file_path string, line_no long, value string"))
+
+
+@pytest.mark.parametrize("block", [blocks.LINE_BLOCK, 40, 7])
+def test_rollout_usage_matches_a_walk_in_files_of_one_block_and_of_many(spark, monkeypatch, block):
+    rng = random.Random(block)
+    monkeypatch.setattr(blocks, "LINE_BLOCK", block)
+    monkeypatch.setattr(blocks, "TASK_ROWS", 50)
+    files = {f"f{i}": _codex_records(rng, (5, 30, 90)[i % 3]) for i in range(9)}
+    out = usage.usage_codex(_codex_lines(spark, files)).collect()
+    got = sorted((r.session_id, r.project_path or "", r.model, r.input, r.output, r.cache_read, r.cache_write, r.dedup_key) for r in out)
+    assert len(got) > 50 and got == sorted(row for records in files.values() for row in _codex_by_hand(records))
+
+
+def test_rollout_usage_of_short_files_reads_its_lines_once_and_joins_nothing(spark):
+    records = _codex_lines(spark, {"f": _codex_records(random.Random(1), 20)})
+    plan = usage.usage_codex(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    code = usage._rollout_parts(records)._jdf.queryExecution().debug().codegenToSeq()
+    assert all(code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size()))
