@@ -323,8 +323,7 @@ def _rollout_counts(spark, d):
 
 
 def _rollout_lines(spark, d):
-    c, n = _rollout_counts(spark, d), F.col("n")
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + n * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    n, stamp = F.col("n"), F.col("stamp").alias("timestamp")
     start = F.lit("2024-01-01T00:00:00.000Z").alias("timestamp")
     order = F.col("l_orderkey").cast("string")
 
@@ -339,10 +338,11 @@ def _rollout_lines(spark, d):
         F.lit("token_usage_record").alias("type"), stamp,
         F.struct(F.concat(F.lit("r"), order, F.lit("-"), n.cast("string")).alias("response_id"), tokens(F.col("q"), F.expr("q div 10"), F.expr("q div 4")).alias("usage"), totals.alias("thread_token_usage")).alias("payload"),
     )
-    twice, first = n % 3 == 0, n == 1
+    twice, first, said = n % 3 == 0, n == 1, F.col("said")
     places = (
-        (F.lit(0), F.when(first, meta)), (F.lit(1), F.when(first, turn)), (n * 10, count), (n * 10 + 1, F.when(twice, count)), (n * 10 + 1 + twice.cast("int"), F.when(F.col("receipt"), receipt)),
+        (F.lit(0), F.when(first, meta)), (F.lit(1), F.when(first, turn)), (n * 10, said), (n * 10 + 1, F.when(twice, said)), (n * 10 + 1 + twice.cast("int"), F.when(F.col("receipt"), receipt)),
     )
+    c = _rollout_counts(spark, d).withColumn("stamp", F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + n * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).withColumn("said", count)
     lines = F.array(*[F.struct(i.cast("long").alias("line_no"), value.alias("value")) for i, value in places])
     return c.select(F.concat(F.lit("/r/"), order, F.lit(".jsonl")).alias("file_path"), F.inline(lines)).where("value is not null").withColumn("tool", F.lit("codex"))
 
